@@ -165,3 +165,25 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     finish[:-1] &= ~word[1:] | cut[1:n]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
     return starts, ends, np.searchsorted(starts, offsets - base)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (file sizes for a scan)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def buckets_for(df: DataFrame, each: int = 8 << 20, least: int = 16, most: int = 1 << 15) -> int:
+    """A power of two of hash buckets, so that a bucket's share of ``df`` stays small."""
+    want = max(1, min(estimated_bytes(df), each * most) // each)
+    return max(least, min(most, 1 << (int(want) - 1).bit_length()))
+
+
+def split_buckets(hashes: np.ndarray, n_buckets: int):
+    """(bucket, lo, hi) runs of ascending ``hashes`` by their top bits."""
+    shift = U64(64 - n_buckets.bit_length() + 1) if n_buckets > 1 else None
+    tops = (hashes >> shift).astype(np.int64) if shift is not None else np.zeros(len(hashes), np.int64)
+    edges = np.flatnonzero(np.diff(tops)) + 1
+    lo = np.concatenate([[0], edges]) if len(tops) else np.empty(0, np.int64)
+    hi = np.append(edges, len(tops)) if len(tops) else lo
+    for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+        yield int(tops[a]), a, b

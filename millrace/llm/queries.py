@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .jaccard import op8_jaccard_join
 from .media import op1_media_webp
+from .substrings import op7_substring_dedup
 
 QUERIES = {
     "op1_media_webp": op1_media_webp,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 
 SQL: dict[str, str] = {}
