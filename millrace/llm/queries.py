@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from . import mixing, preferences
+from .ann import op6_ann_search
 from .jaccard import op8_jaccard_join
 from .media import op1_media_webp
+from .mixing import op3_source_mixing
+from .preferences import op4_preference_format
 from .substrings import op7_substring_dedup
+from .warc import op2_warc_index
 
 QUERIES = {
     "op1_media_webp": op1_media_webp,
+    "op2_warc_index": op2_warc_index,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_preference_format": op4_preference_format,
+    "op6_ann_search": op6_ann_search,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_jaccard_join": op8_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_source_mixing": mixing.SQL,
+    "op4_preference_format": preferences.SQL,
+}
