@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,7 +27,8 @@ from .common import slices, table, text_buffers
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
+SLICE_BYTES = 16 << 20
 #: Stands for a mark that the text itself holds; no marked word looks like it.
 LITERAL = "\0" + MARK
 
@@ -57,6 +59,14 @@ def _fields(data: bytes):
         at += n
 
 
+class Numbers(dict):
+    """Numbers the keys asked for, in order."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Model:
     """Pieces of a SentencePiece model, as a trie of plain dictionaries."""
 
@@ -157,25 +167,25 @@ class Model:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts' pieces."""
-        split = [self.words(t) for t in texts]
-        distinct = set()
-        for ws in split:
-            distinct.update(ws)
+        index, runs, sizes = Numbers(), [], []
+        for t in texts:  # words become numbers text by text, so that a batch's words are held once each
+            ws = self.words(t)
+            runs.append(np.fromiter(map(index.__getitem__, ws), np.int32, len(ws)))
+            sizes.append(len(ws))
         cache = self.cache
-        fresh = self.segment([w for w in distinct if w not in cache])
-        index, starts, flat = {}, [0], []
-        for w in distinct:
-            index[w] = len(starts) - 1
-            flat += cache[w] if w in cache else fresh[w]
+        fresh = self.segment([w for w in index if w not in cache])
+        starts, flat = [0], array("i")
+        for w in index:
+            flat.extend(cache[w] if w in cache else fresh[w])
             starts.append(len(flat))
         if len(cache) < CACHE_WORDS:  # frequent words come early
             cache.update((w, v) for w, v in fresh.items() if len(w) < 64)
         pool, starts = np.array(flat, np.int32), np.array(starts, np.int64)
-        at = np.fromiter((index[w] for ws in split for w in ws), np.int64, sum(map(len, split)))
+        at = np.concatenate(runs) if runs else np.empty(0, np.int32)
         lens = starts[at + 1] - starts[at]
         ends = np.concatenate([[0], np.cumsum(lens)])
         ids = pool[np.repeat(starts[at] - ends[:-1], lens) + np.arange(ends[-1])] if len(pool) else pool
-        return ids, ends[np.concatenate([[0], np.cumsum([len(ws) for ws in split], dtype=np.int64)])]
+        return ids, ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0].tolist()
@@ -202,8 +212,8 @@ def default_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def encode_column(docs: DataFrame, columns: list[str], text_col: str = "text", model: str | None = None) -> DataFrame:
-    """``columns`` plus ids array<int> and n_tokens of every text."""
+def encode_column(docs: DataFrame, columns: list[str], text_col: str = "text", model: str | None = None, decoded: bool = False) -> DataFrame:
+    """``columns`` plus ids array<int> and n_tokens of every text; with ``decoded`` also the text decoded from the ids."""
     path = model or default_model()
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
@@ -214,12 +224,13 @@ def encode_column(docs: DataFrame, columns: list[str], text_col: str = "text", m
         for batch in batches:
             text = batch.column(len(columns))
             _, offsets = text_buffers(text)
-            for i, j in slices(offsets, 32 << 20, 1 << 20):
+            for i, j in slices(offsets, SLICE_BYTES, 1 << 20):
                 ids, ends = m.encode_batch([x or "" for x in text.slice(i, j - i).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(len(columns))), lists, pa.array(np.diff(ends))], names=[*columns, "ids", "n_tokens"])
+                back = [pa.array([m.decode(ids[a:b].tolist()).decode(errors="replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(len(columns))), lists, pa.array(np.diff(ends)), *back], names=[*columns, "ids", "n_tokens", *["decoded"] * decoded])
 
-    return docs.select(*columns, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, ids array<int>, n_tokens long")
+    return docs.select(*columns, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, ids array<int>, n_tokens long" + ", decoded string" * decoded)
 
 
 def decode_column(encoded: DataFrame, columns: list[str], ids_col: str = "ids", out_col: str = "text", model: str | None = None) -> DataFrame:
@@ -242,6 +253,5 @@ def decode_column(encoded: DataFrame, columns: list[str], ids_col: str = "ids",
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    coded = encode_column(table(spark, sf_dir, "documents"), ["doc_id"])
-    back = decode_column(coded, ["doc_id", "n_tokens", "ids"])
-    return back.select("doc_id", "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    coded = encode_column(table(spark, sf_dir, "documents"), ["doc_id"], decoded=True)
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
