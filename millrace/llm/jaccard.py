@@ -1,12 +1,15 @@
 """Operator 8: documents linked by the Jaccard similarity of their word shingles.
 
 The incidence matrix of documents and shingles is cut into column blocks by hashing. Documents of
-one size band use the same cut into ``d + 3`` blocks, where d bounds how many shingles two linked
-documents of that band can differ in; so at least three blocks of linked documents agree entirely,
-and one that is not empty, or both documents have three empty blocks. A block's content hash is a
-signature; only documents that share a signature are multiplied: overlap counts accumulate in a
-sparse product over batches of pairs, and pairs below the bounds that follow from the two sizes
-(overlap, size ratio, parity of 1,024 shingle counters) are discarded before it.
+one size band use the same cut into 1.2 d + 3 blocks, where d bounds how many shingles two linked
+documents of that band can differ in; so at least 0.2 d + 3 blocks of linked documents agree entirely.
+A block's content hash is a signature. Blocks of less than two shingles are weak, and a document leaves
+their signatures out if it has fewer of them than blocks that must agree: then one that agrees is not weak.
+(Otherwise it gives all; its partner shares that many weak blocks and gives all as well.)
+
+Only documents that share a signature are multiplied: overlap counts accumulate in a sparse product over
+batches of pairs, and pairs below the bounds that follow from the two sizes (overlap, size ratio, parities
+of shingle counters, 1,024 for all and up to 16,384 for long documents) are discarded before it.
 
 Copies collapse first (equal sets are one node). In each signature every node is verified against the
 smallest node; links give components; then every remaining pair of different components within
@@ -28,6 +31,7 @@ from .common import U64, Hasher, buckets_for, find_words, hint_small, materializ
 from .components import connected
 
 PARITY = 16  # 64-bit words
+WIDE_FROM, WIDE_MOST = 400, 1 << 14
 SPARE = 3
 SLICE_BYTES, SLICE_DOCS = 1 << 20, 1000
 _HASHER: list[Hasher] = []
@@ -70,9 +74,12 @@ class Bands:
             self.edges.append(max(last + 1, last * self.den // self.num + 1))
         return np.array(self.edges)
 
-    def blocks(self, band: np.ndarray) -> np.ndarray:
+    def blocks(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(blocks, blocks that agree at least) of the bands."""
         top = np.array(self.edges)[band + 1] - 1
-        return top * (self.den - self.num) // self.num + SPARE
+        differ = top * (self.den - self.num) // self.num
+        agree = differ // 5 + SPARE
+        return differ + agree, agree
 
 
 def signatures(hashes: np.ndarray, cut: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +93,7 @@ def signatures(hashes: np.ndarray, cut: np.ndarray, bands: Bands) -> tuple[np.nd
         if not len(use):
             continue
         band = own[use] - step
-        n_blocks = bands.blocks(band)
+        n_blocks, agree = bands.blocks(band)
         base = np.concatenate([[0], np.cumsum(n_blocks)])
         lens = sizes[use]
         at = np.repeat(cut[use] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
@@ -94,12 +101,13 @@ def signatures(hashes: np.ndarray, cut: np.ndarray, bands: Bands) -> tuple[np.nd
         salt = mix((band.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
         block = (mix(h ^ np.repeat(salt, lens)) % np.repeat(n_blocks.astype(U64), lens)).astype(np.int64)
         sums = np.zeros(int(base[-1]), U64)
-        np.add.at(sums, np.repeat(base[:-1], lens) + block, mix(h + U64(0x51ED270B)))
+        slot = np.repeat(base[:-1], lens) + block
+        np.add.at(sums, slot, mix(h + U64(0x51ED270B)))
         owner = np.repeat(np.arange(len(use)), n_blocks)
         number = np.arange(len(sums)) - base[owner]
-        empty = sums == 0
-        few = np.bincount(owner[empty], minlength=len(use)) < SPARE
-        keep = ~(empty & few[owner])
+        weak = np.bincount(slot, minlength=len(sums)) < 2
+        few = np.bincount(owner[weak], minlength=len(use)) < agree
+        keep = ~(weak & few[owner])
         sig = mix(sums ^ mix(salt[owner] + number.astype(U64)))
         sigs.append(sig[keep])
         docs.append(use[owner[keep]])
@@ -116,85 +124,87 @@ def parities(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, PARITY)
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, n_buckets: int) -> DataFrame:
-    """One stored pass over the texts. Rows hold either documents' figures or one bucket's signatures."""
-    bands = Bands(num, den)
+def _shingled(batch, k: int):
+    """(first row, last row, shingles, cut, nodes) of an Arrow batch's slices; a node is the hash of a set."""
+    data, offsets = text_buffers(batch.column(1))
+    for i, j in slices(offsets, SLICE_BYTES, SLICE_DOCS):
+        h, cut = shingle_sets(data, offsets[i : j + 1], k)
+        total = np.concatenate([[U64(0)], np.cumsum(mix(h + U64(3)))])
+        yield i, j, h, cut, mix(total[cut[1:]] - total[cut[:-1]] + np.diff(cut).astype(U64)).view(np.int64)
+
+
+def _figures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(doc_id, node, n, known, parity, wide) of every row; wide only for long documents."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["bucket", "ids", "figures", "sig", "slot", "nodes", "local"]
-        kinds = (pa.int32(), *[pa.binary()] * 6)
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            ids, known = batch.column(0), {}
-            valid = ~np.asarray(ids.is_null()) if ids.null_count else np.ones(len(ids), bool)
-            ids = np.asarray(ids.fill_null(0)).astype(np.int64)
-            sizes, nodes, sigs, owners, marks = [], [], [], [], []
-            for i, j in slices(offsets, SLICE_BYTES, SLICE_DOCS):
-                h, cut = shingle_sets(data, offsets[i : j + 1], k)
+            ids = batch.column(0)
+            for i, j, h, cut, node in _shingled(batch, k):
                 n = np.diff(cut)
-                sums = np.zeros(len(n) + 1, U64)
-                total = np.concatenate([[U64(0)], np.cumsum(mix(h + U64(3)))])
-                node = mix(total[cut[1:]] - total[cut[:-1]] + n.astype(U64)).view(np.int64)
-                del sums
-                new = np.array([known.setdefault(x, i + q) == i + q for q, x in enumerate(node.tolist())]) & valid[i:j] if len(n) else np.zeros(0, bool)
+                parity = pa.FixedSizeListArray.from_arrays(pa.array(parities(h, cut).ravel()), PARITY).cast(pa.list_(pa.int64()))
+                wide = [wide_parity(h[cut[x] : cut[x + 1]]).tobytes() if n[x] >= WIDE_FROM else None for x in range(j - i)]
+                part = ids.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.cast(pa.int64()), pa.array(node), pa.array(n), part.is_valid(), parity, pa.array(wide, pa.binary())], names=["doc_id", "node", "n", "known", "parity", "wide"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, node long, n long, known boolean, parity array<long>, wide binary")
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, n_buckets: int) -> DataFrame:
+    """(sig, node, center) of every signature that several nodes share.
+
+    A batch sends each signature once, in the name of its smallest node; the batch's other nodes of that signature
+    go along as finished rows. So what meets in a bucket grows with the batches, not with a group's documents.
+    """
+    bands = Bands(num, den)
+
+    def run(batches):
+        import pyarrow as pa
+
+        names, kinds = ["bucket", "sig", "slot", "nodes", "local"], (pa.int32(), *[pa.binary()] * 4)
+        for batch in batches:
+            valid = ~np.asarray(batch.column(0).is_null())
+            known: dict[int, int] = {}
+            nodes, sigs, owners = [], [], []
+            for i, j, h, cut, node in _shingled(batch, k):
+                new = np.array([known.setdefault(x, i + q) == i + q if valid[i + q] else False for q, x in enumerate(node.tolist())], bool)
                 s, d = signatures(h, cut, bands)
                 keep = new[d]
                 sigs.append(s[keep])
                 owners.append(i + d[keep])
-                sizes.append(n)
                 nodes.append(node)
-                marks.append(parities(h, cut))
-            if not len(ids):
+            if not nodes:
                 continue
-            nodes, sizes, marks = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(marks)
-            figures = np.column_stack([nodes, sizes, valid.astype(np.int64), marks])
-            rows = [(-1, ids.tobytes(), np.ascontiguousarray(figures).tobytes(), None, None, None, None)]
-            sigs, owners = np.concatenate(sigs), np.concatenate(owners)
+            nodes, sigs, owners = np.concatenate(nodes), np.concatenate(sigs), np.concatenate(owners)
             order = np.lexsort((nodes[owners], sigs))
             sigs, owners = sigs[order], owners[order]
             first = np.ones(len(sigs), bool)
             first[1:] = sigs[1:] != sigs[:-1]
             run_no = np.cumsum(first) - 1
             many = (np.bincount(run_no) > 1)[run_no] if len(sigs) else first
-            # signatures that several nodes of this batch share stay here; their smallest node speaks for them
             at = np.flatnonzero(first)
             local = np.column_stack([sigs[many].view(np.int64), nodes[owners[many]], nodes[owners[at[run_no[many]]]]]) if many.any() else np.empty((0, 3), np.int64)
-            if len(local):
-                rows.append((-2, None, None, None, None, None, np.ascontiguousarray(local).tobytes()))
+            rows = []
+            for lo in range(0, len(local), 50_000):
+                part = np.ascontiguousarray(local[lo : lo + 50_000])
+                rows.append((int(mix(part[:1, 1].view(np.uint64))[0] % U64(n_buckets)), None, None, None, part.tobytes()))
             sigs, owners = sigs[first], owners[first]
             for b, lo, hi in split_buckets(sigs, n_buckets):
                 used, slot = np.unique(owners[lo:hi], return_inverse=True)
-                rows.append((b, None, None, sigs[lo:hi].tobytes(), slot.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes(), nodes[used].tobytes(), None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return materialize(docs.select(id_col, text_col).mapInArrow(run, "bucket int, ids binary, figures binary, sig binary, slot binary, nodes binary, local binary"), "jaccard-scan")
-
-
-def _figures(scan: DataFrame) -> DataFrame:
-    """(doc_id, node, n, known, parity array)."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for ids, figures in zip(batch.column(0), batch.column(1), strict=True):
-                f = np.frombuffer(figures.as_buffer(), np.int64).reshape(-1, 3 + PARITY)
-                parity = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(f[:, 3:]).ravel()), PARITY).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids.as_buffer(), np.int64)), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(f[:, 2] == 1), parity], names=["doc_id", "node", "n", "known", "parity"])
-
-    return scan.where("bucket = -1").select("ids", "figures").mapInArrow(run, "doc_id long, node long, n long, known boolean, parity array<long>")
-
-
-def _members(scan: DataFrame) -> DataFrame:
-    """(sig, node, center) of every signature that several nodes share."""
+                rows.append((b, sigs[lo:hi].tobytes(), slot.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes(), nodes[used].tobytes(), None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def across(group):
         import pyarrow as pa
 
-        sig, node = [], []
-        for s, i, t in zip(group.column("sig"), group.column("slot"), group.column("nodes"), strict=True):
+        sig, node = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        done = [np.empty((0, 3), np.int64)]
+        for s, i, t, x in zip(*(group.column(c) for c in ("sig", "slot", "nodes", "local")), strict=True):
+            if x.is_valid:
+                done.append(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3))
+                continue
             s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.int64)
             i = np.frombuffer(i.as_buffer(), np.uint32 if len(t) > 65535 else np.uint16)
             sig.append(s)
@@ -214,22 +224,31 @@ def _members(scan: DataFrame) -> DataFrame:
         sig, node = sig[keep], node[keep]
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
-        center = node[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(sig) else node
-        many = (np.bincount(np.cumsum(first) - 1) > 1)[np.cumsum(first) - 1] if len(sig) else first
-        return pa.table({"sig": pa.array(sig[many].view(np.int64)), "node": pa.array(node[many]), "center": pa.array(center[many])})
+        run_no = np.cumsum(first) - 1
+        center = node[np.flatnonzero(first)[run_no]] if len(sig) else node
+        many = (np.bincount(run_no) > 1)[run_no] if len(sig) else first
+        done = np.concatenate(done)
+        cols = [np.concatenate([x[many], y]) for x, y in ((sig.view(np.int64), done[:, 0]), (node, done[:, 1]), (center, done[:, 2]))]
+        return pa.table({n: pa.array(c) for n, c in zip(("sig", "node", "center"), cols, strict=True)})
 
-    def unpacked(batches):
-        import pyarrow as pa
+    sent = docs.select(id_col, text_col).mapInArrow(run, "bucket int, sig binary, slot binary, nodes binary, local binary")
+    return sent.groupBy("bucket").applyInArrow(across, "sig long, node long, center long")
+
+
+def wide_parity(hashes: np.ndarray) -> np.ndarray:
+    """Parity bits of a power of two of counters, about four for each shingle; halving it is an XOR of its halves."""
+    n_bits = min(WIDE_MOST, 1 << int(4 * max(len(hashes), 16) - 1).bit_length())
+    slot = (mix(hashes ^ U64(0xC3C3)) & U64(n_bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=n_bits) & 1).astype(np.uint8))
 
-        for batch in batches:
-            for x in batch.column(0):
-                f = np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(f[:, c])) for c in range(3)], names=["sig", "node", "center"])
 
-    schema = "sig long, node long, center long"
-    far = scan.where("bucket >= 0").select("bucket", "sig", "slot", "nodes").groupBy("bucket").applyInArrow(across, schema)
-    near = scan.where("bucket = -2").select("local").mapInArrow(unpacked, schema)
-    return far.union(near)
+def differ_at_least(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the symmetric difference, from two wide parities."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _bound(num: int, den: int):
@@ -297,10 +316,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null. With ``with_links`` also the verified links (a, b: smallest ids of two different sets) are
     returned as a second frame; they connect every component.
     """
-    scan = _scan(docs, id_col, text_col, shingle, num, den, buckets_for(docs))
-    figures = materialize(_figures(scan), "jaccard-figures")
-    nodes = materialize(figures.where("known and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")), "jaccard-nodes")
-    members = materialize(_members(scan), "jaccard-members")
+    figures = materialize(_figures(docs, id_col, text_col, shingle), "jaccard-figures")
+    nodes = materialize(figures.where("known and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.max("wide").alias("wide")), "jaccard-nodes")
+    members = materialize(_members(docs, id_col, text_col, shingle, num, den, buckets_for(docs)), "jaccard-members")
 
     def candidates(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes within the bounds."""
@@ -308,8 +326,25 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = a.join(nodes.select(F.col("node").alias("b"), F.struct("n", "parity").alias("fb")), "b")
         return both.select(F.struct(F.col("a").alias("node"), "fa.*").alias("a"), F.struct(F.col("b").alias("node"), "fb.*").alias("b")).where(_bound(num, den)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
+    def apart(batches):
+        """Drops pairs of long documents whose wide parities differ too much."""
+        import pyarrow as pa
+
+        for batch in batches:
+            small = np.asarray(batch.column(2))
+            keep = np.ones(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if x is not None and y is not None:
+                    keep[i] = differ_at_least(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) * (den + num) <= small[i] * (den - num)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialize(pairs, f"{name}-pairs")
+        pairs = materialize(pairs, f"{name}-candidates")
+        long = nodes.where(F.col("n") >= WIDE_FROM).select("node", "n", "wide")
+        wide = pairs.join(long.toDF("a", "na", "wa"), "a").join(long.toDF("b", "nb", "wb"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("size"), "wa", "wb")
+        ends = nodes.select("node", "n")
+        short = pairs.join(ends.toDF("a", "na"), "a").join(ends.toDF("b", "nb"), "b").where(F.least("na", "nb") < WIDE_FROM).select("a", "b")
+        pairs = materialize(short.union(wide.mapInArrow(apart, "a long, b long")), f"{name}-pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
         sets = _sets(docs, id_col, text_col, wanted, shingle).dropDuplicates(["node"])
         return materialize(_verify(pairs, sets, num, den), f"{name}-links")

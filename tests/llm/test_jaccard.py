@@ -36,7 +36,7 @@ def brute(rows, k, num, den):
 def test_against_brute_force(spark, k, num):
     rng = np.random.default_rng(num)
     vocab = np.array([f"Word{i}" if i % 3 else f"w{i}é" for i in range(400)])
-    bases = [vocab[rng.integers(0, 400, rng.integers(1, 160))] for _ in range(25)]
+    bases = [vocab[rng.integers(0, 400, rng.integers(1, 160))] for _ in range(25)] + [vocab[rng.integers(0, 400, 900)] for _ in range(3)]
     rows, d = [], 0
     for base in bases:
         for _ in range(rng.integers(1, 9)):
@@ -72,7 +72,21 @@ def test_bands_cover_all_links():
                 continue
             band = int(np.searchsorted(edges, n, "right")) - 1
             assert np.searchsorted(edges, m, "right") - 1 <= band + 1
-            assert (n + m) * (den - num) // (den + num) <= bands.blocks(np.array([band]))[0] - 3
+            blocks, agree = (x[0] for x in bands.blocks(np.array([band])))
+            assert (n + m) * (den - num) // (den + num) <= blocks - agree and agree >= 3
+
+
+def test_wide_parities_bound_the_difference():
+    from millrace.llm.jaccard import differ_at_least, wide_parity
+
+    rng = np.random.default_rng(0)
+    for n, m in ((500, 500), (3000, 2500), (9000, 4000), (600, 500)):
+        a = np.unique(rng.integers(0, 1 << 50, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 50, m, dtype=np.uint64)]))
+        true = len(np.setxor1d(a, b))
+        bound = differ_at_least(wide_parity(a), wide_parity(b))
+        assert true / 2 <= bound <= true
+        assert differ_at_least(wide_parity(a), wide_parity(a)) == 0
 
 
 def test_shingles():
