@@ -49,9 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every copy, and the digest of what they decode to."""
-    coded = sentencepiece_viterbi.encode_column(docs, ["doc_id", "lang", "source"])
-    back = sentencepiece_viterbi.decode_column(coded, ["doc_id", "lang", "source", "n_tokens", "ids"])
-    return back.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    coded = sentencepiece_viterbi.encode_column(docs, ["doc_id", "lang", "source"], decoded=True)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
