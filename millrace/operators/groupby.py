@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..semantics import AGGREGATES, col, missing, numeric_columns, present, sort_keys
 
@@ -99,6 +100,17 @@ class Grouped:
     def n_groups(self) -> int:
         return self.df.select(*map(col, self.keys)).distinct().count()
 
+    def _joined(self, groups: DataFrame, name: str | None) -> DataFrame:
+        """The rows with column ``name`` of their group's row (or, without a name, those that have one)."""
+        renamed = groups.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)], *([col(name).alias("__g")] if name else []))
+        cond = None
+        for i, k in enumerate(self.keys):
+            c = col(k).eqNullSafe(F.col(f"__k{i}"))
+            cond = c if cond is None else cond & c
+        if name is None:
+            return self.df.join(renamed, cond, "left_semi")
+        return self.df.join(renamed, cond).drop(*[f"__k{i}" for i in range(len(self.keys))]).withColumnRenamed("__g", name)
+
     # group-wise rows
 
     def cumcount(self, name: str = "cumcount") -> DataFrame:
@@ -109,11 +121,7 @@ class Grouped:
         order = self._order()
         groups = self._by().agg(F.min(order).alias("__o"))
         ranked = groups.withColumn(name, (F.row_number().over(Window.orderBy("__o")) - 1).cast("long")).drop("__o")
-        cond = None
-        for k in self.keys:
-            c = self.df[k].eqNullSafe(ranked[k])
-            cond = c if cond is None else cond & c
-        return self.df.join(ranked, cond).select(*[self.df[c] for c in self.df.columns], ranked[name])
+        return self._joined(ranked, name)
 
     def shift(self, name: str, k: int = 1, out: str | None = None) -> DataFrame:
         c = col(name)
@@ -140,22 +148,14 @@ class Grouped:
 
     def transform(self, name: str, how: str, out: str | None = None) -> DataFrame:
         """A group aggregate repeated on every row: aggregated first, then joined, so hot groups are pre-combined."""
+        target = out or name
         stats = self._by().agg(self._one(name, how).alias("__v"))
-        cond = None
-        for k in self.keys:
-            c = self.df[k].eqNullSafe(stats[k])
-            cond = c if cond is None else cond & c
-        joined = self.df.join(stats, cond)
-        return joined.select(*[self.df[c] for c in self.df.columns if c != (out or name)], stats["__v"].alias(out or name))
+        return self._joined(stats, "__v").drop(target).withColumnRenamed("__v", target)
 
     def filter(self, condition: Column) -> DataFrame:
         """Rows of the groups whose aggregate condition holds."""
         good = self._by().agg(condition.alias("__ok")).where("__ok").drop("__ok")
-        cond = None
-        for k in self.keys:
-            c = self.df[k].eqNullSafe(good[k])
-            cond = c if cond is None else cond & c
-        return self.df.join(good, cond, "left_semi")
+        return self._joined(good, None)
 
     def apply(self, f: Callable, schema: str) -> DataFrame:
         """f(pandas frame) -> pandas frame for each group; a group must fit one task."""
@@ -164,7 +164,7 @@ class Grouped:
     def transform_values(self, name: str, f: Callable, out: str | None = None) -> DataFrame:
         """f(numpy array) -> array of the same length for each group, in order."""
         target, order = out or f"{name}_out", self.order_by
-        schema = self.df.drop(target).schema.add(target, "double")
+        schema = T.StructType([*[f for f in self.df.schema.fields if f.name != target], T.StructField(target, T.DoubleType())])
 
         def run(pdf):
             pdf = pdf.sort_values(order) if order else pdf

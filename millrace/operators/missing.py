@@ -116,8 +116,8 @@ def interpolate_series(df: DataFrame, name: str, method: str, order_by: Sequence
     if method not in ("polynomial", "spline", "cubic", "pchip"):
         raise ValueError(method)
     target, order = out or name, list(order_by)
-    schema = df.schema if target in df.columns else df.schema.add(target, "double")
-    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name == target else f.dataType) for f in schema.fields])
+    kept = [T.StructField(f.name, T.DoubleType() if f.name == target else f.dataType) for f in df.schema.fields]
+    schema = T.StructType(kept if target in df.columns else [*kept, T.StructField(target, T.DoubleType())])
 
     def run(pdf):
         pdf = pdf.sort_values(order).reset_index(drop=True)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..ordering import cumulative, row_windows, with_position
 from ..semantics import col, present, sort_keys
@@ -90,9 +91,9 @@ def ewm_mean(df: DataFrame, name: str, order_by: Sequence[str], partition_by: Se
                 continue
             state = v if state is None else a * v + (1 - a) * state
             made.append(state)
-        return pdf.assign(**{target: made})
+        return pdf.drop(columns=[target], errors="ignore").assign(**{target: made})
 
-    return df.groupBy(*map(col, partition_by)).applyInPandas(run, df.schema.add(target, "double"))
+    return df.groupBy(*map(col, partition_by)).applyInPandas(run, T.StructType([*[f for f in df.schema.fields if f.name != target], T.StructField(target, T.DoubleType())]))
 
 
 def cum(df: DataFrame, name: str, how: str, order_by: Sequence[str], partition_by: Sequence[str] = (), out: str | None = None) -> DataFrame:

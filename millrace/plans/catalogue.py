@@ -2,37 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .registry import QUERIES, SQL, query, t
+from . import geo_text, io_stream, relational, series, statistics, windows  # noqa: F401, E402, I001
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 4) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base,
-round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 6) AS avg_qty, count(*) AS n
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
-def pricing_summary(spark, d):
-    li = t(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 4).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"),
-        F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.count(F.lit(1)).alias("n"))
+__all__ = ["QUERIES", "SQL", "query", "t"]

@@ -16,19 +16,21 @@ def _schema(df: DataFrame, keys: Sequence[str], rest: str) -> str:
 
 
 def _per_series(df: DataFrame, keys: Sequence[str], name: str, order_by: Sequence[str], rest: str, f) -> DataFrame:
-    import pandas as pd
-
     keys, order = list(keys), list(order_by)
+    schema = _schema(df, keys, rest)
+
+    def run(key, table):
+        import pyarrow as pa
 
-    def run(key, pdf):
-        y = pdf.sort_values(order)[name].to_numpy(float)
+        y = np.asarray(table.sort_by([(o, "ascending") for o in order]).column(name).cast(pa.float64()).to_numpy(), float)
         rows = f(y[~np.isnan(y)])
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in rest.split(", ")])
-        for i, k in enumerate(keys):
-            out.insert(i, k, [key[i]] * len(out))
-        return out
+        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(rest.split(", "))
+        made = {k: pa.array([key[i].as_py()] * len(rows), table.schema.field(k).type) for i, k in enumerate(keys)}
+        made |= {c.split()[0]: pa.array(v, kinds[c.split()[1]]) for c, v in zip(rest.split(", "), cols, strict=True)}
+        return pa.table(made)
 
-    return df.groupBy(*map(col, keys)).applyInPandas(run, _schema(df, keys, rest))
+    return df.groupBy(*map(col, keys)).applyInArrow(run, schema)
 
 
 def seasonal_decompose(df: DataFrame, name: str, period: int, keys: Sequence[str], order_by: Sequence[str], multiplicative: bool = False) -> DataFrame:
