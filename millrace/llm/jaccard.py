@@ -12,8 +12,9 @@ batches of pairs, and pairs below the bounds that follow from the two sizes (ove
 of shingle counters, 1,024 for all and up to 16,384 for long documents) are discarded before it.
 
 Copies collapse first (equal sets are one node). In each signature every node is verified against the
-smallest node; links give components; then every remaining pair of different components within
-a signature is verified, so components are exact. No pair is made inside a component.
+smallest node, then, while many are apart, against other members of its largest component; at last every
+remaining pair of different components within a signature is verified, so components are exact. No pair is
+made inside a component.
 
 Words are lower-cased (A-Z) runs without space, tab, line or page breaks; fewer words than the
 shingle length make one shingle; no words make an empty set that links with nothing.
@@ -33,6 +34,8 @@ from .components import connected
 PARITY = 16  # 64-bit words
 WIDE_FROM, WIDE_MOST = 400, 1 << 14
 SPARE = 3
+#: Further rounds of stars, as long as this many memberships are open; the last step takes any number.
+MORE_STARS, FEW_OPEN = 4, 20_000
 SLICE_BYTES, SLICE_DOCS = 1 << 20, 1000
 _HASHER: list[Hasher] = []
 
@@ -353,15 +356,31 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = verified(candidates(star), "jaccard-star")
     roots = materialize(connected(links, "a", "b", "jaccard-cc"), "jaccard-roots")
 
-    # what is left: nodes that share a signature but are in different components so far
-    placed = members.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")).distinct()
-    placed = materialize(placed, "jaccard-placed")
-    split = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    open_rows = placed.join(split, "sig").join(nodes.select("node", "n", "parity"), "node")
-    open_rows = materialize(open_rows, "jaccard-open")
-    largest = open_rows.groupBy("sig", "root").count().groupBy("sig").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    left = open_rows.join(largest, "sig").where("root <> main")
-    a, b = left.alias("a"), open_rows.alias("b")
+    def still_open(roots: DataFrame) -> DataFrame:
+        """(sig, node, root, n, parity, main): members of signatures that hold several components; main is the largest there."""
+        placed = members.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")).distinct()
+        placed = materialize(placed, "jaccard-placed")
+        sizes = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
+        split = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max_by("root", F.struct("n", "root")).alias("main")).where("k > 1").drop("k")
+        return materialize(placed.join(split, "sig").join(nodes.select("node", "n", "parity"), "node"), "jaccard-open")
+
+    # More stars, while many nodes are outside their signatures' main components: each signature verifies them against
+    # another member of its main component, so a group of near copies closes up without its pairs.
+    open_rows = still_open(roots)
+    for turn in range(MORE_STARS):
+        left = open_rows.where("root <> main")
+        if left.count() < FEW_OPEN:
+            break
+        centers = open_rows.where("root = main").groupBy("sig").agg(F.max_by("node", F.xxhash64("node", "sig", F.lit(turn))).alias("b"))
+        fresh = verified(candidates(left.join(centers, "sig").select(F.col("node").alias("a"), "b").distinct()), f"jaccard-star{turn}")
+        if fresh.isEmpty():
+            break
+        links = links.union(fresh)
+        roots = materialize(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh), "a", "b", "jaccard-cc"), "jaccard-roots")
+        open_rows = still_open(roots)
+
+    # what is left: all pairs of different components within a signature
+    a, b = open_rows.where("root <> main").alias("a"), open_rows.alias("b")
     rest = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("a.main")) | (F.col("a.node") < F.col("b.node"))) & _bound(num, den))
     rest = rest.select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct()
     more = verified(rest, "jaccard-rest")

@@ -32,8 +32,9 @@ def brute(rows, k, num, den):
     return [(d, len(sets[i]), None if d is None else least[find(i)] if sets[i] else d) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (2, 50)])
-def test_against_brute_force(spark, k, num):
+@pytest.mark.parametrize(("k", "num", "few"), [(3, 90, 20_000), (5, 80, 1), (2, 50, 20_000)])
+def test_against_brute_force(spark, k, num, few, monkeypatch):
+    monkeypatch.setattr("millrace.llm.jaccard.FEW_OPEN", few)
     rng = np.random.default_rng(num)
     vocab = np.array([f"Word{i}" if i % 3 else f"w{i}é" for i in range(400)])
     bases = [vocab[rng.integers(0, 400, rng.integers(1, 160))] for _ in range(25)] + [vocab[rng.integers(0, 400, 900)] for _ in range(3)]
