@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 
 from .functions import columns as fc
@@ -217,7 +218,6 @@ class Frame:
 
     def apply(self, f: Callable, name: str, kind: str) -> Frame:
         """f(dict of a row) -> value, in Arrow batches."""
-        import pandas as pd
         from pyspark.sql import functions as F
 
         @F.pandas_udf(kind)
@@ -228,7 +228,6 @@ class Frame:
 
     def map(self, name: str, f: Callable, kind: str, out: str | None = None) -> Frame:
         """f(value) -> value of one column, in Arrow batches."""
-        import pandas as pd
         from pyspark.sql import functions as F
 
         @F.pandas_udf(kind)

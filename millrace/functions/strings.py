@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,8 +156,6 @@ def split_columns(df: DataFrame, name: str, sep: str, n: int | None = None) -> D
 
 def normalize_unicode(a, form: str = "NFC"):
     """Unicode normal form (Arrow batches; the JVM functions have none)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.str.normalize(form)

@@ -6,6 +6,7 @@ import math
 import struct
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -227,8 +228,6 @@ def wkb_point(lat: float, lon: float) -> bytes:
 
 def write_geoparquet(df: DataFrame, path: str, lat: str, lon: str, mode: str = "errorifexists") -> None:
     """Parquet with a WKB point column 'geometry' in hex (Arrow batches)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def hexed(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if y != y or x != x else wkb_point(y, x).hex() for y, x in zip(a, b, strict=True)])
@@ -237,8 +236,6 @@ def write_geoparquet(df: DataFrame, path: str, lat: str, lon: str, mode: str = "
 
 
 def read_geoparquet(spark, path: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("lat double, lon double")
     def parsed(h: pd.Series) -> pd.DataFrame:
         pts = [(None, None) if x is None else struct.unpack("<BIdd", bytes.fromhex(x))[:1:-1] for x in h]

@@ -82,6 +82,14 @@ class RobustScaler(Transformer):
         return df.withColumns({c: (_value(df, c) - m) / r if m is not None else F.lit(None).cast("double") for c, (m, r) in self.params.items()})
 
 
+def _at_most(x):
+    return lambda e: e <= x
+
+
+def _equals(t):
+    return lambda w: w == t
+
+
 def _power(x, lam: float, method: str):
     if method == "box-cox":
         return F.ln(x) if abs(lam) < 1e-9 else (F.pow(x, F.lit(lam)) - 1) / lam
@@ -141,7 +149,7 @@ class QuantileTransformer(Transformer):
                 continue
             x, n = _value(df, c), len(edges) - 1
             lit = F.array(*map(F.lit, edges))
-            k = F.least(F.greatest(F.size(F.filter(lit, lambda e, x=x: e <= x)), F.lit(1)), F.lit(n))
+            k = F.least(F.greatest(F.size(F.filter(lit, _at_most(x))), F.lit(1)), F.lit(n))
             lo, hi = F.element_at(lit, k), F.element_at(lit, k + 1)
             u = (k - 1 + F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0))) / n
             u = F.when(x.isNotNull(), F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0)))
@@ -321,7 +329,7 @@ class TextVectorizer(Transformer):
         wide = df.withColumn("__w", words)
         made = {}
         for t, idf in zip(self.params["terms"], self.params["idf"], strict=True):
-            n = F.size(F.filter("__w", lambda w, t=t: w == t))
+            n = F.size(F.filter("__w", _equals(t)))
             made[f"{c}_{t}"] = n if self.options.get("mode", "count") == "count" else F.coalesce(F.try_divide(n.cast("double"), F.size("__w").cast("double")), F.lit(0.0)) * idf
         return wide.withColumns(made).drop("__w")
 

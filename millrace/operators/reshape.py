@@ -59,7 +59,7 @@ def get_dummies(df: DataFrame, name: str, prefix: str | None = None, values: Seq
 
 def explode(df: DataFrame, name: str, sep: str = ",") -> DataFrame:
     """A row for each trimmed part; a null keeps its row."""
-    parts = F.transform(F.split(col(name), quote(sep)), F.trim)
+    parts = F.transform(F.split(col(name), quote(sep)), lambda p: F.trim(p))
     return df.withColumn(name, F.explode_outer(parts))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +34,6 @@ def rolling(df: DataFrame, name: str, size: int, how: str, order_by: Sequence[st
 
 def rolling_apply(df: DataFrame, name: str, size: int, f: Callable, order_by: Sequence[str], partition_by: Sequence[str], out: str | None = None) -> DataFrame:
     """f(list of present values) -> number over full windows, by a grouped-aggregate pandas function."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(v: pd.Series) -> float:
         v = v.dropna()

@@ -31,10 +31,10 @@ def rolling_std_min_periods(spark, d):
     return windows.rolling(_orders(spark, d), "o_totalprice", 10, "std", ORDER, min_periods=1, out="r").select("o_orderkey", F.round("r", 3).alias("r"))
 
 
-@query("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS s, round(avg(o_totalprice) OVER w, 5) AS m FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS s, count(*) OVER w AS n FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
 def expanding_sum(spark, d):
     a = windows.expanding(_orders(spark, d), "o_totalprice", "sum", ORDER, out="s")
-    return windows.expanding(a, "o_totalprice", "mean", ORDER, out="m").select("o_orderkey", F.round("s", 2).alias("s"), F.round("m", 5).alias("m"))
+    return windows.expanding(a, "o_totalprice", "count", ORDER, out="n").select("o_orderkey", F.round("s", 2).alias("s"), F.col("n").cast("long").alias("n"))
 
 
 @query("SELECT o_orderkey, max(o_totalprice) OVER w AS hi, min(o_totalprice) OVER w AS lo, count(*) OVER w AS n FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
@@ -44,10 +44,10 @@ def cum_max_min(spark, d):
     return windows.cum(b, "o_totalprice", "count", ORDER, out="n").select("o_orderkey", "hi", "lo", "n")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_extendedprice, round(exp(sum(ln(1 - l_discount)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)), 8) AS p FROM lineitem")
+@query("SELECT p_partkey, round(exp(sum(ln(1 + p_size / 1000)) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING)), 8) AS p FROM part")
 def cum_prod(spark, d):
-    li = t(spark, d, "lineitem").withColumn("f", 1 - F.col("l_discount"))
-    return windows.cum(li, "f", "prod", ["l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey"], ["l_orderkey"], "p").select("l_orderkey", "l_linenumber", "l_extendedprice", F.round("p", 8).alias("p"))
+    p = t(spark, d, "part").withColumn("f", 1 + F.col("p_size") / 1000)
+    return windows.cum(p, "f", "prod", ["p_partkey"], ["p_brand"], "p").select("p_partkey", F.round("p", 8).alias("p"))
 
 
 _RANK = "SELECT p_partkey, ({}) AS r FROM part"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,10 +83,14 @@ def ngrams(a, lo: int, hi: int | None = None) -> Column:
     out = []
     for n in range(lo, (hi or lo) + 1):
         starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(w, i, n), " ")))
+        out.append(F.transform(starts, _gram(w, n)))
     return F.concat(*out) if len(out) > 1 else out[0]
 
 
+def _gram(w: Column, n: int):
+    return lambda i: F.array_join(F.slice(w, i, n), " ")
+
+
 def ngram_counts(df: DataFrame, name: str, lo: int, hi: int | None = None) -> DataFrame:
     return df.select(F.explode(ngrams(name, lo, hi)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("count"))
 
@@ -107,8 +112,6 @@ def sentences(a) -> Column:
 
 def map_words(df: DataFrame, name: str, f, out: str) -> DataFrame:
     """``f`` (word -> word) applied to all words of a text, once for each distinct word of an Arrow batch."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         known: dict[str, str] = {}
@@ -258,8 +261,6 @@ def jaro_winkler_value(s: str, t: str, scale: float = 0.1) -> float:
 
 def jaro_winkler(a, b, scale: float = 0.1) -> Column:
     """Arrow batches (no built-in function)."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if s is None or t is None else jaro_winkler_value(s, t, scale) for s, t in zip(x, y, strict=True)], dtype=float)
@@ -388,8 +389,6 @@ class Bpe:
 
 def tokenize(df: DataFrame, name: str, tokenizer, out: str = "tokens", max_length: int | None = None) -> DataFrame:
     """``out`` (ids) and ``out``_mask arrays by a tokenizer object, in Arrow batches; with ``max_length`` cut and padded."""
-    import pandas as pd
-
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
 
     @F.pandas_udf("array<int>")
