@@ -50,6 +50,23 @@ def fill_direction(df: DataFrame, name: str, forward: bool, order_by: Sequence[s
     return joined.withColumn(target, F.coalesce(inner, F.col("__carried"))).drop("__c", "__bucket", "__carried")
 
 
+def _fill_both(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """__before and __after: the nearest present __k each way by position, in one pass over range buckets."""
+    k, keys = F.col("__k"), [col(c) for c in partition_by]
+    if not keys:
+        df, _ = range_bucket(df, POSITION)
+        keys = [F.col("__bucket")]
+        edges = df.groupBy("__bucket").agg(F.max_by(k, F.when(k.isNotNull(), F.col(POSITION))).alias("__hi"), F.min_by(k, F.when(k.isNotNull(), F.col(POSITION))).alias("__lo"))
+        w = Window.orderBy("__bucket")  # one row a bucket
+        edges = edges.select("__bucket", F.last("__hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__p"), F.first("__lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__n"))
+        df = df.join(F.broadcast(edges), "__bucket")
+    w = Window.partitionBy(*keys).orderBy(POSITION)
+    before, after = F.last(k, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(k, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    if not partition_by:
+        before, after = F.coalesce(before, F.col("__p")), F.coalesce(after, F.col("__n"))
+    return df.withColumns({"__before": before, "__after": after}).drop("__bucket", "__p", "__n")
+
+
 def drop_na(df: DataFrame, threshold: int | None = None, subset: Sequence[str] | None = None) -> DataFrame:
     """Rows with at least ``threshold`` present values (all, if not given)."""
     cols = list(subset or df.columns)
@@ -72,8 +89,7 @@ def interpolate_linear(df: DataFrame, name: str, order_by: Sequence[str], partit
         at = with_position(df, order_by)
     c = present(df, name).cast("double")
     at = at.withColumn("__k", F.when(c.isNotNull(), F.struct(c.alias("v"), F.col(POSITION).alias("p"))))
-    at = fill_direction(at, "__k", True, [POSITION], partition_by, "__before")
-    at = fill_direction(at, "__k", False, [POSITION], partition_by, "__after")
+    at = _fill_both(at, partition_by)
     a, b = F.col("__before"), F.col("__after")
     value = F.coalesce(c, F.when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col(POSITION) - a["p"]) / F.nullif(b["p"] - a["p"], F.lit(0))))
     return at.withColumn(out or name, value).drop(POSITION, "__k", "__before", "__after")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .semantics import col, sort_keys
 
-BUCKETS = 200
+BUCKETS = 128
 POSITION = "__pos"
 _BUCKET = "__bucket"
 
@@ -43,11 +43,19 @@ def range_bucket(df: DataFrame, by: str, ascending: bool = True, buckets: int =
     borders = sorted(set(borders))
     if not borders:
         return df.withColumn(_BUCKET, F.lit(0)), 1
-    lit = F.array(*[F.lit(float(b)) for b in borders])
-    number = F.size(F.filter(lit, lambda b: b < key))
+    number = _search(F.col("__key"), borders, 0, len(borders))
     if not ascending:
         number = F.lit(len(borders)) - number
-    return df.withColumn(_BUCKET, F.when(key.isNull(), len(borders) + 1).otherwise(number)), len(borders) + 2
+    numbered = df.withColumn("__key", key).withColumn(_BUCKET, F.when(F.col("__key").isNull(), len(borders) + 1).otherwise(number))
+    return numbered.drop("__key"), len(borders) + 2
+
+
+def _search(key: Column, borders: list[float], lo: int, hi: int) -> Column:
+    """How many borders are below the key, as a binary tree of comparisons (compiled, unlike an array search)."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key > borders[mid], _search(key, borders, mid + 1, hi)).otherwise(_search(key, borders, lo, mid))
 
 
 def with_position(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool] = True, name: str = POSITION) -> DataFrame:

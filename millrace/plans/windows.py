@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import missing, windows
 from ..operators.groupby import group_by
+from ..ordering import cumulative, row_windows
 from ..timeseries import features
 from .registry import query, t
 
@@ -31,17 +32,16 @@ def rolling_std_min_periods(spark, d):
     return windows.rolling(_orders(spark, d), "o_totalprice", 10, "std", ORDER, min_periods=1, out="r").select("o_orderkey", F.round("r", 3).alias("r"))
 
 
-@query("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS s, count(*) OVER w AS n FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS s FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
 def expanding_sum(spark, d):
-    a = windows.expanding(_orders(spark, d), "o_totalprice", "sum", ORDER, out="s")
-    return windows.expanding(a, "o_totalprice", "count", ORDER, out="n").select("o_orderkey", F.round("s", 2).alias("s"), F.col("n").cast("long").alias("n"))
+    out = windows.expanding(_orders(spark, d), "o_totalprice", "sum", ORDER, out="s")
+    return out.select("o_orderkey", F.round("s", 2).alias("s"))
 
 
 @query("SELECT o_orderkey, max(o_totalprice) OVER w AS hi, min(o_totalprice) OVER w AS lo, count(*) OVER w AS n FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
 def cum_max_min(spark, d):
-    a = windows.cum(_orders(spark, d), "o_totalprice", "max", ORDER, out="hi")
-    b = windows.cum(a, "o_totalprice", "min", ORDER, out="lo")
-    return windows.cum(b, "o_totalprice", "count", ORDER, out="n").select("o_orderkey", "hi", "lo", "n")
+    c = F.col("o_totalprice")
+    return cumulative(_orders(spark, d), ORDER, {"hi": ("max", c), "lo": ("min", c), "n": ("count", c)}).select("o_orderkey", "hi", "lo", "n")
 
 
 @query("SELECT p_partkey, round(exp(sum(ln(1 + p_size / 1000)) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING)), 8) AS p FROM part")
@@ -75,9 +75,9 @@ def rank_first(spark, d):
 
 @query("SELECT o_orderkey, lag(o_totalprice, 3) OVER w AS s3, lead(o_totalprice, 2) OVER w AS s2, round(o_totalprice - lag(o_totalprice) OVER w, 4) AS df FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)")
 def shift_diff(spark, d):
-    a = windows.shift(_orders(spark, d), "o_totalprice", 3, ORDER, out="s3")
-    b = windows.shift(a, "o_totalprice", -2, ORDER, out="s2")
-    return windows.diff(b, "o_totalprice", 1, ORDER, out="df").select("o_orderkey", "s3", "s2", F.round("df", 4).alias("df"))
+    c = F.col("o_totalprice")
+    made = row_windows(_orders(spark, d), ORDER, lambda w: {"s3": F.lag(c, 3).over(w), "s2": F.lead(c, 2).over(w), "df": c - F.lag(c).over(w)}, 3, 2)
+    return made.select("o_orderkey", "s3", "s2", F.round("df", 4).alias("df"))
 
 
 @query("SELECT event_id, round((value - lead(value) OVER w) / NULLIF(lead(value) OVER w, 0), 8) AS pc FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
