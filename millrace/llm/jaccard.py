@@ -9,7 +9,7 @@ their signatures out if it has fewer of them than blocks that must agree: then o
 
 Only documents that share a signature are multiplied: overlap counts accumulate in a sparse product over
 batches of pairs, and pairs below the bounds that follow from the two sizes (overlap, size ratio, parities
-of shingle counters, 1,024 for all and up to 16,384 for long documents) are discarded before it.
+of shingle counters, 512 for all and up to 16,384 for long documents) are discarded before it.
 
 Copies collapse first (equal sets are one node). In each signature every node is verified against the
 smallest node, then, while many are apart, against other members of its largest component; at last every
@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from .common import U64, Hasher, buckets_for, find_words, hint_small, materialize, mix, slices, split_buckets, table, text_buffers
 from .components import connected
 
-PARITY = 16  # 64-bit words
-WIDE_FROM, WIDE_MOST = 400, 1 << 14
+PARITY = 8  # 64-bit words
+WIDE_FROM, WIDE_MOST = 300, 1 << 14
 SPARE = 3
-#: Further rounds of stars, as long as this many memberships are open; the last step takes any number.
-MORE_STARS, FEW_OPEN = 4, 20_000
+#: Further rounds of stars, while this share of the last round's candidates, and this many, were links. The last step takes whatever is left.
+MORE_STARS, WORTH, FEW_LINKS = 5, 0.2, 100
 SLICE_BYTES, SLICE_DOCS = 1 << 20, 1000
+SEND_SIGNATURES = 1_000_000
 _HASHER: list[Hasher] = []
 
 
@@ -122,7 +123,7 @@ def signatures(hashes: np.ndarray, cut: np.ndarray, bands: Bands) -> tuple[np.nd
 def parities(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """Parity of the number of shingles in each of 64 * PARITY counters, as (documents, PARITY) int64."""
     doc = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-    slot = (mix(hashes ^ U64(0xA5A5)) >> U64(64 - 10)).astype(np.int64)
+    slot = (mix(hashes ^ U64(0xA5A5)) >> U64(65 - (64 * PARITY).bit_length())).astype(np.int64)
     odd = np.bincount(doc * (64 * PARITY) + slot, minlength=(len(cut) - 1) * 64 * PARITY) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, PARITY)
 
@@ -157,47 +158,58 @@ def _figures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, n_buckets: int) -> DataFrame:
     """(sig, node, center) of every signature that several nodes share.
 
-    A batch sends each signature once, in the name of its smallest node; the batch's other nodes of that signature
-    go along as finished rows. So what meets in a bucket grows with the batches, not with a group's documents.
+    A run of documents sends each signature once, in the name of its smallest node; its other nodes of that signature
+    go along as finished rows. So what meets in a bucket grows with the runs, not with a group's documents.
     """
     bands = Bands(num, den)
 
     def run(batches):
-        import pyarrow as pa
-
-        names, kinds = ["bucket", "sig", "slot", "nodes", "local"], (pa.int32(), *[pa.binary()] * 4)
         for batch in batches:
             valid = ~np.asarray(batch.column(0).is_null())
-            known: dict[int, int] = {}
-            nodes, sigs, owners = [], [], []
+            known: set[int] = set()
+            nodes, sigs, owners, held = [], [], [], 0
             for i, j, h, cut, node in _shingled(batch, k):
-                new = np.array([known.setdefault(x, i + q) == i + q if valid[i + q] else False for q, x in enumerate(node.tolist())], bool)
+                new = np.zeros(j - i, bool)
+                for q, x in enumerate(node.tolist()):
+                    if valid[i + q] and x not in known:
+                        known.add(x)
+                        new[q] = True
                 s, d = signatures(h, cut, bands)
                 keep = new[d]
                 sigs.append(s[keep])
-                owners.append(i + d[keep])
+                owners.append(held + d[keep])
                 nodes.append(node)
-            if not nodes:
-                continue
-            nodes, sigs, owners = np.concatenate(nodes), np.concatenate(sigs), np.concatenate(owners)
-            order = np.lexsort((nodes[owners], sigs))
-            sigs, owners = sigs[order], owners[order]
-            first = np.ones(len(sigs), bool)
-            first[1:] = sigs[1:] != sigs[:-1]
-            run_no = np.cumsum(first) - 1
-            many = (np.bincount(run_no) > 1)[run_no] if len(sigs) else first
-            at = np.flatnonzero(first)
-            local = np.column_stack([sigs[many].view(np.int64), nodes[owners[many]], nodes[owners[at[run_no[many]]]]]) if many.any() else np.empty((0, 3), np.int64)
-            rows = []
-            for lo in range(0, len(local), 50_000):
-                part = np.ascontiguousarray(local[lo : lo + 50_000])
-                rows.append((int(mix(part[:1, 1].view(np.uint64))[0] % U64(n_buckets)), None, None, None, part.tobytes()))
-            sigs, owners = sigs[first], owners[first]
-            for b, lo, hi in split_buckets(sigs, n_buckets):
-                used, slot = np.unique(owners[lo:hi], return_inverse=True)
-                rows.append((b, sigs[lo:hi].tobytes(), slot.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes(), nodes[used].tobytes(), None))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                held += len(node)
+                if sum(map(len, sigs)) >= SEND_SIGNATURES:
+                    yield from send(nodes, sigs, owners)
+                    nodes, sigs, owners, held = [], [], [], 0
+            if nodes:
+                yield from send(nodes, sigs, owners)
+
+    def send(nodes, sigs, owners):
+        """The rows of one run of documents."""
+        import pyarrow as pa
+
+        names, kinds = ["bucket", "sig", "slot", "nodes", "local"], (pa.int32(), *[pa.binary()] * 4)
+        nodes, sigs, owners = np.concatenate(nodes), np.concatenate(sigs), np.concatenate(owners)
+        order = np.lexsort((nodes[owners], sigs))
+        sigs, owners = sigs[order], owners[order]
+        first = np.ones(len(sigs), bool)
+        first[1:] = sigs[1:] != sigs[:-1]
+        run_no = np.cumsum(first) - 1
+        many = (np.bincount(run_no) > 1)[run_no] if len(sigs) else first
+        at = np.flatnonzero(first)
+        local = np.column_stack([sigs[many].view(np.int64), nodes[owners[many]], nodes[owners[at[run_no[many]]]]]) if many.any() else np.empty((0, 3), np.int64)
+        rows = []
+        for lo in range(0, len(local), 50_000):
+            part = np.ascontiguousarray(local[lo : lo + 50_000])
+            rows.append((int(mix(part[:1, 1].view(np.uint64))[0] % U64(n_buckets)), None, None, None, part.tobytes()))
+        sigs, owners = sigs[first], owners[first]
+        for b, lo, hi in split_buckets(sigs, n_buckets):
+            used, slot = np.unique(owners[lo:hi], return_inverse=True)
+            rows.append((b, sigs[lo:hi].tobytes(), slot.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes(), nodes[used].tobytes(), None))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def across(group):
         import pyarrow as pa
@@ -341,8 +353,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     keep[i] = differ_at_least(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) * (den + num) <= small[i] * (den - num)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame, name: str) -> tuple[DataFrame, float, int]:
+        """(links among the pairs, their share, their number)."""
         pairs = materialize(pairs, f"{name}-candidates")
+        asked = pairs.count()
         long = nodes.where(F.col("n") >= WIDE_FROM).select("node", "n", "wide")
         wide = pairs.join(long.toDF("a", "na", "wa"), "a").join(long.toDF("b", "nb", "wb"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("size"), "wa", "wb")
         ends = nodes.select("node", "n")
@@ -350,40 +364,41 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = materialize(short.union(wide.mapInArrow(apart, "a long, b long")), f"{name}-pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
         sets = _sets(docs, id_col, text_col, wanted, shingle).dropDuplicates(["node"])
-        return materialize(_verify(pairs, sets, num, den), f"{name}-links")
+        found = materialize(_verify(pairs, sets, num, den), f"{name}-links")
+        n = found.count()
+        return found, n / max(1, asked), n
 
     star = members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    links = verified(candidates(star), "jaccard-star")
+    links, good, good_links = verified(candidates(star), "jaccard-star")
     roots = materialize(connected(links, "a", "b", "jaccard-cc"), "jaccard-roots")
 
-    def still_open(roots: DataFrame) -> DataFrame:
-        """(sig, node, root, n, parity, main): members of signatures that hold several components; main is the largest there."""
-        placed = members.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")).distinct()
+    def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """(sig, node, root, main) of the signatures in ``rows`` that hold several components; main is the largest there."""
+        placed = rows.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")).distinct()
         placed = materialize(placed, "jaccard-placed")
         sizes = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
         split = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max_by("root", F.struct("n", "root")).alias("main")).where("k > 1").drop("k")
-        return materialize(placed.join(split, "sig").join(nodes.select("node", "n", "parity"), "node"), "jaccard-open")
+        return materialize(placed.join(split, "sig"), "jaccard-open")
 
-    # More stars, while many nodes are outside their signatures' main components: each signature verifies them against
-    # another member of its main component, so a group of near copies closes up without its pairs.
-    open_rows = still_open(roots)
+    # More stars, while many of the last ones' nodes did link: each open signature verifies the nodes outside its main
+    # component against another member of that, so a group of near copies closes up without its pairs.
+    open_rows = still_open(members, roots)
     for turn in range(MORE_STARS):
-        left = open_rows.where("root <> main")
-        if left.count() < FEW_OPEN:
+        if good < WORTH or good_links < FEW_LINKS:
             break
         centers = open_rows.where("root = main").groupBy("sig").agg(F.max_by("node", F.xxhash64("node", "sig", F.lit(turn))).alias("b"))
-        fresh = verified(candidates(left.join(centers, "sig").select(F.col("node").alias("a"), "b").distinct()), f"jaccard-star{turn}")
-        if fresh.isEmpty():
-            break
+        tried = candidates(open_rows.where("root <> main").join(centers, "sig").select(F.col("node").alias("a"), "b").distinct())
+        fresh, good, good_links = verified(tried, f"jaccard-star{turn}")
         links = links.union(fresh)
         roots = materialize(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh), "a", "b", "jaccard-cc"), "jaccard-roots")
-        open_rows = still_open(roots)
+        open_rows = still_open(open_rows, roots)
 
     # what is left: all pairs of different components within a signature
+    open_rows = open_rows.join(nodes.select("node", "n", "parity"), "node")
     a, b = open_rows.where("root <> main").alias("a"), open_rows.alias("b")
     rest = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("a.main")) | (F.col("a.node") < F.col("b.node"))) & _bound(num, den))
     rest = rest.select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct()
-    more = verified(rest, "jaccard-rest")
+    more, _, _ = verified(rest, "jaccard-rest")
     every = links.union(more)
     roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b", "jaccard-cc")
 

@@ -32,9 +32,9 @@ def brute(rows, k, num, den):
     return [(d, len(sets[i]), None if d is None else least[find(i)] if sets[i] else d) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("k", "num", "few"), [(3, 90, 20_000), (5, 80, 1), (2, 50, 20_000)])
+@pytest.mark.parametrize(("k", "num", "few"), [(3, 90, 100), (5, 80, 1), (2, 50, 100)])
 def test_against_brute_force(spark, k, num, few, monkeypatch):
-    monkeypatch.setattr("millrace.llm.jaccard.FEW_OPEN", few)
+    monkeypatch.setattr("millrace.llm.jaccard.FEW_LINKS", few)
     rng = np.random.default_rng(num)
     vocab = np.array([f"Word{i}" if i % 3 else f"w{i}é" for i in range(400)])
     bases = [vocab[rng.integers(0, 400, rng.integers(1, 160))] for _ in range(25)] + [vocab[rng.integers(0, 400, 900)] for _ in range(3)]
@@ -104,8 +104,9 @@ def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 201), (300, 300)]
     edges = [edges[i][:: 1 if rng.random() < 0.5 else -1] for i in rng.permutation(len(edges))]
-    got = dict(map(tuple, connected(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()))
-    assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(50)} | {200: 200, 201: 200}
+    for local in (0, 1000):  # distributed, and in one task
+        got = dict(map(tuple, connected(spark.createDataFrame(edges, "a long, b long"), "a", "b", local_links=local).collect()))
+        assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(50)} | {200: 200, 201: 200}
 
 
 def test_empty(spark):
