@@ -31,7 +31,7 @@ from .common import U64, estimated_bytes, hint_small, materialize, mix, slices,
 ORDER, BITS = 5, 10
 CLASSES = 1 << BITS
 MASK = [U64((1 << BITS * n) - 1) for n in range(ORDER + 1)]
-BLOCK_BYTES, SLICE_BYTES = 32 << 20, 4 << 20
+BLOCK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
 SHIFT = U64(BITS)
 START = 0
 
