@@ -6,6 +6,7 @@ Nothing here keeps state on one machine: intermediate tables go to the folder na
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -14,6 +15,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+
+
+def _return_memory() -> None:
+    """In a Python worker, freed arrays go back to the system at once: workers wait, with what they hold, for the next task."""
+    from pyspark import TaskContext
+
+    if TaskContext.get() is None:
+        return
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 2 << 20)  # blocks of 2 MB and more are mapped on their own
+        libc.mallopt(-1, 8 << 20)  # free memory at the heap's end above 8 MB is given back
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+_return_memory()
 #: Bytes hashed at once; the power tables of this length stay in a core's cache.
 CHUNK = 1 << 18
 #: Word separators of the op7/op8 contracts: space and \t..\r.
