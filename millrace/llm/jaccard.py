@@ -34,6 +34,8 @@ from .components import connected
 PARITY = 8  # 64-bit words
 WIDE_FROM, WIDE_MOST = 300, 1 << 14
 SPARE = 3
+#: Members from which a signature is hot.
+HOT = 32
 #: Further rounds of stars, while this share of the last round's candidates, and this many, were links. The last step takes whatever is left.
 MORE_STARS, WORTH, FEW_LINKS = 5, 0.2, 100
 SLICE_BYTES, SLICE_DOCS = 1 << 20, 1000
@@ -86,12 +88,16 @@ class Bands:
         return differ + agree, agree
 
 
-def signatures(hashes: np.ndarray, cut: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, document) rows of the documents hashes[cut[i]:cut[i+1]]."""
+def signatures(hashes: np.ndarray, cut: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document, 2 * room + step) rows of the documents hashes[cut[i]:cut[i+1]].
+
+    step is 0 or 1 for the document as a pair's smaller or larger one; room is how many more signatures it
+    could leave out and still give one of those that agree with any document it links with.
+    """
     sizes = np.diff(cut)
     edges = bands.upto(int(sizes.max(initial=0)))
     own = np.searchsorted(edges, sizes, "right") - 1
-    sigs, docs = [], []
+    sigs, docs, metas = [], [], []
     for step in (0, 1):  # as the smaller and as the larger document of a pair
         use = np.flatnonzero(own - step >= 0)
         if not len(use):
@@ -110,14 +116,17 @@ def signatures(hashes: np.ndarray, cut: np.ndarray, bands: Bands) -> tuple[np.nd
         owner = np.repeat(np.arange(len(use)), n_blocks)
         number = np.arange(len(sums)) - base[owner]
         weak = np.bincount(slot, minlength=len(sums)) < 2
-        few = np.bincount(owner[weak], minlength=len(use)) < agree
+        n_weak = np.bincount(owner[weak], minlength=len(use))
+        few = n_weak < agree
         keep = ~(weak & few[owner])
+        room = agree - np.where(few, n_weak, 0)
         sig = mix(sums ^ mix(salt[owner] + number.astype(U64)))
         sigs.append(sig[keep])
         docs.append(use[owner[keep]])
+        metas.append((np.minimum(room, 30_000) * 2 + step)[owner[keep]])
     if not sigs:
-        return np.empty(0, U64), np.empty(0, np.int64)
-    return np.concatenate(sigs), np.concatenate(docs)
+        return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(sigs), np.concatenate(docs), np.concatenate(metas)
 
 
 def parities(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -156,7 +165,7 @@ def _figures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, n_buckets: int) -> DataFrame:
-    """(sig, node, center) of every signature that several nodes share.
+    """(sig, node, meta, center) of every signature that several nodes share.
 
     A run of documents sends each signature once, in the name of its smallest node; its other nodes of that signature
     go along as finished rows. So what meets in a bucket grows with the runs, not with a group's documents.
@@ -174,12 +183,15 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
                     if valid[i + q] and x not in known:
                         known.add(x)
                         new[q] = True
-                s, d = signatures(h, cut, bands)
+                s, d, meta = signatures(h, cut, bands)
                 keep = new[d]
                 sigs.append(s[keep])
-                owners.append(held + d[keep])
-                nodes.append(node)
-                held += len(node)
+                owners.append(held + 2 * d[keep] + meta[keep] % 2)  # a document has an entry for each step
+                entries = np.zeros((2 * len(node), 2), np.int64)
+                entries[:, 0] = np.repeat(node, 2)
+                entries[2 * d + meta % 2, 1] = meta
+                nodes.append(entries)
+                held += len(entries)
                 if sum(map(len, sigs)) >= SEND_SIGNATURES:
                     yield from send(nodes, sigs, owners)
                     nodes, sigs, owners, held = [], [], [], 0
@@ -192,14 +204,14 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
 
         names, kinds = ["bucket", "sig", "slot", "nodes", "local"], (pa.int32(), *[pa.binary()] * 4)
         nodes, sigs, owners = np.concatenate(nodes), np.concatenate(sigs), np.concatenate(owners)
-        order = np.lexsort((nodes[owners], sigs))
+        order = np.lexsort((nodes[owners, 0], sigs))
         sigs, owners = sigs[order], owners[order]
         first = np.ones(len(sigs), bool)
         first[1:] = sigs[1:] != sigs[:-1]
         run_no = np.cumsum(first) - 1
         many = (np.bincount(run_no) > 1)[run_no] if len(sigs) else first
         at = np.flatnonzero(first)
-        local = np.column_stack([sigs[many].view(np.int64), nodes[owners[many]], nodes[owners[at[run_no[many]]]]]) if many.any() else np.empty((0, 3), np.int64)
+        local = np.column_stack([sigs[many].view(np.int64), nodes[owners[many]], nodes[owners[at[run_no[many]]], 0]]) if many.any() else np.empty((0, 4), np.int64)
         rows = []
         for lo in range(0, len(local), 50_000):
             part = np.ascontiguousarray(local[lo : lo + 50_000])
@@ -214,40 +226,41 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     def across(group):
         import pyarrow as pa
 
-        sig, node = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        done = [np.empty((0, 3), np.int64)]
+        sig, node = [np.empty(0, np.uint64)], [np.empty((0, 2), np.int64)]
+        done = [np.empty((0, 4), np.int64)]
         for s, i, t, x in zip(*(group.column(c) for c in ("sig", "slot", "nodes", "local")), strict=True):
             if x.is_valid:
-                done.append(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3))
+                done.append(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 4))
                 continue
-            s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.int64)
+            s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.int64).reshape(-1, 2)
             i = np.frombuffer(i.as_buffer(), np.uint32 if len(t) > 65535 else np.uint16)
             sig.append(s)
             node.append(t[i])
         sig, node = np.concatenate(sig), np.concatenate(node)
+        node, meta = node[:, 0], node[:, 1]
         order = np.argsort(sig, kind="stable")
         same = np.zeros(len(order), bool)
         eq = sig[order][1:] == sig[order][:-1]
         same[1:] |= eq
         same[:-1] |= eq
         order = order[same]
-        sig, node = sig[order], node[order]
+        sig, node, meta = sig[order], node[order], meta[order]
         order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
+        sig, node, meta = sig[order], node[order], meta[order]
         keep = np.ones(len(sig), bool)
         keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[keep], node[keep]
+        sig, node, meta = sig[keep], node[keep], meta[keep]
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
         run_no = np.cumsum(first) - 1
         center = node[np.flatnonzero(first)[run_no]] if len(sig) else node
         many = (np.bincount(run_no) > 1)[run_no] if len(sig) else first
         done = np.concatenate(done)
-        cols = [np.concatenate([x[many], y]) for x, y in ((sig.view(np.int64), done[:, 0]), (node, done[:, 1]), (center, done[:, 2]))]
-        return pa.table({n: pa.array(c) for n, c in zip(("sig", "node", "center"), cols, strict=True)})
+        cols = [np.concatenate([x[many], y]) for x, y in ((sig.view(np.int64), done[:, 0]), (node, done[:, 1]), (meta, done[:, 2]), (center, done[:, 3]))]
+        return pa.table({n: pa.array(c) for n, c in zip(("sig", "node", "meta", "center"), cols, strict=True)})
 
     sent = docs.select(id_col, text_col).mapInArrow(run, "bucket int, sig binary, slot binary, nodes binary, local binary")
-    return sent.groupBy("bucket").applyInArrow(across, "sig long, node long, center long")
+    return sent.groupBy("bucket").applyInArrow(across, "sig long, node long, meta long, center long")
 
 
 def wide_parity(hashes: np.ndarray) -> np.ndarray:
@@ -266,6 +279,22 @@ def differ_at_least(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def _without_hot(members: DataFrame) -> DataFrame:
+    """(sig, node, center) less the hot signatures of nodes that have room for leaving them out.
+
+    A signature is hot if it has more than HOT members: passages that many documents share. A node's step with
+    fewer hot signatures than room still gives a signature that is not hot for each document it links with, and so
+    it is found there; a node without that room keeps all its signatures, and two such nodes meet in the hot ones.
+    """
+    rows = members.select("sig", "node", "meta", "center").distinct()
+    rows = materialize(rows, "jaccard-members")
+    sizes = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT)
+    marked = materialize(rows.join(sizes, "sig").select("sig", "node", "meta"), "jaccard-hot")
+    spare = marked.groupBy("node", "meta").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < F.floor(F.col("meta") / 2))
+    gone = marked.join(spare.select("node", "meta"), ["node", "meta"]).select("sig", "node")
+    return rows.join(gone, ["sig", "node"], "left_anti").select("sig", "node", "center")
+
+
 def _bound(num: int, den: int):
     """Sizes and parities of a and b leave a link possible."""
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(PARITY)))
@@ -333,7 +362,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     figures = materialize(_figures(docs, id_col, text_col, shingle), "jaccard-figures")
     nodes = materialize(figures.where("known and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.max("wide").alias("wide")), "jaccard-nodes")
-    members = materialize(_members(docs, id_col, text_col, shingle, num, den, buckets_for(docs)), "jaccard-members")
+    members = materialize(_without_hot(_members(docs, id_col, text_col, shingle, num, den, buckets_for(docs))), "jaccard-met")
 
     def candidates(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes within the bounds."""

@@ -35,6 +35,7 @@ def brute(rows, k, num, den):
 @pytest.mark.parametrize(("k", "num", "few"), [(3, 90, 100), (5, 80, 1), (2, 50, 100)])
 def test_against_brute_force(spark, k, num, few, monkeypatch):
     monkeypatch.setattr("millrace.llm.jaccard.FEW_LINKS", few)
+    monkeypatch.setattr("millrace.llm.jaccard.HOT", 4 if few == 1 else 32)
     rng = np.random.default_rng(num)
     vocab = np.array([f"Word{i}" if i % 3 else f"w{i}é" for i in range(400)])
     bases = [vocab[rng.integers(0, 400, rng.integers(1, 160))] for _ in range(25)] + [vocab[rng.integers(0, 400, 900)] for _ in range(3)]
