@@ -27,8 +27,8 @@ from .common import slices, table, text_buffers
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_WORDS = 150_000
-SLICE_BYTES = 8 << 20
+CACHE_WORDS = 80_000
+SLICE_BYTES = 3 << 20
 #: Stands for a mark that the text itself holds; no marked word looks like it.
 LITERAL = "\0" + MARK
 
