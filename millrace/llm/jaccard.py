@@ -5,7 +5,7 @@ one size band use the same cut into 1.2 d + 3 blocks, where d bounds how many sh
 documents of that band can differ in; so at least 0.2 d + 3 blocks of linked documents agree entirely.
 A block's content hash is a signature. Blocks of less than two shingles are weak, and a document leaves
 their signatures out if it has fewer of them than blocks that must agree: then one that agrees is not weak.
-(Otherwise it gives all; its partner shares that many weak blocks and gives all as well.)
+(Otherwise it gives all, also to a partner that leaves its weak ones out and may share but one with it.)
 
 Only documents that share a signature are multiplied: overlap counts accumulate in a sparse product over
 batches of pairs, and pairs below the bounds that follow from the two sizes (overlap, size ratio, parities
@@ -119,7 +119,7 @@ def signatures(hashes: np.ndarray, cut: np.ndarray, bands: Bands) -> tuple[np.nd
         n_weak = np.bincount(owner[weak], minlength=len(use))
         few = n_weak < agree
         keep = ~(weak & few[owner])
-        room = agree - np.where(few, n_weak, 0)
+        room = np.where(few, agree - n_weak, 1)  # a few partner may have left out all but one of those that agree
         sig = mix(sums ^ mix(salt[owner] + number.astype(U64)))
         sigs.append(sig[keep])
         docs.append(use[owner[keep]])

@@ -62,6 +62,18 @@ def test_against_brute_force(spark, k, num, few, monkeypatch):
     assert len({r[2] for r in want}) < len(want) - 10
 
 
+def test_short_documents_with_a_hot_phrase(spark):
+    rows = []
+    for words, tail, phrase in ((10, 3, 6), (10, 4, 30), (9, 5, 29)):  # 9 or 10 shingles; 300 documents share a phrase
+        common = [f"p{phrase}x{i}" for i in range(words)]
+        for q in range(150):
+            own = [f"u{q}y{j}" for j in range(tail)]
+            rows += [(len(rows), " ".join(common + own)), (len(rows) + 1, " ".join([*common, *own[:-1], "z" + own[-1]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in similar_components(df, shingle=5, num=80).collect())
+    assert got == sorted(brute(rows, 5, 80, 100))
+
+
 def test_bands_cover_all_links():
     for num, den in ((90, 100), (80, 100), (50, 100)):
         bands = Bands(num, den)
