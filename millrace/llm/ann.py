@@ -3,8 +3,9 @@
 Centroids are fitted on a bounded sample (FIT_SAMPLE vectors) by k-means with a size penalty and kept
 in memory as a neighbour graph; a best-first search over the graph finds the centroids near a vector.
 Every vector is put in its nearest list and, at a boundary, into up to ``replicas`` lists whose centroid
-is within a ratio of the nearest one. A query opens the lists within a ratio of its nearest centroid, and
-always enough to hold several times k vectors. Lists larger than BLOCK vectors are split into salted blocks that the
+is within a ratio of the nearest one. A query opens the lists within a ratio of its nearest centroid, at most
+``probes`` or one in PROBE_SHARE of all lists, whichever is more; and always half as many and enough to hold several
+times k vectors. It takes exact distances to all centroids, as it opens too many for a beam. Lists larger than BLOCK vectors are split into salted blocks that the
 query visits too, so no list is capped and none has to fit one task. Partial top-k lists are merged.
 
 Vectors that are null, empty, zero or hold a null or non-finite component take no part; nor do null
@@ -23,6 +24,8 @@ FIT_SAMPLE = 131_072
 MAX_LISTS = 8_192
 BLOCK = 4_096
 DEGREE = 24
+#: Of so many lists a query opens one, where that is more than ``probes``: a fixed number loses recall as lists grow in number.
+PROBE_SHARE = 48
 
 
 def sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,6 +112,20 @@ class Graph:
         return np.where(np.isinf(out_d), -1, pick(s)), out_d, pick(np.take_along_axis(all_done, order, 1)) | np.isinf(out_d)
 
 
+def lists_to_open(centroids: np.ndarray, n_of: np.ndarray, x: np.ndarray, k: int, probes: int, search_ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of the lists that each row of ``x`` opens; n_of holds the lists' sizes."""
+    m = min(len(centroids), max(probes, -(-len(centroids) // PROBE_SHARE)))
+    every = sq_dist(x.astype(np.float64), centroids.astype(np.float64))
+    lists = np.argpartition(every, m - 1, axis=1)[:, :m]
+    d = np.take_along_axis(every, lists, 1)
+    order = np.argsort(d, axis=1, kind="stable")
+    lists, d = np.take_along_axis(lists, order, 1), np.take_along_axis(d, order, 1)
+    held = n_of[lists]
+    before = np.cumsum(held, axis=1) - held
+    row, at = np.nonzero((held > 0) & ((d <= search_ratio**2 * d[:, :1]) | (np.arange(m) < m // 2) | (before < 20 * k)))
+    return row, lists[row, at]
+
+
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id long, v array<double>) of the vectors that take part."""
     v = F.col(vec_col)
@@ -168,15 +185,9 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
 
         g, (n_of, salt_of) = shared.value, spread.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                piece = batch.slice(lo, 1024)
-                x = _matrix(piece.column(1))
-                lists, d = g.search(x, probes)
-                held = np.where(lists >= 0, n_of[lists], 0)
-                before = np.cumsum(held, axis=1) - held
-                keep = (lists >= 0) & (held > 0) & ((d <= search_ratio**2 * d[:, :1]) | (before < 20 * k))
-                row, at = np.nonzero(keep)
-                chosen = lists[row, at]
+            for lo in range(0, batch.num_rows, 256):
+                piece = batch.slice(lo, 256)
+                row, chosen = lists_to_open(g.c, n_of, _matrix(piece.column(1)), k, probes, search_ratio)
                 times = salt_of[chosen]
                 row, chosen = np.repeat(row, times), np.repeat(chosen, times)
                 salt = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)

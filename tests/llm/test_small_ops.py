@@ -149,6 +149,20 @@ def test_ann_recall_and_ties(spark):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_ann_opens_more_of_more_lists():
+    from millrace.llm import ann
+
+    rng = np.random.default_rng(2)
+    c = rng.normal(size=(8192, 64)).astype(np.float32)
+    for n in (2000, 4000, 8192):  # production: probes 48, ratio 1.35
+        x = np.concatenate([rng.normal(size=(20, 64)), c[:1]])  # the last one is a centroid: no other is within a ratio of 0
+        row, lists = ann.lists_to_open(c[:n], np.full(n, 256), x, 10, 48, 1.35)
+        opened, most = np.bincount(row, minlength=21), min(n, max(48, -(-n // 48)))
+        assert (opened[:20] == most).all() and most >= n / 48 and opened[20] >= most // 2
+        nearest_lists = np.argsort(((c[:n] - x[3]) ** 2).sum(1))[:most]
+        assert set(lists[row == 3].tolist()) == set(nearest_lists.tolist())
+
+
 def test_ann_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in nearest(df).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
