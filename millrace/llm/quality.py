@@ -10,9 +10,10 @@ Scoring is a sharded count join. Every block of documents asks each shard once f
 5-grams, the shards answer with log-probabilities in the same order, and the answers meet the block again by its
 number. A block is a run of rows of one Arrow batch of the scan, so ``docs`` must be a stored table; a fingerprint of
 the block's 5-grams travels with the answers, and a mismatch raises an error instead of wrong scores.
-Perplexity is per character. A document is kept if its perplexity is at most ``slack`` times the
-``quantile`` of the held-out tenth of trusted documents of its language (of all languages, where fewer than ``least`` are held
-out). All counts and quantiles cover all documents.
+Perplexity is per character. A document is kept if its perplexity is at most a quantile of the held-out tenth of
+trusted documents of its language (of all languages, where fewer than ``least`` are held out). Of ``quantiles`` that one
+is taken whose cuts reject the most documents labelled junk or toxic, less the held-out trusted ones they reject (as shares);
+the last one, times ``slack``, where fewer than ``least`` labelled bad documents are scored and nothing tells. All counts and quantiles cover all documents.
 
 Null and empty texts have no perplexity and are rejected; null languages form one group; without any
 held-out text nothing else is rejected. Repeated ids are scored one by one; a repeated or contradicted label is not trusted
@@ -319,7 +320,12 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.select("doc_id", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(10)) == 0).alias("held_out"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, quantile: float = 0.99, slack: float = 1.1, least: int = 20) -> DataFrame:
+def bad_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the documents that a label calls junk or toxic."""
+    return labels.where(F.col("doc_id").isNotNull() & ((F.col("quality") == 0) | (F.col("toxic") == 1))).select("doc_id").distinct()
+
+
+def classify(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, quantiles: tuple[float, ...] = (0.95, 0.96, 0.97, 0.98, 0.99), slack: float = 1.1, least: int = 20) -> DataFrame:
     """doc_id, lang, any further ``columns``, n_scored, perplexity, threshold and keep for every row of ``docs``."""
     columns = ["doc_id", "lang", *(c for c in columns or [] if c not in ("doc_id", "lang"))]
     trusted = materialize(trusted_ids(labels), "kn-trusted")
@@ -327,11 +333,24 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str] | None = Non
     training = docs.join(trusted.where("not held_out"), "doc_id").select("text")
     scored = materialize(perplexities(docs, training, columns), "kn-scores")
     held = scored.join(trusted.where("held_out"), "doc_id").where("perplexity IS NOT NULL")
-    cuts = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
-    overall = held.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("overall"))
+    cuts = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("perplexity", list(quantiles), 10_000).alias("own"))
+    overall = held.agg(F.percentile_approx("perplexity", list(quantiles), 10_000).alias("overall"))
     cuts = materialize(cuts, "kn-cuts")
-    cut = scored.join(hint_small(cuts, cuts.count(), 10_000).withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(overall))
-    threshold = F.round(F.when(F.col("n") >= least, F.col("own")).otherwise(F.col("overall")) * slack, 6)
+    small_cuts = hint_small(cuts, cuts.count(), 10_000).withColumnRenamed("lang", "_lang")
+
+    def with_cuts(rows: DataFrame) -> DataFrame:
+        both = rows.join(small_cuts, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(overall))
+        return both.withColumn("_cuts", F.when(F.col("n") >= least, F.col("own")).otherwise(F.col("overall")))
+
+    bad = scored.join(bad_ids(labels), "doc_id").where("perplexity IS NOT NULL").select("lang", "perplexity", F.lit(1).alias("_bad"))
+    tried = with_cuts(bad.union(held.select("lang", "perplexity", F.lit(0))))
+    over = [F.avg((F.col("perplexity") > F.col("_cuts")[i]).cast("int")).alias(f"r{i}") for i in range(len(quantiles))]
+    shares = {r["_bad"]: r for r in tried.groupBy("_bad").agg(F.count(F.lit(1)).alias("n"), *over).collect()}
+    at, times = len(quantiles) - 1, slack
+    if 0 in shares and 1 in shares and shares[1]["n"] >= least:
+        at, times = max(range(len(quantiles)), key=lambda i: (shares[1][f"r{i}"] - shares[0][f"r{i}"], i)), 1.0
+    cut = with_cuts(scored)
+    threshold = F.round(F.col("_cuts")[at] * times, 6)
     out = cut.withColumn("threshold", threshold)
     return out.select(*columns, "n_scored", "perplexity", "threshold", (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("keep"))
 

@@ -95,3 +95,20 @@ def test_classify_and_edges(spark):
     none = quality.classify(d, lab.limit(0)).collect()
     assert all(r.keep == (r.perplexity is not None) for r in none)
     assert quality.classify(d.limit(0), lab).count() == 0
+
+
+def test_cut_follows_labelled_bad_documents(spark):
+    from millrace.llm.common import materialize
+
+    rng = np.random.default_rng(3)
+    sylls = ["an", "the", "er", "on", "ing"]
+    prose = lambda odd=0: " ".join("".join(rng.choice(["qu", "xy"] if i < odd else sylls, rng.integers(1, 4))) for i in range(40))
+    docs = [(i, prose(), "en") for i in range(1500)] + [(5000 + i, prose(int(rng.integers(1, 3))), "en") for i in range(100)]  # toxic: good prose but for a word or two
+    docs = materialize(spark.createDataFrame(docs, "doc_id long, text string, lang string"), "t")
+    labels = spark.createDataFrame([(i, 1, int(i >= 5000)) for i in [*range(1500), *range(5000, 5100)]], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs, labels).toPandas()
+    toxic = out[out.doc_id >= 5000]
+    assert out.threshold.nunique() == 1
+    held = out.merge(quality.trusted_ids(labels).where("held_out").toPandas(), on="doc_id")
+    assert out.threshold.iloc[0] <= held.perplexity.max()  # no slack beyond the held-out documents
+    assert (~toxic.keep).mean() >= 0.9 and out[out.doc_id < 1500].keep.mean() >= 0.93
