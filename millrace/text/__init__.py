@@ -308,13 +308,11 @@ def tf_idf(df: DataFrame, key: str, name: str, smooth: bool = True, max_features
     return counts.join(weights, "term").select(key, "term", tf.alias("tf"), "idf", (tf * F.col("idf")).alias("tfidf"))
 
 
-def similarity_matrix(df: DataFrame, key: str, name: str, max_df: int = 1000) -> DataFrame:
-    """(key_a, key_b, similarity) of all pairs of documents that share a term, for a small collection.
+def similarity_matrix(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(key_a, key_b, similarity) of all pairs of documents that share a term, whatever their number.
 
-    Cosine of unsmoothed tf-idf. More than ``max_df`` documents is an error: similarity joins at scale are another operator.
+    Cosine of unsmoothed tf-idf. The work grows with the pairs that share a term, as the result does.
     """
-    if df.limit(max_df + 1).count() > max_df:
-        raise ValueError(f"more than {max_df} documents")
     w = tf_idf(df, key, name, smooth=False).select(key, "term", "tfidf")
     norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("norm"))
     a, b = w.toDF("key_a", "term", "wa"), w.toDF("key_b", "term", "wb")

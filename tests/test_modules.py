@@ -255,3 +255,11 @@ def test_models(spark):
     assert len(models.KMeans(["a", "b"], 3).fit(df).centers()) == 3 and models.Pca(["a", "b"], 1).fit(df).transform(df).columns[-1] == "pc1"
     x = [[0, 0], [0, 1], [10, 10], [10, 11], [50, 50]]
     assert models.dbscan(x, 1.5, 2).tolist() == [0, 0, 1, 1, -1] and len(set(models.agglomerative(x, 3).tolist())) == 3
+
+
+def test_similarity_of_more_than_a_thousand_documents(spark):
+    rows = [(i, f"w{i // 3} v{i // 3} own{i}") for i in range(1200)]
+    got = text.similarity_matrix(spark.createDataFrame(rows, "id int, body string"), "id", "body").collect()
+    assert sorted((r.key_a, r.key_b) for r in got) == [(3 * g + a, 3 * g + b) for g in range(400) for a, b in ((0, 1), (0, 2), (1, 2))]
+    shared, own = math.log(1200 / 3), math.log(1200)
+    assert all(abs(r.similarity - 2 * shared**2 / (2 * shared**2 + own**2)) < 1e-9 for r in got)
