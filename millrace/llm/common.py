@@ -6,7 +6,10 @@ Nothing here keeps state on one machine: intermediate tables go to the folder na
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import secrets
+import sys
 import tempfile
 import uuid
 
@@ -35,29 +38,60 @@ def _return_memory() -> None:
 
 
 _return_memory()
-#: Bytes hashed at once; the power tables of this length stay in a core's cache.
+#: Bytes hashed at once, so that the work arrays stay in a core's cache.
 CHUNK = 1 << 18
+#: Positions in a word that have a table of random values of their own.
+PLACES = 64
 #: Word separators of the op7/op8 contracts: space and \t..\r.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share. Only a local master gets a temporary one where none is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not path:
-        found = spark.sparkContext.getCheckpointDir()
-        path = found or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """This application's folder for stored tables; deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+    if path not in _SCRATCH:
+        _SCRATCH.add(path)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+_SCRATCH: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception as e:  # noqa: BLE001  the session may be gone at exit; a left folder is no fault of the result
+        print(f"not deleted: {path} ({type(e).__name__})", file=sys.stderr)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._stored_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,36 +113,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Polynomial hashes of words and word windows, from per-byte random values.
+    """Keyed 64-bit hashes of words and of runs of words.
 
-    A word's hash is the sum over its bytes of value[byte] * base**i, rebased to its start and
-    mixed; a window's hash is the same over its words' hashes. Everything is cumulative sums.
+    A word's sum of random values, one for each pair of place and byte, is mixed with its length; words that
+    differ meet with probability 2**-64 over the keys. Runs of words are hashed by doubling, with a mix in each
+    step, so no algebra of one level carries over to the next. Operators draw ``seed`` anew for every run
+    (see ``fresh_seed``), so no text can be made to collide, and take two hashers where 64 bits are too few.
     """
 
     def __init__(self, seed: int, lower: bool = False):
         rng = np.random.default_rng(seed)
-        self.values = rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+        values = rng.integers(0, 2**64, (PLACES, 256), dtype=np.uint64)
         if lower:
-            self.values[65:91] = self.values[97:123]
-        odd = rng.integers(1, 2**62, 2, dtype=np.uint64) * U64(4) + U64(3)
-        self.base, self.word_base = int(odd[0]), int(odd[1])
-        self._pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def powers(self, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        have = self._pow.get(base)
-        if have is None or len(have[0]) < n:
-            size = max(n, CHUNK + 1)
-            inv = pow(base, -1, 2**64)
-            up, down = np.empty(size, U64), np.empty(size, U64)
-            for out, b in ((up, base), (down, inv)):
-                out[0] = 1
-                filled = 1
-                while filled < size:
-                    k = min(filled, size - filled)
-                    out[filled : filled + k] = out[:k] * U64(pow(b, filled, 2**64))
-                    filled += k
-            have = self._pow[base] = (up, down)
-        return have
+            values[:, 65:91] = values[:, 97:123]
+        self.values = values.ravel()
+        self.far = values[PLACES - 1].copy()
+        self.odd = [U64(int(x) | 1) for x in rng.integers(0, 2**64, 6, dtype=np.uint64)]
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of data[s:e]; starts and ends ascend and do not overlap."""
@@ -117,12 +137,18 @@ class Hasher:
         while i < len(starts):
             lo = int(starts[i])
             j = max(i + 1, int(np.searchsorted(ends, lo + CHUNK, "right")))
-            hi = int(ends[j - 1])
-            up, down = self.powers(self.base, hi - lo + 1)
-            sums = np.zeros(hi - lo + 1, U64)
-            np.cumsum(self.values[data[lo:hi]] * up[: hi - lo], out=sums[1:])
             s, e = starts[i:j] - lo, ends[i:j] - lo
-            out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64))
+            part = data[lo : int(ends[j - 1])]
+            place = np.zeros(len(part), np.int32)
+            place[s] = s
+            place = np.arange(len(part), dtype=np.int32) - np.maximum.accumulate(place)
+            value = self.values[np.minimum(place, PLACES - 1) << 8 | part]
+            if int((e - s).max()) > PLACES:
+                late = np.flatnonzero(place >= PLACES)
+                value[late] = mix(self.far[part[late]] + place[late].astype(U64) * self.odd[0])
+            sums = np.zeros(len(part) + 1, U64)
+            np.cumsum(value, out=sums[1:])
+            out[i:j] = mix(sums[e] - sums[s] + (e - s).astype(U64) * self.odd[1])
             i = j
         return out
 
@@ -132,17 +158,26 @@ class Hasher:
         if n <= 0:
             return np.empty(0, U64)
         out = np.empty(n, U64)
-        step = CHUNK // 2
-        for lo in range(0, n, step):
-            hi = min(n, lo + step)
-            part = words[lo : hi + k - 1]
-            up, down = self.powers(self.word_base, len(part) + 1)
-            sums = np.zeros(len(part) + 1, U64)
-            np.cumsum(part * up[: len(part)], out=sums[1:])
-            out[lo:hi] = mix((sums[k:] - sums[: hi - lo]) * down[: hi - lo] + U64(k))
+        for lo in range(0, n, CHUNK // 4):
+            hi = min(n, lo + CHUNK // 4)
+            power, size, made, held = words[lo : hi + k - 1], 1, None, 0
+            while True:
+                if k & size:
+                    made = power if made is None else mix(made[: len(power) - held] * self.odd[2] + power[held:])
+                    held += size
+                if held == k:
+                    break
+                power = mix(power[:-size] * self.odd[3] + power[size:])
+                size *= 2
+            out[lo:hi] = mix(made[: hi - lo] * self.odd[4] + U64(k))
         return out
 
 
+def fresh_seed() -> int:
+    """128 random bits; drawn by the driver, so a repeated task hashes alike."""
+    return secrets.randbits(128)
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; nulls count as empty. Works on slices."""
     import pyarrow as pa
@@ -193,7 +228,7 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def buckets_for(df: DataFrame, each: int = 8 << 20, least: int = 16, most: int = 1 << 15) -> int:
+def buckets_for(df: DataFrame, each: int = 8 << 20, least: int = 16, most: int = 1 << 17) -> int:
     """A power of two of hash buckets, so that a bucket's share of ``df`` stays small."""
     want = max(1, min(estimated_bytes(df), each * most) // each)
     return max(least, min(most, 1 << (int(want) - 1).bit_length()))
