@@ -78,11 +78,51 @@ def test_held_out_accuracy():
     assert precision > 0.85 and recall > 0.85, (precision, recall)
 
 
-def test_windows_cover_and_reconcile():
-    for n in (0, 1, 47, 48, 49, 96, 1000):
-        starts = pii.window_starts(n)
-        cores = [p for s in starts for p in range(s + pii.CORE, s + pii.CORE + pii.STRIDE)]
-        assert cores[:n] == list(range(n)) and len(set(cores)) == len(cores)
+def spans_from(text, tags):
+    """Spans of given tags, by the rules of find_spans."""
+    keep, pii.tag_texts = pii.tag_texts, lambda tagger, texts: [tags]
+    try:
+        return pii.find_spans(None, [text])[0]
+    finally:
+        pii.tag_texts = keep
+
+
+def random_text(rng, n):
+    parts = ["hand ", "the ", "ontion ", ", ", "\n", " ", "(456) 555-2186 ", "+1 (456) 555-2186", "name.of@mail.example.com ", "4556 7375 8689 9855", "1.2.3.4", "@", "x@y", "12", "é", "long.name_" * 12, "7" * 30, "- ", "()", "a"]
+    return "".join(parts[i] for i in rng.integers(0, len(parts), n))
+
+
+def test_skipped_windows_change_nothing():
+    rng = np.random.default_rng(17)
+    tagger = pii.trained()
+    texts = [random_text(rng, int(n)) for n in rng.integers(0, 60, 150)] + [random_text(rng, 3000), "", "1", "@", "x" * 500 + "@b.c"]
+    searched = pii.tag_texts(tagger, texts)
+    added = 0
+    for text, tags in zip(texts, searched, strict=True):
+        whole = pii.tag_whole(tagger, text)
+        x = pii.classes(text)
+        assert not whole[~pii.inside(x)].any()
+        want, got = spans_from(text, whole), spans_from(text, tags)
+        assert want == got
+        added += len(got[1])
+    assert added > 50
+
+
+def test_a_long_local_part_is_found_whole():
+    name = "alexander.longname.more.and.more.of.it.that.goes.on.and.on.and.is.not.done.still@corp"
+    for before in range(0, 100, 9):
+        text = "x" * before + " please write to " + name + " for information"
+        base, added = pii.find_spans(pii.trained(), [text])[0]
+        at = text.index(name)
+        assert not base
+        assert all(s == at for s, _, _ in added)
+        tags = pii.tag_whole(pii.trained(), text)
+        assert spans_from(text, tags)[1] == added
+
+
+def test_weights_add_up_and_borders_do_not_matter():
+    total = pii._WEIGHT[: pii.STRIDE] + pii._WEIGHT[pii.STRIDE :]
+    assert np.allclose(total, 1)
     text = "hand the ontion " * 5 + "(456) 555-2186" + " that the inthe" * 6
     for pad in range(0, 100, 7):  # wherever the borders fall
         shifted = "x" * pad + " " + text
@@ -91,6 +131,38 @@ def test_windows_cover_and_reconcile():
         assert base == [] and added == [(at, 3, at + 14)], (pad, added)
 
 
+def test_pieces_are_decoded_as_one_by_one():
+    rng = np.random.default_rng(2)
+    tagger = pii.trained()
+    lens = rng.integers(1, 40, 30)
+    e = rng.normal(size=(int(lens.sum()), pii.TAGS)).astype(np.float32) * 3
+    starts = np.cumsum(lens) - lens
+    every = tagger.decode(e, starts, lens)
+    for s, n in zip(starts, lens, strict=True):
+        assert (every[s : s + n] == tagger.decode(e[s : s + n], np.array([0]), np.array([n]))).all()
+
+
+def test_the_query_against_plain_regexes(spark, tmp_path):
+    import hashlib
+
+    import __spark_entry__
+
+    rng = np.random.default_rng(9)
+    rows = [(i, random_text(rng, int(rng.integers(0, 50)))) for i in range(120)] + [(3, None), (None, "1.2.3.4 a@b.c"), (3, ""), (3, "")]
+    spark.createDataFrame([(*r, "s", 2) for r in rows], "doc_id long, text string, spans string, n_email int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = __spark_entry__.queries()["op10_pii"](spark, str(tmp_path)).collect()
+    want = []
+    for d, t in rows:
+        found = plain(t or "")
+        shown = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in found)
+        want.append((d, *(sum(k == i for _, k, _ in found) for i in range(4)), hashlib.sha256(shown.encode()).hexdigest()))
+    key = lambda r: (r[0] is None, r)
+    assert sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got), key=key) == sorted(want, key=key)
+    for r in got:
+        base = {r.n_email + r.n_ip + r.n_card + r.n_phone}
+        assert len([x for x in r.spans.split(",") if x]) == base.pop() + r.n_added
+
+
 def test_frame(spark):
     rows = [(1, None), (2, ""), (3, "mail bo.x@mail8.example.com or +1 (456) 555-2186"), (3, "ip 1.2.3.4, card 4556737586899855"), (None, "no data " * 3000), (5, "é@é " * 50)]
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, spans int")
