@@ -1,16 +1,20 @@
-"""Operator 5: quality by an interpolated modified Kneser-Ney model of characters.
-
-Trusted text (labelled good and not toxic, nine tenths of it by a hash of the id) gives counts of
-character 5-grams; lower orders use continuation counts, discounts are Chen and Goodman's D1, D2, D3+.
-Characters fall into 1,024 classes, so a 5-gram is an exact 50-bit number. Counts are sharded by the
-hash of the third and fourth character: that shard then holds all that orders 3 to 5 need for a 5-gram; orders 1 and 2
-are one dense table of 1,024 x 1,024 numbers (4 MB, whatever the input), which is broadcast.
-
-Scoring is a sharded count join. Every block of documents asks each shard once for its distinct
-5-grams, the shards answer with log-probabilities in the same order, and the answers meet the block again by its
-number. A block is a run of rows of one Arrow batch of the scan, so ``docs`` must be a stored table; a fingerprint of
-the block's 5-grams travels with the answers, and a mismatch raises an error instead of wrong scores.
-Perplexity is per character. A document is kept if its perplexity is at most a quantile of the held-out tenth of
+"""Operator 5: quality by an interpolated modified Kneser-Ney model of text in UTF-8.
+
+Trusted text (labelled good and not toxic, nine tenths of it by a hash of the id) gives counts of 5-grams
+of bytes; lower orders use continuation counts, discounts are Chen and Goodman's D1, D2, D3+. Bytes keep every
+character of every script apart, so a 5-gram is an exact 40-bit number; the byte 255, which UTF-8 never
+holds, stands before a text. Counts are sharded by the hash of the third and fourth byte: that shard
+then holds all that orders 3 to 5 need for a 5-gram; orders 1 and 2 are one dense table of 256 x 256 numbers (256 kB,
+whatever the input), which is broadcast.
+
+A pair of bytes can have a hot shard, but not an unbounded group: counts are merged in levels of about MERGE rows each, what a shard
+holds is bounded by its distinct 5-grams, and what asks for it is dealt over salts of about MERGE blocks, each with a copy of the shard.
+
+Scoring is a sharded count join. Documents are packed into numbered blocks, which are shuffled once by their number.
+Every block asks each shard once for its distinct 5-grams, the shards answer with log-probabilities in the same order,
+and the answers meet the block again. Perplexity is per character (the product over a text's bytes, to the power of one over its characters).
+
+A document is kept if its perplexity is at most a quantile of the held-out tenth of
 trusted documents of its language (of all languages, where fewer than ``least`` are held out). Of ``quantiles`` that one
 is taken whose cuts reject the most documents labelled junk or toxic, less the held-out trusted ones they reject (as shares);
 the last one, times ``slack``, where fewer than ``least`` labelled bad documents are scored and nothing tells. All counts and quantiles cover all documents.
@@ -27,39 +31,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import pack, unpack
-from .common import U64, estimated_bytes, hint_small, materialize, mix, slices, table, text_buffers
+from .common import U64, hint_small, materialize, mix, slices, table, text_buffers
 
-ORDER, BITS = 5, 10
+ORDER, BITS = 5, 8
 CLASSES = 1 << BITS
 MASK = [U64((1 << BITS * n) - 1) for n in range(ORDER + 1)]
 BLOCK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
 SHIFT = U64(BITS)
-START = 0
-
-
-def char_classes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(classes, first): characters of the documents data[o[i]:o[i+1]] as numbers 1..1023."""
-    part = data[int(offsets[0]) : int(offsets[-1])]
-    cp = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-    begins = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-    first = begins[offsets - int(offsets[0])]
-    digit = (cp >= 48) & (cp <= 57)
-    small = np.where(digit, 48, cp)
-    return np.where(small < 768, np.maximum(small, 1), 768 + mix(small.astype(U64)) % U64(256)).astype(np.uint64), first
-
-
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, first): the 5-gram that ends at each character; before a document stand START classes."""
-    cls, first = char_classes(data, offsets)
-    n_docs = len(offsets) - 1
-    lens = np.diff(first)
-    padded = np.zeros(len(cls) + (ORDER - 1) * n_docs, U64)
-    at = np.arange(len(cls)) + np.repeat((ORDER - 1) * np.arange(1, n_docs + 1), lens)
-    padded[at] = cls
-    code = padded.copy()
+START = 255
+N_SHARDS = 48
+#: Text after which a task that counts has sent its shards at least once, about.
+TASK_BYTES = 64 << 20
+#: Rows of a shard that are merged, and blocks that a copy of it answers, in one group.
+MERGE = 256
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The 5-gram that ends at each byte of data[lo:hi]; documents begin at ``offsets``, with START before them."""
+    n = ORDER - 1
+    part = np.full(n + hi - lo, START, np.uint8)
+    some = min(lo, n)
+    part[n - some :] = data[lo - some : hi]
+    part = part.astype(np.uint64)
+    code = part[n:].copy()
     for k in range(1, ORDER):
-        code[k:] |= padded[:-k] << U64(BITS * k)
-    return code[at] & MASK[ORDER], first
+        code |= part[n - k : -k] << U64(BITS * k)
+    begin = offsets[:-1]
+    begin = begin[np.searchsorted(begin, lo - n, "right") : np.searchsorted(begin, hi)]
+    for j in range(n - 1, -1, -1):  # a later document's first bytes are set after those of a short one before it
+        at = begin + (j - lo)
+        at = at[(at >= 0) & (at < hi - lo)]
+        code[at] = code[at] & MASK[j + 1] | MASK[ORDER] & ~MASK[j + 1]
+    return code
+
+
+def pieces(offsets: np.ndarray):
+    """(lo, hi) byte ranges of about SLICE_BYTES over all documents; long documents are cut."""
+    for lo in range(int(offsets[0]), int(offsets[-1]), SLICE_BYTES):
+        yield lo, min(lo + SLICE_BYTES, int(offsets[-1]))
 
 
 def shard_of(codes: np.ndarray, n_shards: int) -> np.ndarray:
@@ -84,16 +93,16 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
 
 def distinct_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Distinct 5-grams of a block, ascending."""
-    parts = [np.unique(grams(data, offsets[i : j + 1])[0]) for i, j in slices(offsets, SLICE_BYTES, 1 << 20)]
+    parts = [np.unique(grams(data, offsets, lo, hi)) for lo, hi in pieces(offsets)]
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, U64)
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """[0, D1, D2, D3+] from the numbers of n-grams seen once to four times."""
+    """[0, D1, D2, D3+] from the numbers of n-grams seen once to four times; half the count where the estimate is not inside (0, count]."""
     n1, n2, n3, n4 = (max(float(x), 0.0) for x in n)
-    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
-    raw = [0.0, 1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return np.array([min(max(d, 0.0), i * 1.0) if i else 0.0 for i, d in enumerate(raw)])
+    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.0
+    raw = [1 - 2 * y * n2 / n1 if n1 else 0.0, 2 - 3 * y * n3 / n2 if n2 else 0.0, 3 - 4 * y * n4 / n3 if n3 else 0.0]
+    return np.array([0.0, *(d if 0 < d <= i else i / 2 for i, d in enumerate(raw, 1))])
 
 
 class Level:
@@ -144,35 +153,65 @@ def _seen(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _train(trusted: DataFrame, n_shards: int) -> DataFrame:
-    """Stored shards of 5-gram counts of ``trusted`` (text): shard, codes, counts, seen (12 numbers), pairs, pair_counts."""
+def _train(trusted: DataFrame, n_shards: int, rows: int) -> DataFrame:
+    """Stored shards of 5-gram counts of ``trusted`` (text): shard, codes, counts, seen (12 numbers), pairs, pair_counts.
 
-    def count(batches):
+    ``rows`` is about how many rows of a shard the tasks send; they are merged in levels of about MERGE rows a group.
+    """
+
+    def send(parts, seq):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        codes, counts = merge_counts(parts)
+        order, runs = by_shard(codes, n_shards)
+        return _rows(pa, runs, codes[order], counts[order], [TaskContext.get().partitionId() << 32 | seq] * len(runs))
 
+    def count(batches):
+        parts, seq = [], 0
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            parts = [np.unique(grams(data, offsets[i : j + 1])[0], return_counts=True) for i, j in slices(offsets, SLICE_BYTES, 1 << 20)]
-            if not parts:
-                continue
-            codes, counts = merge_counts(parts)
-            order, runs = by_shard(codes, n_shards)
-            codes, counts = codes[order], counts[order]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array([codes[a:b].tobytes() for _, a, b in runs], pa.binary()), pa.array([counts[a:b].astype(np.uint32).tobytes() for _, a, b in runs], pa.binary())], names=["shard", "codes", "counts"])
+            for lo, hi in pieces(offsets):
+                parts.append(np.unique(grams(data, offsets, lo, hi), return_counts=True))
+                if len(parts) == 16:
+                    parts = [merge_counts(parts)]
+                if len(parts[0][0]) > 1 << 21:
+                    yield send(parts, seq)
+                    parts, seq = [], seq + 1
+        if parts:
+            yield send(parts, seq)
+
+    def read(group):
+        return merge_counts([(np.frombuffer(c.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)) for c, n in zip(group.column("codes"), group.column("counts"), strict=True)])
 
     def add(group):
         import pyarrow as pa
 
-        parts = [(np.frombuffer(c.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64)) for c, n in zip(group.column("codes"), group.column("counts"), strict=True)]
-        codes, counts = merge_counts(parts)
+        codes, counts = read(group)
+        return pa.Table.from_batches([_rows(pa, [(group.column("shard")[0].as_py(), 0, len(codes))], codes, counts, [group.column("part")[0].as_py()])])
+
+    def finish(group):
+        import pyarrow as pa
+
+        codes, counts = read(group)
         fours, four_counts = continuations(codes, 5)
         threes, three_counts = continuations(fours, 4)
         pairs, pair_counts = continuations(threes, 3)
         seen = _seen(counts) + _seen(four_counts) + _seen(three_counts)
         return pa.table({"shard": group.column("shard").slice(0, 1), "codes": pa.array([codes.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "seen": pa.array([seen], pa.list_(pa.int64())), "pairs": pa.array([pairs.tobytes()], pa.binary()), "pair_counts": pa.array([pair_counts.astype(np.int64).tobytes()], pa.binary())})
 
-    rows = trusted.mapInArrow(count, "shard int, codes binary, counts binary")
-    return materialize(rows.groupBy("shard").applyInArrow(add, "shard int, codes binary, counts binary, seen array<long>, pairs binary, pair_counts binary"), "kn-counts")
+    schema = "shard int, part long, codes binary, counts binary"
+    sent = trusted.mapInArrow(count, schema)
+    while rows > MERGE:
+        rows = -(-rows // MERGE)
+        sent = sent.groupBy("shard", F.pmod(F.xxhash64("part"), F.lit(rows)).alias("salt")).applyInArrow(add, schema)
+    return materialize(sent.groupBy("shard").applyInArrow(finish, "shard int, codes binary, counts binary, seen array<long>, pairs binary, pair_counts binary"), "kn-counts")
+
+
+def _rows(pa, runs, codes: np.ndarray, counts: np.ndarray, part: list[int]):
+    """One row for each (shard, lo, hi) of ``runs``."""
+    columns = [pa.array([r[0] for r in runs], pa.int32()), pa.array(part, pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in runs], pa.binary()) for x in (codes, counts.astype(np.int64)))]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "part", "codes", "counts"])
 
 
 def _statistics(shards: DataFrame):
@@ -191,33 +230,39 @@ def _statistics(shards: DataFrame):
 
 
 def perplexities(docs: DataFrame, trusted_text: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """``columns`` plus n_scored and perplexity of every row of the stored table ``docs``; trained on ``trusted_text`` (one string column)."""
+    """``columns`` plus n_scored and perplexity of every row of ``docs``; trained on ``trusted_text`` (one string column)."""
     spark = docs.sparkSession
-    n_shards = int(min(4096, max(24, estimated_bytes(docs) >> 24)))
-    shards = _train(trusted_text, n_shards)
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    shards = _train(trusted_text, N_SHARDS, n_bytes // TASK_BYTES)
     seen, low = _statistics(shards)
     shared = spark.sparkContext.broadcast((seen, low))
-    source = docs.select(*columns, F.col(text_col).alias("_text"))
+    salts = max(1, -(-n_bytes // (BLOCK_BYTES * MERGE)))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
-    def blocks_of(batches):
+    def number(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            data, offsets = text_buffers(batch.column(batch.num_columns - 1))
+            _, offsets = text_buffers(batch.column(batch.num_columns - 1))
             for i, j in slices(offsets, BLOCK_BYTES, 1 << 20):
-                yield part << 32 | seq, batch, data, offsets, i, j
+                piece = pa.RecordBatch.from_arrays(list(batch.slice(i, j - i).columns), names=batch.schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([pack(piece)], pa.binary())], names=["block_id", "payload"])
                 seq += 1
 
-    def ask(batches):
+    def texts(group):
+        batch = unpack(group.column("payload")[0].as_buffer())
+        return batch, *text_buffers(batch.column(len(columns)))
+
+    def ask(key, group):
         import pyarrow as pa
 
-        for block_id, _, data, offsets, i, j in blocks_of(batches):
-            codes = distinct_grams(data, offsets[i : j + 1])
-            mark = int(np.bitwise_xor.reduce(mix(codes)) >> U64(1)) if len(codes) else 0
-            order, runs = by_shard(codes, n_shards)
-            codes = codes[order]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array([block_id] * len(runs), pa.int64()), pa.array([mark] * len(runs), pa.int64()), pa.array([codes[a:b].tobytes() for _, a, b in runs], pa.binary())], names=["shard", "block_id", "mark", "asked"])
+        _, data, offsets = texts(group)
+        codes = distinct_grams(data, offsets)
+        order, runs = by_shard(codes, N_SHARDS)
+        codes, block_id = codes[order], key[0].as_py()
+        return pa.table({"shard": pa.array([r[0] for r in runs], pa.int32()), "salt": pa.array([block_id % salts] * len(runs), pa.int64()), "block_id": pa.array([block_id] * len(runs), pa.int64()), "asked": pa.array([codes[a:b].tobytes() for _, a, b in runs], pa.binary())})
 
     def answer(key, left, right):
         import pyarrow as pa
@@ -239,49 +284,36 @@ def perplexities(docs: DataFrame, trusted_text: DataFrame, columns: list[str], t
             for level, n in levels:
                 p = level.interpolate(r & MASK[n], p)
             out.append(np.log(p).astype(np.float32).tobytes())
-        return pa.table({"shard": right.column("shard"), "block_id": right.column("block_id"), "mark": right.column("mark"), "logs": pa.array(out, pa.binary())})
-
-    asked = source.mapInArrow(ask, "shard int, block_id long, mark long, asked binary")
-    answers = shards.select("shard", "codes", "counts").groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "shard int, block_id long, mark long, logs binary")
-
-    def ship(batches):
-        import pyarrow as pa
-
-        for block_id, batch, _, _, i, j in blocks_of(batches):
-            piece = pa.RecordBatch.from_arrays(list(batch.slice(i, j - i).columns), names=batch.schema.names)
-            yield pa.RecordBatch.from_arrays([pa.array([block_id], pa.int64()), pa.array([pack(piece)], pa.binary())], names=["block_id", "payload"])
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+        return pa.table({"shard": right.column("shard"), "block_id": right.column("block_id"), "logs": pa.array(out, pa.binary())})
 
     def score(key, left, right):
         import pyarrow as pa
 
-        if left.num_rows != 1:
-            raise RuntimeError("a block was cut otherwise when it was read again; store the documents first")
-        batch = unpack(left.column("payload")[0].as_buffer())
-        data, offsets = text_buffers(batch.column(len(columns)))
+        batch, data, offsets = texts(left)
         codes = distinct_grams(data, offsets)
-        mark = int(np.bitwise_xor.reduce(mix(codes)) >> U64(1)) if len(codes) else 0
-        if any(m != mark for m in right.column("mark").to_pylist()):
-            raise RuntimeError("a block was cut otherwise when it was read again; store the documents first")
-        order, runs = by_shard(codes, n_shards)
+        order, runs = by_shard(codes, N_SHARDS)
         logs = np.empty(len(codes))
         got = dict(zip(right.column("shard").to_pylist(), right.column("logs"), strict=True))
         for s, a, b in runs:
             logs[order[a:b]] = np.frombuffer(got[s].as_buffer(), np.float32)
         look = Lookup(codes, logs)
-        sums, sizes = [], []
-        for i, j in slices(offsets, SLICE_BYTES, 1 << 20):
-            at, first = grams(data, offsets[i : j + 1])
-            total = np.concatenate([[0.0], np.cumsum(look(at))])
-            sums.append(total[first[1:]] - total[first[:-1]])
-            sizes.append(np.diff(first))
-        n = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
-        mean = (np.concatenate(sums) if sums else np.empty(0)) / np.maximum(n, 1)
+        sums, chars = np.zeros(len(offsets)), np.zeros(len(offsets), np.int64)  # up to each document's start
+        total, count = 0.0, 0
+        for lo, hi in pieces(offsets):
+            a, b = np.searchsorted(offsets, [lo, hi], "right")
+            run = np.concatenate([[total], total + np.cumsum(look(grams(data, offsets, lo, hi)))])
+            heads = np.concatenate([[count], count + np.cumsum(data[lo:hi] & 0xC0 != 0x80)])
+            sums[a:b], chars[a:b] = run[offsets[a:b] - lo], heads[offsets[a:b] - lo]
+            total, count = run[-1], heads[-1]
+        n = np.diff(chars)
+        mean = np.diff(sums) / np.maximum(n, 1)
         return pa.table({**{c: batch.column(k) for k, c in enumerate(columns)}, "n_scored": pa.array(n, pa.int64()), "perplexity": pa.array(np.round(np.exp(-mean), 6), pa.float64(), mask=n == 0)})
 
-    shipped = source.mapInArrow(ship, "block_id long, payload binary")
-    return shipped.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(score, f"{kinds}, n_scored long, perplexity double")
+    blocks = docs.select(*columns, F.col(text_col).alias("_text")).mapInArrow(number, "block_id long, payload binary").groupBy("block_id")
+    asked = blocks.applyInArrow(ask, "shard int, salt long, block_id long, asked binary")
+    copies = shards.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "codes", "counts")
+    answers = copies.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(answer, "shard int, block_id long, logs binary")
+    return blocks.cogroup(answers.groupBy("block_id")).applyInArrow(score, f"{kinds}, n_scored long, perplexity double")
 
 
 class Lookup:
@@ -325,7 +357,7 @@ def bad_ids(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & ((F.col("quality") == 0) | (F.col("toxic") == 1))).select("doc_id").distinct()
 
 
-def classify(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, quantiles: tuple[float, ...] = (0.95, 0.96, 0.97, 0.98, 0.99), slack: float = 1.1, least: int = 20) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, quantiles: tuple[float, ...] = (0.95, 0.96, 0.97, 0.98, 0.99), slack: float = 1.0, least: int = 20) -> DataFrame:
     """doc_id, lang, any further ``columns``, n_scored, perplexity, threshold and keep for every row of ``docs``."""
     columns = ["doc_id", "lang", *(c for c in columns or [] if c not in ("doc_id", "lang"))]
     trusted = materialize(trusted_ids(labels), "kn-trusted")
