@@ -201,7 +201,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
         _, salt_of = spread.value
         for batch in batches:
             at, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.uint64)
-            salt = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % salt_of[at]
+            salt = ((ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) + np.arange(len(ids))) % salt_of[at]  # rows of a repeated id are dealt out too
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(salt.astype(np.int32)), batch.column(1), batch.column(2)], names=["list", "salt", "vec_id", "v"])
 
     blocks = posts.mapInArrow(salted, "list int, salt int, vec_id long, v array<double>")
@@ -217,17 +217,18 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
                 gap = x - q[i]
                 d = np.sqrt((gap * gap).sum(1))
                 d[ids == asked[i]] = np.inf
-                near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                near = near[np.isfinite(d[near])]
-                best, seen = near[np.lexsort((ids[near], d[near]))], []
-                for j in best.tolist():
-                    if ids[j] not in seen:
-                        seen.append(ids[j])
-                        out_q.append(asked[i])
-                        out_v.append(ids[j])
-                        out_d.append(d[j])
-                        if len(seen) == k:
-                            break
+                near, want = np.arange(len(d)), k
+                while True:  # repeated ids can fill the nearest rows: look further until k ids are in them
+                    cut = np.partition(d, want - 1)[want - 1] if want < len(d) else np.inf
+                    near = np.flatnonzero((d <= cut) & np.isfinite(d))
+                    near = near[np.lexsort((ids[near], d[near]))]
+                    near = near[np.sort(np.unique(ids[near], return_index=True)[1])][:k]  # an id's nearest row
+                    if len(near) == k or want >= len(d):
+                        break
+                    want *= 4
+                out_q += [asked[i]] * len(near)
+                out_v += ids[near].tolist()
+                out_d += d[near].tolist()
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_d, pa.float64())})
 
     found = blocks.groupBy("list", "salt").cogroup(queries.groupBy("list", "salt")).applyInArrow(scan, "query_id long, vec_id long, score double")

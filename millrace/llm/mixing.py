@@ -31,7 +31,7 @@ def _uniform(*parts):
 
 def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
     """(_source, n, rate, parts, cdf): by default weights go with the square root of a source's size."""
-    counts = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("_source")).agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.select(F.coalesce(F.col(source_col), F.lit("")).alias("_source")).groupBy("_source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         weight = F.sqrt(F.col("n").cast("double"))
     else:
@@ -51,27 +51,33 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float]
     return out.select("_source", "n", "rate", "parts", steps["cdf"].alias("cdf"))
 
 
-def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 17, max_broadcast: int = 10_000) -> DataFrame:
-    """``docs`` with each row as often as drawn, plus _copy (from 1) and _order_key, in global random order."""
+def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 17, max_broadcast: int = 10_000, copy_col: str = "_copy", order_col: str = "_order_key") -> DataFrame:
+    """``docs`` with each row as often as drawn, plus its copy number (from 1) and order key, in global random order.
+
+    Every column of ``docs`` is kept, whatever its name; only ``copy_col`` and ``order_col`` may not be among them.
+    """
+    if taken := {copy_col, order_col} & set(docs.columns):
+        raise ValueError(f"choose other names than {sorted(taken)} for the added columns")
     table_ = rates(docs, source_col, weights, epochs)
     n_sources = table_.count()
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    left = docs.withColumn("_source", F.coalesce(F.col(source_col), F.lit("")))
+    key = F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("null"))
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("_source"))
     joined = left.join(hint_small(table_.drop("n", "rate"), n_sources, max_broadcast), "_source")
     draws = F.aggregate(
         F.sequence(F.lit(1), F.col("parts")), F.lit(0),
         lambda acc, p: acc + F.size(F.filter(F.col("cdf"), lambda c: c <= _uniform(F.lit(seed), key, p))),
     )
-    one = F.size(F.filter(F.col("cdf"), lambda c: c <= F.col("_u")))
-    drawn = joined.withColumn("_u", _uniform(F.lit(seed), key, F.lit(1))).withColumn("_n", F.when(F.col("parts") == 1, one).otherwise(draws)).where("_n > 0")
-    copies = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_source", "parts", "cdf", "_u", "_n")
-    keyed = copies.withColumn("_order_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), key, F.col("_copy").cast("string"))))
-    return keyed.repartition("_order_key").sortWithinPartitions("_order_key")
+    one = F.size(F.filter(F.col("cdf"), lambda c: c <= F.col("u")))
+    drawn = joined.withColumn("u", _uniform(F.lit(seed), key, F.lit(1))).withColumn("times", F.when(F.col("parts") == 1, one).otherwise(draws)).where("times > 0")
+    copies = drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    keyed = copies.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), key, F.col("copy").cast("string"))))
+    out = keyed.repartition("order_key").sortWithinPartitions("order_key")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("copy").alias(copy_col), F.col("order_key").alias(order_col))
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:
-    out = replicate(table(spark, sf_dir, "documents"))
-    return out.withColumnsRenamed({"_copy": "copy", "_order_key": "order_key"})
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return replicate(docs, copy_col="copy", order_col="order_key")
 
 
 SQL = """WITH RECURSIVE s AS (SELECT coalesce(source, '') AS src, count(*) AS n, sqrt(count(*)::DOUBLE) AS w FROM documents GROUP BY 1),

@@ -72,7 +72,6 @@ def _count(seed, key, rate):
 def test_mixing(spark, weights, epochs):
     rows = [(i, f"t{i}", ["a", "b", "c", None][0 if i % 3 == 0 else i % 4], 5) for i in range(400)] + [(None, "n", "a", 1), (3, None, "b", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, parts int")
-    df = df.withColumnRenamed("parts", "n_chars")
     src = [r[2] or "" for r in rows]
     n = {s: src.count(s) for s in set(src)}
     w = {s: math.sqrt(n[s]) if weights is None else float(weights.get(s, 0)) for s in n}
@@ -83,11 +82,25 @@ def test_mixing(spark, weights, epochs):
         want += [(r, c) for c in range(1, _count(17, "null" if r[0] is None else r[0], rate) + 1)]
     for cap in (10_000, 0):  # broadcast and shuffled rates
         got = mixing.replicate(df, weights=weights, epochs=epochs, max_broadcast=cap).collect()
-        assert sorted(map(str, (((r.doc_id, r.text, r.source, r.n_chars), r._copy) for r in got))) == sorted(map(str, want))
+        assert sorted(map(str, (((r.doc_id, r.text, r.source, r.parts), r._copy) for r in got))) == sorted(map(str, want))
     if total:
         assert abs(len(want) - epochs * len(rows)) < 6 * math.sqrt(epochs * len(rows)) * 3
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    taken = ["_source", "parts", "cdf", "_u", "_n", "u", "times", "row", "copy", "order_key", "n", "w", "rate", "all_n", "a.b"]
+    rows = [(i, "ab"[i % 2], *range(len(taken))) for i in range(60)]
+    df = spark.createDataFrame(rows, ["doc_id", "source", *taken])
+    got = mixing.replicate(df).collect()
+    assert got[0].__fields__ == ["doc_id", "source", *taken, "_copy", "_order_key"]
+    assert got and all(tuple(r)[2:-2] == tuple(range(len(taken))) for r in got)
+    plain = mixing.replicate(df.select("doc_id", "source")).collect()
+    assert sorted((r.doc_id, r._copy) for r in got) == sorted((r.doc_id, r._copy) for r in plain)
+    with pytest.raises(ValueError, match="other names"):
+        mixing.replicate(df, copy_col="copy")
+    assert mixing.replicate(df.limit(0)).count() == 0
+
+
 # ------------------------------------------------------------------ 4
 
 
@@ -168,3 +181,21 @@ def test_ann_small_and_empty(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in nearest(df).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
     assert nearest(df.limit(0)).count() == 0
     assert nearest(df.where("vec_id = 0")).count() == 0
+
+
+@pytest.mark.parametrize("copies", [3, 40])
+def test_ann_repeated_ids_do_not_use_up_the_answers(spark, copies):
+    rng = np.random.default_rng(copies)
+    x = rng.normal(size=(40, 4)).round(1)
+    x[20:30] = x[5]  # ties around the tenth place
+    rows = [(i, x[i].tolist()) for i in range(40) for _ in range(copies)] + [(7, rng.normal(size=4).tolist()), (0, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = nearest(df).collect()
+    ids, every = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    assert {r.query_id for r in got} == {0}
+    best = {}
+    for at in np.flatnonzero(ids == 0):
+        for v, i in brute(ids, every, at, 40):
+            best[i] = min(best.get(i, np.inf), v)
+    want = sorted((v, i) for i, v in best.items())[:10]
+    assert [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == want
