@@ -1,23 +1,30 @@
 """Operator 8: documents linked by the Jaccard similarity of their word shingles.
 
-The incidence matrix of documents and shingles is cut into column blocks by hashing. Documents of
+The incidence matrix of documents and shingles is multiplied with its transpose in tiles. A tile holds the rows of
+some documents and a list of pairs to be counted; it goes through the columns (shingles, in order of their hash) block by
+block, adds up each pair's overlap, and discards a pair once what it has and what the later blocks can still
+give are below the overlap that follows from the two sizes. Tiles are cut by the bytes of their rows, so a document with very many
+partners is dealt over several.
+
+Which pairs a tile counts: every pair that links agrees entirely in some column blocks. Documents of
 one size band use the same cut into 1.2 d + 3 blocks, where d bounds how many shingles two linked
-documents of that band can differ in; so at least 0.2 d + 3 blocks of linked documents agree entirely.
+documents of that band can differ in; so at least 0.2 d + 3 blocks of linked documents agree.
 A block's content hash is a signature. Blocks of less than two shingles are weak, and a document leaves
 their signatures out if it has fewer of them than blocks that must agree: then one that agrees is not weak.
 (Otherwise it gives all, also to a partner that leaves its weak ones out and may share but one with it.)
+Pairs without a common signature are never made; of those with one, size ratio and parities of shingle counters
+(512 for all and up to 16,384 for long documents) discard most before the product.
 
-Only documents that share a signature are multiplied: overlap counts accumulate in a sparse product over
-batches of pairs, and pairs below the bounds that follow from the two sizes (overlap, size ratio, parities
-of shingle counters, 512 for all and up to 16,384 for long documents) are discarded before it.
+Copies collapse first (equal sets are one node). In each signature every node is multiplied with the
+smallest node, then, while many are apart, with other members of its largest component; at last every
+remaining pair of different components within a signature, so components are exact. No pair is
+made inside a component, and a signature with many members left is dealt over squares of at most 2 SIDE of them.
 
-Copies collapse first (equal sets are one node). In each signature every node is verified against the
-smallest node, then, while many are apart, against other members of its largest component; at last every
-remaining pair of different components within a signature is verified, so components are exact. No pair is
-made inside a component.
+Shingles are 64-bit hashes, keyed with bits drawn for the run; a node is a 64-bit hash of its set, and sets are told
+apart by a second one: where nodes of different sets meet (expected: 3 times among 10**10 sets) they are renamed.
 
 Words are lower-cased (A-Z) runs without space, tab, line or page breaks; fewer words than the
-shingle length make one shingle; no words make an empty set that links with nothing.
+shingle length make one shingle; no words make an empty set that links with nothing. Rows that repeat an id are documents of their own.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, buckets_for, find_words, hint_small, materialize, mix, slices, split_buckets, table, text_buffers
+from .common import U64, Hasher, buckets_for, find_words, forget, fresh_seed, hint_small, materialize, mix, slices, split_buckets, table, text_buffers
 from .components import connected
 
 PARITY = 8  # 64-bit words
@@ -40,31 +47,34 @@ HOT = 32
 MORE_STARS, WORTH, FEW_LINKS = 5, 0.2, 100
 SLICE_BYTES, SLICE_DOCS = 1 << 20, 1000
 SEND_SIGNATURES = 1_000_000
-_HASHER: list[Hasher] = []
+#: Shingles in the rows of a tile, about, and column blocks it goes through.
+TILE, COLUMN_BLOCKS = 1 << 20, 8
+#: Members of a signature that are paired in one key of the last join's either side.
+SIDE = 64
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): each document's distinct shingles, ascending, as 54-bit numbers. At most 1,024 documents."""
-    if not _HASHER:
-        _HASHER.append(Hasher(81, lower=True))
-    h = _HASHER[0]
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, h: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): each document's distinct shingles, ascending."""
     starts, ends, first = find_words(data, offsets)
     words = h.words(data[int(offsets[0]) :], starts, ends)
     counts = np.diff(first)
+    sizes = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
+    cut = np.concatenate([[0], np.cumsum(sizes)])
+    every = np.empty(int(cut[-1]), U64)
     doc = np.repeat(np.arange(len(counts)), counts)
-    left = first[doc + 1] - np.arange(len(words))
-    at = np.flatnonzero(left >= k)
-    keys = [h.windows(words, k)[at] >> U64(10) | doc[at].astype(U64) << U64(54)] if len(at) else []
+    at = np.flatnonzero(first[doc + 1] - np.arange(len(words)) >= k)
+    if len(at):
+        every[np.repeat(counts >= k, sizes)] = h.windows(words, k)[at]
     for n in range(1, k):  # documents shorter than a shingle
         short = np.flatnonzero(counts == n)
         if len(short):
-            keys.append(h.windows(words, n)[first[short]] >> U64(10) | short.astype(U64) << U64(54))
-    every = np.sort(np.concatenate(keys)) if keys else np.empty(0, U64)
+            every[cut[short]] = h.windows(words, n)[first[short]]
+    for i in np.flatnonzero(sizes > 1).tolist():
+        every[cut[i] : cut[i + 1]].sort()
     keep = np.ones(len(every), bool)
     keep[1:] = every[1:] != every[:-1]
-    every = every[keep]
-    cut = np.searchsorted(every >> U64(54), np.arange(len(counts) + 1, dtype=np.uint64))
-    return every & U64((1 << 54) - 1), cut
+    keep[cut[:-1][sizes > 0]] = True
+    return every[keep], np.concatenate([[0], np.cumsum(keep)])[cut]
 
 
 class Bands:
@@ -137,34 +147,49 @@ def parities(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, PARITY)
 
 
-def _shingled(batch, k: int):
-    """(first row, last row, shingles, cut, nodes) of an Arrow batch's slices; a node is the hash of a set."""
-    data, offsets = text_buffers(batch.column(1))
-    for i, j in slices(offsets, SLICE_BYTES, SLICE_DOCS):
-        h, cut = shingle_sets(data, offsets[i : j + 1], k)
-        total = np.concatenate([[U64(0)], np.cumsum(mix(h + U64(3)))])
-        yield i, j, h, cut, mix(total[cut[1:]] - total[cut[:-1]] + np.diff(cut).astype(U64)).view(np.int64)
+class Sets:
+    """How a run of the operator hashes: shingle length, key, and the nodes that stand for several sets."""
+
+    def __init__(self, k: int, seed: int | None = None, clashes: tuple[int, ...] = ()):
+        self.k, self.seed = k, fresh_seed() if seed is None else seed
+        self.clashes = np.array(clashes, np.int64)
+
+    def read(self, batch):
+        """(first row, last row, shingles, cut, nodes, checks) of an Arrow batch's slices; a node is the hash of a set."""
+        hasher = Hasher(self.seed, lower=True)
+        data, offsets = text_buffers(batch.column(1))
+        for i, j in slices(offsets, SLICE_BYTES, SLICE_DOCS):
+            h, cut = shingle_sets(data, offsets[i : j + 1], self.k, hasher)
+            node, check = (self._sums(h, cut, odd) for odd in (U64(3), U64(0x9E3779B97F4A7C15)))
+            if len(self.clashes):
+                node = np.where(np.isin(node, self.clashes), check, node)
+            yield i, j, h, cut, node, check
 
+    @staticmethod
+    def _sums(h: np.ndarray, cut: np.ndarray, odd: np.uint64) -> np.ndarray:
+        total = np.concatenate([[U64(0)], np.cumsum(mix(h + odd))])
+        return mix(total[cut[1:]] - total[cut[:-1]] + np.diff(cut).astype(U64)).view(np.int64)
 
-def _figures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(doc_id, node, n, known, parity, wide) of every row; wide only for long documents."""
+
+def _figures(docs: DataFrame, id_col: str, text_col: str, sets: Sets) -> DataFrame:
+    """(doc_id, node, check, n, known, parity, wide) of every row; wide only for long documents."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             ids = batch.column(0)
-            for i, j, h, cut, node in _shingled(batch, k):
+            for i, j, h, cut, node, check in sets.read(batch):
                 n = np.diff(cut)
                 parity = pa.FixedSizeListArray.from_arrays(pa.array(parities(h, cut).ravel()), PARITY).cast(pa.list_(pa.int64()))
                 wide = [wide_parity(h[cut[x] : cut[x + 1]]).tobytes() if n[x] >= WIDE_FROM else None for x in range(j - i)]
                 part = ids.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.cast(pa.int64()), pa.array(node), pa.array(n), part.is_valid(), parity, pa.array(wide, pa.binary())], names=["doc_id", "node", "n", "known", "parity", "wide"])
+                yield pa.RecordBatch.from_arrays([part.cast(pa.int64()), pa.array(node), pa.array(check), pa.array(n), part.is_valid(), parity, pa.array(wide, pa.binary())], names=["doc_id", "node", "check", "n", "known", "parity", "wide"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, node long, n long, known boolean, parity array<long>, wide binary")
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, node long, check long, n long, known boolean, parity array<long>, wide binary")
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, n_buckets: int) -> DataFrame:
+def _members(docs: DataFrame, id_col: str, text_col: str, sets: Sets, num: int, den: int, n_buckets: int) -> DataFrame:
     """(sig, node, meta, center) of every signature that several nodes share.
 
     A run of documents sends each signature once, in the name of its smallest node; its other nodes of that signature
@@ -177,7 +202,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
             valid = ~np.asarray(batch.column(0).is_null())
             known: set[int] = set()
             nodes, sigs, owners, held = [], [], [], 0
-            for i, j, h, cut, node in _shingled(batch, k):
+            for i, j, h, cut, node, _ in sets.read(batch):
                 new = np.zeros(j - i, bool)
                 for q, x in enumerate(node.tolist()):
                     if valid[i + q] and x not in known:
@@ -302,27 +327,29 @@ def _bound(num: int, den: int):
     return (small * den >= large * num) & (differ * (den + num) <= (small + large) * (den - num))
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, set binary) of ``wanted`` (node, doc_id); one text stands for each node."""
-    wanted = materialize(wanted.select("node", F.col("doc_id").alias("_want")), "jaccard-wanted")
+def _rows_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, sets: Sets) -> DataFrame:
+    """(node, set binary) of ``wanted`` (node, doc_id); several rows of a node are alike."""
+    wanted = materialize(wanted.select(F.col("node").alias("_node"), F.col("doc_id").alias("_want")), "jaccard-wanted")
     text = docs.select(F.col(id_col).cast("long").alias("_want"), F.col(text_col).alias("_text"))
-    rows = text.join(hint_small(wanted, wanted.count()), "_want").select("node", "_text")
+    rows = text.join(hint_small(wanted, wanted.count()), "_want").select("_node", "_text")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for i, j in slices(offsets, SLICE_BYTES, SLICE_DOCS):
-                h, cut = shingle_sets(data, offsets[i : j + 1], k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([h[cut[x] : cut[x + 1]].tobytes() for x in range(j - i)], pa.binary())], names=["node", "set"])
+            want = np.asarray(batch.column(0))
+            for i, j, h, cut, node, _ in sets.read(batch):
+                mine = np.flatnonzero(node == want[i:j])  # an id may stand for several texts
+                yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array([h[cut[x] : cut[x + 1]].tobytes() for x in mine], pa.binary())], names=["node", "set"])
 
     return materialize(rows.mapInArrow(run, "node long, set binary"), "jaccard-sets")
 
 
 def overlaps(lefts: list[np.ndarray], right: np.ndarray) -> np.ndarray:
-    """One column of the sparse product: how many of each left set are in ``right`` (both ascending)."""
+    """How many of each left set are in ``right`` (all ascending)."""
     lens = np.array([len(x) for x in lefts])
+    if not len(right):
+        return np.zeros(len(lefts), np.int64)
     flat = np.concatenate(lefts)
     at = np.minimum(np.searchsorted(right, flat), len(right) - 1)
     hit = np.concatenate([[0], np.cumsum(right[at] == flat)])
@@ -330,27 +357,53 @@ def overlaps(lefts: list[np.ndarray], right: np.ndarray) -> np.ndarray:
     return hit[ends] - hit[ends - lens]
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets' similarity reaches num/den."""
-    with_b = pairs.join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b")
-    with_both = with_b.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a").select("a", "b", "set_a", "set_b")
-
-    def run(batches):
+def tile_product(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """(which of the pairs of rows (a, b) reach num/den, multiplications left out): the sparse product of a tile, column block by column block."""
+    sizes = np.array([len(x) for x in rows], np.int64)
+    borders = np.array([(1 << 64) // COLUMN_BLOCKS * c for c in range(1, COLUMN_BLOCKS)], U64)
+    cuts = np.array([[0, *np.searchsorted(x, borders), len(x)] for x in rows], np.int64)
+    need = -(-num * (sizes[a] + sizes[b]) // (den + num))  # overlap from which intersection / union is num/den
+    have, left_out = np.zeros(len(a), np.int64), 0
+    live = np.flatnonzero(np.minimum(sizes[a], sizes[b]) >= need)
+    for block in range(COLUMN_BLOCKS):
+        left_out += len(a) - len(live)
+        if not len(live):
+            continue
+        live = live[np.argsort(b[live], kind="stable")]
+        for part in np.split(live, np.flatnonzero(np.diff(b[live])) + 1):
+            y = int(b[part[0]])
+            column = rows[y][cuts[y, block] : cuts[y, block + 1]]
+            have[part] += overlaps([rows[x][cuts[x, block] : cuts[x, block + 1]] for x in a[part].tolist()], column)
+        rest = np.minimum(sizes[a[live]] - cuts[a[live], block + 1], sizes[b[live]] - cuts[b[live], block + 1])
+        live = live[have[live] + rest >= need[live]]
+    good = np.zeros(len(a), bool)
+    good[live] = True
+    return good, left_out
+
+
+def _product(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sets: Sets, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets' similarity reaches num/den. ``pairs``: stored, distinct (a, b, na, nb, da, db)."""
+    size = pairs.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0
+    n_tiles = max(1, -(-size // TILE))
+    heavy = materialize(pairs.groupBy("b").agg(F.ceil(F.sum("na") / TILE).alias("split")).where("split > 1"), "jaccard-heavy")
+    split = F.coalesce(F.col("split"), F.lit(1))
+    dealt = pairs.join(hint_small(heavy, heavy.count()), "b", "left").withColumn("tile", F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), split)), F.lit(n_tiles)))
+    dealt = materialize(dealt.select("tile", "a", "b", "da", "db"), "jaccard-tiles")
+    ends = dealt.select("tile", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("da").alias("doc_id")), F.struct(F.col("b").alias("node"), F.col("db").alias("doc_id")))).alias("x")).select("tile", "x.*").distinct()
+    wanted = ends.select("node", "doc_id").distinct()
+    rows = _rows_of(docs, id_col, text_col, wanted, sets).join(ends.select(F.col("tile").alias("at"), "node"), "node")
+
+    def run(key, left, right):
         import pyarrow as pa
 
-        for batch in batches:
-            a, b = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            keep = np.zeros(len(a), bool)
-            order = np.argsort(b, kind="stable")
-            for rows in np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(a) else []:
-                right = np.frombuffer(batch.column(3)[int(rows[0])].as_buffer(), np.uint64)
-                lefts = [np.frombuffer(batch.column(2)[int(i)].as_buffer(), np.uint64) for i in rows]
-                both = overlaps(lefts, right)
-                union = np.array([len(x) for x in lefts]) + len(right) - both
-                keep[rows] = both * den >= union * num
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        nodes = {n: i for i, n in enumerate(right.column("node").to_pylist())}
+        matrix = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("set")]
+        a, b = left.column("a"), left.column("b")
+        at = [np.fromiter(map(nodes.__getitem__, x.to_pylist()), np.int64, left.num_rows) for x in (a, b)]
+        good = pa.array(tile_product(matrix, *at, num, den)[0]) if left.num_rows else pa.array([], pa.bool_())
+        return pa.table({"a": a.filter(good), "b": b.filter(good)})
 
-    return with_both.mapInArrow(run, "a long, b long")
+    return dealt.select("tile", "a", "b").groupBy("tile").cogroup(rows.groupBy("at")).applyInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, with_links: bool = False) -> DataFrame:
@@ -360,40 +413,49 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null. With ``with_links`` also the verified links (a, b: smallest ids of two different sets) are
     returned as a second frame; they connect every component.
     """
-    figures = materialize(_figures(docs, id_col, text_col, shingle), "jaccard-figures")
-    nodes = materialize(figures.where("known and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.max("wide").alias("wide")), "jaccard-nodes")
-    members = materialize(_without_hot(_members(docs, id_col, text_col, shingle, num, den, buckets_for(docs))), "jaccard-met")
+    sets = Sets(shingle)
+    figures = materialize(_figures(docs, id_col, text_col, sets), "jaccard-figures")
+
+    def by_node(rows: DataFrame) -> DataFrame:
+        figures_of = [F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.max("wide").alias("wide"), (F.min("check") != F.max("check")).alias("clash")]
+        return materialize(rows.where("known and n > 0").groupBy("node").agg(*figures_of), "jaccard-nodes")
+
+    nodes = by_node(figures)
+    clashes = [r["node"] for r in nodes.where("clash").select("node").collect()]  # about N**2 / 2**65 of N sets
+    if clashes:
+        sets = Sets(shingle, sets.seed, tuple(clashes))
+        figures = figures.withColumn("node", F.when(F.col("node").isin(clashes), F.col("check")).otherwise(F.col("node")))
+        nodes = by_node(figures)
+    members = materialize(_without_hot(_members(docs, id_col, text_col, sets, num, den, buckets_for(docs))), "jaccard-met")
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of nodes within the bounds."""
-        a = pairs.join(nodes.select(F.col("node").alias("a"), F.struct("n", "parity").alias("fa")), "a")
-        both = a.join(nodes.select(F.col("node").alias("b"), F.struct("n", "parity").alias("fb")), "b")
-        return both.select(F.struct(F.col("a").alias("node"), "fa.*").alias("a"), F.struct(F.col("b").alias("node"), "fb.*").alias("b")).where(_bound(num, den)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        """Pairs (a, b) of nodes within the bounds, with their sizes and ids."""
+        figures_of = F.struct("n", "parity", "doc_id")
+        both = pairs.join(nodes.select(F.col("node").alias("a"), figures_of.alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), figures_of.alias("fb")), "b")
+        both = both.select(F.struct(F.col("a").alias("node"), "fa.*").alias("a"), F.struct(F.col("b").alias("node"), "fb.*").alias("b")).where(_bound(num, den))
+        return both.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), F.col("a.doc_id").alias("da"), F.col("b.doc_id").alias("db"))
 
     def apart(batches):
         """Drops pairs of long documents whose wide parities differ too much."""
         import pyarrow as pa
 
         for batch in batches:
-            small = np.asarray(batch.column(2))
+            size = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
             keep = np.ones(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                if x is not None and y is not None:
-                    keep[i] = differ_at_least(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) * (den + num) <= small[i] * (den - num)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+            for i, (x, y) in enumerate(zip(batch.column(6), batch.column(7), strict=True)):
+                keep[i] = differ_at_least(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) * (den + num) <= size[i] * (den - num)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:6]], names=batch.schema.names[:6])
 
     def verified(pairs: DataFrame, name: str) -> tuple[DataFrame, float, int]:
         """(links among the pairs, their share, their number)."""
         pairs = materialize(pairs, f"{name}-candidates")
         asked = pairs.count()
-        long = nodes.where(F.col("n") >= WIDE_FROM).select("node", "n", "wide")
-        wide = pairs.join(long.toDF("a", "na", "wa"), "a").join(long.toDF("b", "nb", "wb"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("size"), "wa", "wb")
-        ends = nodes.select("node", "n")
-        short = pairs.join(ends.toDF("a", "na"), "a").join(ends.toDF("b", "nb"), "b").where(F.least("na", "nb") < WIDE_FROM).select("a", "b")
-        pairs = materialize(short.union(wide.mapInArrow(apart, "a long, b long")), f"{name}-pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
-        sets = _sets(docs, id_col, text_col, wanted, shingle).dropDuplicates(["node"])
-        found = materialize(_verify(pairs, sets, num, den), f"{name}-links")
+        long = F.least("na", "nb") >= WIDE_FROM
+        wide = nodes.where(F.col("n") >= WIDE_FROM).select("node", "wide")
+        both = pairs.where(long).join(wide.toDF("a", "wa"), "a").join(wide.toDF("b", "wb"), "b").select(*pairs.columns, "wa", "wb")
+        left = materialize(pairs.where(~long).union(both.mapInArrow(apart, "a long, b long, na long, nb long, da long, db long")), f"{name}-pairs")
+        found = materialize(_product(left, docs, id_col, text_col, sets, num, den), f"{name}-links")
+        forget(pairs, left)
         n = found.count()
         return found, n / max(1, asked), n
 
@@ -402,15 +464,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = materialize(connected(links, "a", "b", "jaccard-cc"), "jaccard-roots")
 
     def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """(sig, node, root, main) of the signatures in ``rows`` that hold several components; main is the largest there."""
+        """(sig, node, root, main, members) of the signatures in ``rows`` that hold several components; main is the largest there."""
         placed = rows.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")).distinct()
         placed = materialize(placed, "jaccard-placed")
         sizes = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
-        split = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max_by("root", F.struct("n", "root")).alias("main")).where("k > 1").drop("k")
+        split = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("members")).where("k > 1").drop("k")
         return materialize(placed.join(split, "sig"), "jaccard-open")
 
-    # More stars, while many of the last ones' nodes did link: each open signature verifies the nodes outside its main
-    # component against another member of that, so a group of near copies closes up without its pairs.
+    # More stars, while many of the last ones' nodes did link: each open signature multiplies the nodes outside its main
+    # component with another member of that, so a group of near copies closes up without its pairs.
     open_rows = still_open(members, roots)
     for turn in range(MORE_STARS):
         if good < WORTH or good_links < FEW_LINKS:
@@ -422,11 +484,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         roots = materialize(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh), "a", "b", "jaccard-cc"), "jaccard-roots")
         open_rows = still_open(open_rows, roots)
 
-    # what is left: all pairs of different components within a signature
-    open_rows = open_rows.join(nodes.select("node", "n", "parity"), "node")
-    a, b = open_rows.where("root <> main").alias("a"), open_rows.alias("b")
-    rest = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("a.main")) | (F.col("a.node") < F.col("b.node"))) & _bound(num, den))
-    rest = rest.select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct()
+    # What is left: all pairs of different components within a signature, dealt over squares of its members.
+    sides = F.ceil(F.col("members") / SIDE)
+    every_side = F.sequence(F.lit(0).cast("long"), sides - 1)
+    own_side = F.pmod(F.xxhash64("node"), sides)
+    figured = open_rows.join(nodes.select("node", "n", "parity"), "node")
+    a = figured.where("root <> main").withColumn("x", own_side).withColumn("y", F.explode(every_side)).alias("a")
+    b = figured.withColumn("y", own_side).withColumn("x", F.explode(every_side)).alias("b")
+    square = reduce(lambda p, q: p & q, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("sig", "x", "y")))
+    rest = a.join(b, square & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("a.main")) | (F.col("a.node") < F.col("b.node"))) & _bound(num, den))
+    rest = candidates(rest.select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct())
     more, _, _ = verified(rest, "jaccard-rest")
     every = links.union(more)
     roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b", "jaccard-cc")

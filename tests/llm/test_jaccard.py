@@ -36,6 +36,8 @@ def brute(rows, k, num, den):
 def test_against_brute_force(spark, k, num, few, monkeypatch):
     monkeypatch.setattr("millrace.llm.jaccard.FEW_LINKS", few)
     monkeypatch.setattr("millrace.llm.jaccard.HOT", 4 if few == 1 else 32)
+    monkeypatch.setattr("millrace.llm.jaccard.SIDE", 3 if few == 1 else 64)
+    monkeypatch.setattr("millrace.llm.jaccard.TILE", 2000 if few == 1 else 1 << 20)
     rng = np.random.default_rng(num)
     vocab = np.array([f"Word{i}" if i % 3 else f"w{i}é" for i in range(400)])
     bases = [vocab[rng.integers(0, 400, rng.integers(1, 160))] for _ in range(25)] + [vocab[rng.integers(0, 400, 900)] for _ in range(3)]
@@ -104,11 +106,12 @@ def test_wide_parities_bound_the_difference():
 
 
 def test_shingles():
-    from millrace.llm.common import text_buffers
     import pyarrow as pa
 
+    from millrace.llm.common import Hasher, text_buffers
+
     data, offsets = text_buffers(pa.array(["a b c d", "A  B\nc d", "a b", None, "b a", "a b c d a b c d"]))
-    h, cut = shingle_sets(data, offsets, 3)
+    h, cut = shingle_sets(data, offsets, 3, Hasher(1, lower=True))
     assert np.diff(cut).tolist() == [2, 2, 1, 0, 1, 4]
     assert (h[cut[0] : cut[1]] == h[cut[1] : cut[2]]).all() and h[cut[2]] != h[cut[4]]
 
@@ -125,3 +128,71 @@ def test_components(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, node long, sig long")
     assert similar_components(df).count() == 0
+
+
+def test_tile_product():
+    from millrace.llm.jaccard import tile_product
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    rows = [np.unique(np.concatenate([rng.choice(base, rng.integers(1, 400)), rng.integers(0, 2**64, rng.integers(0, 60), dtype=np.uint64)])) for _ in range(40)] + [np.sort(base), base[:1]]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(rows)), np.arange(len(rows))))
+    for num in (30, 50, 80, 100):
+        good, left_out = tile_product(rows, a, b, num, 100)
+        both = np.array([len(np.intersect1d(rows[i], rows[j])) for i, j in zip(a, b, strict=True)])
+        union = np.array([len(rows[i]) + len(rows[j]) for i, j in zip(a, b, strict=True)]) - both
+        assert (good == (both * 100 >= union * num)).all()
+        assert left_out > len(a)
+    assert tile_product(rows, a[:0], b[:0], 80, 100)[0].shape == (0,)
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    rows = []
+    for n in (512, 1024, 4096):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(str.maketrans("ab", "ba"))
+        rows += [word, word.translate(str.maketrans("ab", "ba")), " ".join(word), " ".join(word.translate(str.maketrans("ab", "ba"))), word.upper()]
+    rows = list(enumerate(rows))
+    got = sorted(tuple(r) for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, num=90).collect())
+    assert got == sorted(brute(rows, 3, 90, 100))
+
+
+def test_nodes_that_meet_are_renamed(spark, monkeypatch):
+    from millrace.llm import jaccard
+
+    real = jaccard.Sets._sums
+    monkeypatch.setattr(jaccard.Sets, "_sums", staticmethod(lambda h, cut, odd: real(h, cut, odd) % 3 if odd == 3 else real(h, cut, odd)))
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(30 + i % 2))) for i in range(20)]
+    got = sorted(tuple(r) for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string"), num=90).collect())
+    assert got == sorted(brute(rows, 5, 90, 100))
+
+
+def test_repeated_ids_with_different_texts(spark):
+    one, other = (" ".join(f"{c}{j}" for j in range(40)) for c in "ab")
+    rows = [(1, one), (1, other), (2, one + " tail"), (3, other + " tail"), (4, one), (4, one), (None, one)]
+    got = sorted((tuple(r) for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()), key=str)
+    assert got == sorted(brute(rows, 5, 80, 100), key=str)
+
+
+def test_long_documents(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 45_000)]  # about 350 KB, more than one hash chunk
+    near = base.copy()
+    for i in rng.integers(0, len(near), 300):
+        near[i] = "changed"
+    rows = [(7, " ".join(base)), (3, " ".join(near)), (9, " ".join(base[:30_000])), (4, "x" * 300_000), (5, "x" * 300_001)]
+    got = sorted(tuple(r) for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, num=90).collect())
+    assert got == sorted(brute(rows, 3, 90, 100))
+    assert [r[2] for r in got] == [3, 4, 5, 3, 9]
+
+
+def test_the_query_against_brute_force(spark, tmp_path):
+    import __spark_entry__
+
+    rng = np.random.default_rng(12)
+    base = [" ".join(f"W{i}" for i in rng.integers(0, 300, 60)) for _ in range(10)]
+    rows = [(int(i), base[i % 10] + (" tail" * int(rng.integers(0, 3)))) for i in rng.permutation(80)] + [(100, None), (101, ""), (None, base[0]), (102, "a b"), (103, "A b"), (102, "a b")]
+    spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, n int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in __spark_entry__.queries()["op8_jaccard_join"](spark, str(tmp_path)).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=str) == sorted(brute(rows, 3, 90, 100), key=str)
