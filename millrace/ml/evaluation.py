@@ -13,9 +13,24 @@ from ..semantics import col, present
 # splits ---------------------------------------------------------------------
 
 
+def _drawn(keys: Sequence[str], seed: int) -> Column:
+    """The MD5 of seed and keys, which any engine can draw again."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in keys]))
+
+
 def _shuffled(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
     """Adds __pos by a seeded hash of the keys: exact sizes without a global window."""
-    return with_position(df.withColumn("__h", F.xxhash64(F.lit(seed), *map(col, keys))), ["__h", *keys]).drop("__h")
+    return with_position(df.withColumn("__h", _drawn(keys, seed)), ["__h", *keys]).drop("__h")
+
+
+def _shuffled_within(df: DataFrame, stratum: str, keys: Sequence[str], seed: int) -> DataFrame:
+    """Adds __r, the 0-based drawn position in the row's class, and __n, the class's size; a large class is not one task."""
+    at = with_position(df.withColumn("__h", _drawn(keys, seed)), [stratum, "__h", *keys]).drop("__h")
+    sizes = df.groupBy(present(df, stratum).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(F.col("__c").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a class
+    sizes = sizes.withColumn("__first", before)
+    joined = at.join(sizes, present(df, stratum).eqNullSafe(F.col("__c")))
+    return joined.withColumn("__r", F.col(POSITION) - F.col("__first")).drop(POSITION, "__c", "__first")
 
 
 def train_test_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2, seed: int = 0, stratify: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -25,27 +40,23 @@ def train_test_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2,
         cut = round(n * test_size)
         at = _shuffled(df, keys, seed)
         return at.where(F.col(POSITION) >= cut).drop(POSITION), at.where(F.col(POSITION) < cut).drop(POSITION)
-    sizes = df.groupBy(col(stratify).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(col(stratify)).orderBy(F.xxhash64(F.lit(seed), *map(col, keys)), *map(col, keys))
-    ranked = df.withColumn("__r", F.row_number().over(w))
-    ranked = ranked.join(sizes, ranked[stratify].eqNullSafe(sizes["__c"])).withColumn("__t", F.col("__r") <= F.greatest(F.lit(1), F.round(F.col("__n") * test_size).cast("int")))
-    return ranked.where("not __t").select(*map(col, df.columns)), ranked.where("__t").select(*map(col, df.columns))
+    ranked = _shuffled_within(df, stratify, keys, seed)
+    test = F.col("__r") < F.greatest(F.lit(1), F.round(F.col("__n") * test_size).cast("int"))
+    return ranked.where(~test).select(*map(col, df.columns)), ranked.where(test).select(*map(col, df.columns))
 
 
 def train_val_test_split(df: DataFrame, keys: Sequence[str], val_size: float = 0.1, test_size: float = 0.2, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = df.count()
     a, b = round(n * test_size), round(n * test_size) + round(n * val_size)
     at = _shuffled(df, keys, seed)
-    part = lambda c: at.where(c).drop(POSITION)
-    return part(F.col(POSITION) >= b), part((F.col(POSITION) >= a) & (F.col(POSITION) < b)), part(F.col(POSITION) < a)
+    return tuple(at.where(c).drop(POSITION) for c in (F.col(POSITION) >= b, (F.col(POSITION) >= a) & (F.col(POSITION) < b), F.col(POSITION) < a))
 
 
 def k_fold(df: DataFrame, keys: Sequence[str], k: int, seed: int = 0, stratify: str | None = None) -> DataFrame:
     """Adds 'fold' 0..k-1, sizes within one of each other (within each class if stratified)."""
     if stratify is None:
         return _shuffled(df, keys, seed).withColumn("fold", F.pmod(F.col(POSITION), F.lit(k)).cast("int")).drop(POSITION)
-    w = Window.partitionBy(col(stratify)).orderBy(F.xxhash64(F.lit(seed), *map(col, keys)), *map(col, keys))
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("int"))
+    return _shuffled_within(df, stratify, keys, seed).withColumn("fold", F.pmod(F.col("__r"), F.lit(k)).cast("int")).drop("__r", "__n")
 
 
 def time_series_split(df: DataFrame, order_by: Sequence[str], k: int) -> list[tuple[DataFrame, DataFrame]]:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..ordering import POSITION, with_position
+from ..ordering import _BUCKET, POSITION, range_bucket, with_position
 from ..semantics import col, key_equal
 
 BROADCAST_ROWS = 2_000_000
@@ -84,9 +85,9 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, direction: str = "back
     """Every left row with the nearest right row by ``on``: backward (at or before), forward or nearest.
 
     Both sides are tagged and united; the last (next) right row is carried along the order inside each ``by`` group
-    by a window, so the cost is one sort and no pair is built. Of equal candidates the first right row (by
-    ``right_order``, else by its values) wins. Without ``by`` rows go in range buckets: the last and first
-    right row of each bucket, one row each, is carried across buckets.
+    by a window, so no pair is built. Of equal candidates the first right row (by
+    ``right_order``, else by its values) wins. Rows go in range buckets of ``on``, so a ``by`` group of any size is
+    split: the last and first right row of each group's bucket, one row each, is carried across its buckets.
     """
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError(direction)
@@ -100,22 +101,18 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, direction: str = "back
     r = single.select(*map(col, by), col(on), F.col("__m.p").alias("__pay"), F.lit(0).alias("__side"), F.lit(None).cast(T.StructType(left.schema.fields)).alias("__left"))
     l = left.select(*map(col, by), col(on), F.lit(None).cast(r.schema["__pay"].dataType).alias("__pay"), F.lit(1).alias("__side"), F.struct(*map(col, left.columns)).alias("__left"))
     both = r.unionByName(l)
-    keys, extra = [col(b) for b in by], []
-    if not by:
-        from ..ordering import _BUCKET, range_bucket
-
-        both, _ = range_bucket(both, on)
-        keys = [F.col(_BUCKET)]
-        edge = both.where("__side = 0").groupBy(_BUCKET).agg(F.max_by("__pay", col(on)).alias("__hi"), F.min_by("__pay", col(on)).alias("__lo"))
-        buckets = both.select(_BUCKET).distinct().join(edge, _BUCKET, "left")
-        prior = F.last("__hi", ignorenulls=True).over(Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1))  # one row a bucket
-        after = F.first("__lo", ignorenulls=True).over(Window.orderBy(_BUCKET).rowsBetween(1, Window.unboundedFollowing))
-        both = both.join(F.broadcast(buckets.select(_BUCKET, prior.alias("__prior"), after.alias("__after"))), _BUCKET)
-        extra = [F.col("__prior"), F.col("__after")]
+    both, _ = range_bucket(both, on)
+    keys = [*(col(b) for b in by), F.col(_BUCKET)]
+    edge = both.groupBy(*keys).agg(F.max_by("__pay", F.when(F.col("__side") == 0, col(on))).alias("__hi"), F.min_by("__pay", F.when(F.col("__side") == 0, col(on))).alias("__lo"))
+    along = Window.partitionBy(*map(col, by)).orderBy(_BUCKET)  # one row a bucket
+    prior = F.last("__hi", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("__lo", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    edge = edge.select(*[col(b).alias(f"__by{i}") for i, b in enumerate(by)], F.col(_BUCKET).alias("__b"), prior.alias("__prior"), after.alias("__after"))
+    same = reduce(lambda p, q: p & q, (col(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)), F.col(_BUCKET) == F.col("__b"))
+    both = both.join(edge if by else F.broadcast(edge), same).drop("__b", *[f"__by{i}" for i in range(len(by))])
     back = F.last("__pay", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(col(on), "__side").rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.last("__pay", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(col(on).desc(), "__side").rowsBetween(Window.unboundedPreceding, 0))
-    if extra:
-        back, ahead = F.coalesce(back, extra[0]), F.coalesce(ahead, extra[1])
+    back, ahead = F.coalesce(back, F.col("__prior")), F.coalesce(ahead, F.col("__after"))
     made = both
     if direction != "forward":
         made = made.withColumn("__back", back)

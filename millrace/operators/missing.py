@@ -36,7 +36,7 @@ def fill_direction(df: DataFrame, name: str, forward: bool, order_by: Sequence[s
         pick = lambda w: F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     if partition_by:
         return base.withColumn(target, pick(Window.partitionBy(*map(col, partition_by)).orderBy(*sort_keys(df, order_by)))).drop("__c")
-    bucketed, _ = range_bucket(base, order_by[0])
+    bucketed, _ = range_bucket(base, order_by)
     keys = F.struct(*[F.struct(missing(df, k), col(k)).alias(f"o{i}") for i, k in enumerate(order_by)])
     best = (F.max_by if forward else F.min_by)(c, F.when(c.isNotNull(), keys))
     edges = bucketed.groupBy("__bucket").agg(best.alias("__e"))
@@ -51,10 +51,9 @@ def fill_direction(df: DataFrame, name: str, forward: bool, order_by: Sequence[s
 
 
 def _fill_both(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """__before and __after: the nearest present __k each way by position, in one pass over range buckets."""
+    """__before and __after: the nearest present __k each way by position, in one pass over the buckets that gave the positions."""
     k, keys = F.col("__k"), [col(c) for c in partition_by]
     if not keys:
-        df, _ = range_bucket(df, POSITION)
         keys = [F.col("__bucket")]
         edges = df.groupBy("__bucket").agg(F.max_by(k, F.when(k.isNotNull(), F.col(POSITION))).alias("__hi"), F.min_by(k, F.when(k.isNotNull(), F.col(POSITION))).alias("__lo"))
         w = Window.orderBy("__bucket")  # one row a bucket
@@ -86,7 +85,7 @@ def interpolate_linear(df: DataFrame, name: str, order_by: Sequence[str], partit
     if partition_by:
         at = df.withColumn(POSITION, F.row_number().over(Window.partitionBy(*map(col, partition_by)).orderBy(*sort_keys(df, order_by))))
     else:
-        at = with_position(df, order_by)
+        at = with_position(df, order_by, keep_bucket=True)
     c = present(df, name).cast("double")
     at = at.withColumn("__k", F.when(c.isNotNull(), F.struct(c.alias("v"), F.col(POSITION).alias("p"))))
     at = _fill_both(at, partition_by)

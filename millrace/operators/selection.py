@@ -69,13 +69,17 @@ def batches(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> DataFrame:
-    """Exactly n rows (all, if fewer) by the order of a seeded hash of ``keys``."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *map(col, keys)), *map(col, keys)).limit(n)
+    """Exactly n rows (all, if fewer) by the order of the MD5 of seed and ``keys``."""
+    return df.orderBy(_drawn(keys, seed), *map(col, keys)).limit(n)
 
 
 def sample_fraction(df: DataFrame, fraction: float, keys: Sequence[str], seed: int = 0) -> DataFrame:
-    """Rows whose seeded hash falls under the fraction: no shuffle."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *map(col, keys)), F.lit(1 << 30)) < int(fraction * (1 << 30)))
+    """Rows the first 32 bits of whose MD5 of seed and ``keys`` fall under the fraction: no shuffle."""
+    return df.where(F.conv(F.substring(_drawn(keys, seed), 1, 8), 16, 10).cast("long") < fraction * (1 << 32))
+
+
+def _drawn(keys: Sequence[str], seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in keys]))
 
 
 def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None, order_by: Sequence[str] | None = None) -> DataFrame:

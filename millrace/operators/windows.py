@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..ordering import cumulative, row_windows, with_position
+from ..ordering import cumulative, row_windows, running_moments, with_position
 from ..semantics import col, present, sort_keys
 
 _FUNCS: dict[str, Callable[[Column], Column]] = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp, "count": F.count}
 
 
-def rolling(df: DataFrame, name: str, size: int, how: str, order_by: Sequence[str], partition_by: Sequence[str] = (), min_periods: int | None = None, center: bool = False, out: str | None = None, block: int = 100_000) -> DataFrame:
+def rolling(df: DataFrame, name: str, size: int, how: str, order_by: Sequence[str], partition_by: Sequence[str] = (), min_periods: int | None = None, center: bool = False, out: str | None = None, block: int | None = None) -> DataFrame:
     """A statistic of the last ``size`` rows (or the rows around, with ``center``), null under ``min_periods`` present values."""
     least = size if min_periods is None else min_periods
     before, after = (size // 2, size - 1 - size // 2) if center else (size - 1, 0)
@@ -55,20 +55,21 @@ def expanding(df: DataFrame, name: str, how: str, order_by: Sequence[str], parti
         return filled.withColumn(target, F.when(F.count("__v").over(w) >= min_periods, value)).drop("__v")
     # a missing row still sees what came before: count and sums of 0, extremes of a neutral value
     v = F.col("__v").cast("double")
-    zero = F.coalesce(v, F.lit(0.0))
-    specs = {"__n": ("sum", F.when(F.col("__v").isNotNull(), 1).otherwise(0)), "__s": ("sum", zero)}
-    if how in ("std", "var"):
-        specs["__q"] = ("sum", zero * zero)
+    if how in ("mean", "std", "var"):
+        run, n = running_moments(filled, order_by, v), F.col("__n")
+        var = F.when(n > 1, F.col("__m2") / (n - 1))
+        value = {"mean": F.col("__mean"), "var": var, "std": F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0))))}[how]
+        return run.withColumn(target, F.when(n >= min_periods, value)).drop("__v", "__n", "__mean", "__m2")
+    specs = {"__n": ("sum", F.when(F.col("__v").isNotNull(), 1).otherwise(0))}
     if how in ("min", "max"):
         specs["__e"] = (how, F.coalesce(v, F.lit(float("inf") if how == "min" else float("-inf"))))
+    elif how == "sum":
+        specs["__e"] = ("sum", F.coalesce(v, F.lit(0.0)))
+    elif how != "count":
+        raise ValueError(how)
     run = cumulative(filled, order_by, specs)
-    n, s = F.col("__n"), F.col("__s")
-    if how in ("std", "var"):
-        var = F.greatest((F.col("__q") - s * s / n) / F.nullif(n - 1, F.lit(0)), F.lit(0.0))
-        value = F.when(n > 1, F.sqrt(var) if how == "std" else var)
-    else:
-        value = {"count": n, "sum": s, "mean": F.try_divide(s, n)}.get(how, F.col("__e") if "__e" in specs else s)
-    return run.withColumn(target, F.when(n >= min_periods, value)).drop("__v", *specs)
+    value = F.col("__n") if how == "count" else F.col("__e")
+    return run.withColumn(target, F.when(F.col("__n") >= min_periods, value)).drop("__v", *specs)
 
 
 def ewm_mean(df: DataFrame, name: str, order_by: Sequence[str], partition_by: Sequence[str], span: float | None = None, alpha: float | None = None, out: str | None = None) -> DataFrame:

@@ -175,10 +175,10 @@ def join_right(spark, d):
     return joins.join(t(spark, d, "supplier"), t(spark, d, "part"), left_on=["s_suppkey"], right_on=["p_partkey"], how="right", null_equals=False).select(F.col("s_suppkey").alias("k"), "s_name", "p_name")
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.v AS v_x, b.v AS v_y FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, a.v AS v_x, b.v AS v_y FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer) a FULL JOIN (SELECT s_suppkey * 2 - 10 AS k, s_acctbal AS v FROM supplier) b ON a.k = b.k")
 def join_outer(spark, d):
-    a = t(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    return joins.join(a, t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v")), "k", "outer")
+    a = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return joins.join(a, t(spark, d, "supplier").select((F.col("s_suppkey") * 2 - 10).alias("k"), F.col("s_acctbal").alias("v")), "k", "outer")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

@@ -144,12 +144,12 @@ def ranking_metrics(spark, d):
     return m.select(F.round("ndcg", 6).alias("ndcg"), F.round("mrr", 6).alias("mrr"))
 
 
-@query()
+@query("""SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('0:' || o_orderkey), o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE r <= greatest(1, round(n * 0.2))""")
 def stratified_split(spark, d):
     _, test = ev.train_test_split(t(spark, d, "orders"), ["o_orderkey"], 0.2, stratify="o_orderpriority")
     return test.select("o_orderkey", "o_orderpriority")
 
 
-@query()
+@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY md5('0:' || o_orderkey), o_orderkey) - 1) % 5)::INT AS fold FROM orders")
 def k_folds(spark, d):
     return ev.k_fold(t(spark, d, "orders"), ["o_orderkey"], 5).select("o_orderkey", "fold")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import missing, windows
 from ..operators.groupby import group_by
-from ..ordering import cumulative, row_windows
+from ..ordering import cumulative, row_windows, with_position
 from ..timeseries import features
 from .registry import query, t
 
@@ -38,6 +38,40 @@ def expanding_sum(spark, d):
     return out.select("o_orderkey", F.round("s", 2).alias("s"))
 
 
+_SHIFTED = "(SELECT o_orderkey, o_orderdate, o_totalprice + 1e9::DOUBLE AS v FROM orders)"
+
+
+def _shifted(spark, d):
+    """Values with a large offset, which cost a sum of squares all its digits."""
+    return _orders(spark, d).withColumn("v", F.col("o_totalprice") + 1e9)
+
+
+@query(f"SELECT o_orderkey, round(stddev_samp(v) OVER w, 0) AS s, round(var_samp(v) OVER w / 1e6::DOUBLE, 0) AS q FROM {_SHIFTED} WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
+def expanding_std(spark, d):
+    out = windows.expanding(_shifted(spark, d), "v", "std", ORDER, out="s")
+    return windows.expanding(out, "v", "var", ORDER, out="q").select("o_orderkey", F.round("s", 0).alias("s"), F.round(F.col("q") / 1e6, 0).alias("q"))
+
+
+@query(f"SELECT o_orderkey, round(avg(v - 1e9) OVER w, 0) AS m, CASE WHEN count(*) OVER w >= 5 THEN min(v) OVER w END AS lo, max(v) OVER w AS hi FROM {_SHIFTED} WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
+def expanding_mean_min_max(spark, d):
+    out = windows.expanding(_shifted(spark, d), "v", "mean", ORDER, out="m")
+    out = windows.expanding(out, "v", "min", ORDER, min_periods=5, out="lo")
+    return windows.expanding(out, "v", "max", ORDER, out="hi").select("o_orderkey", F.round(F.col("m") - 1e9, 0).alias("m"), "lo", "hi")
+
+
+@query("SELECT c_custkey, (row_number() OVER w - 1)::BIGINT AS p, round(sum(c_acctbal) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS s FROM customer WINDOW w AS (ORDER BY c_name DESC, c_custkey)")
+def positions_by_name(spark, d):
+    """An order by text whose first bytes are all alike, descending."""
+    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    at = with_position(c, ["c_name", "c_custkey"], [False, True], "p")
+    return cumulative(at, ["p"], {"s": ("sum", F.col("c_acctbal"))}).select("c_custkey", "p", F.round("s", 2).alias("s"))
+
+
+@query("SELECT event_id, (count(CASE WHEN event_id % 7 NOT IN (0, 1) THEN 1 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS n FROM events WHERE event_id % 7 NOT IN (0, 1)")
+def column_cumcount(spark, d):
+    return windows.cumcount(_gaps(spark, d), "v", ["ts", "event_id"], out="n").where("v IS NOT NULL").select("event_id", "n")
+
+
 @query("SELECT o_orderkey, max(o_totalprice) OVER w AS hi, min(o_totalprice) OVER w AS lo, count(*) OVER w AS n FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
 def cum_max_min(spark, d):
     c = F.col("o_totalprice")

@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..semantics import col
 
@@ -59,11 +60,14 @@ class StreamFrame:
 
     def frame(self) -> DataFrame:
         """window_start, window_end, keys and aggregates; without aggregates event_count."""
-        df = self.df.withWatermark(self.ts, self.lateness) if self.lateness and self.df.isStreaming else self.df
+        df, plain = self.df, isinstance(self.df.schema[self.ts].dataType, T.TimestampNTZType)
+        if self.lateness and df.isStreaming:  # watermarks are kept on timestamps with a zone
+            df = (df.withColumn(self.ts, col(self.ts).cast("timestamp")) if plain else df).withWatermark(self.ts, self.lateness)
         value = lambda name: col(name).try_cast("double")
         made = [_AGGS[how](value(c)).alias(out) for c, how, out in self.aggs] or [F.count(F.lit(1)).alias("event_count")]
         grouped = df.groupBy(self._window().alias("__w"), *map(col, self.keys)).agg(*made)
-        return grouped.select(F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), *self.keys, *[o for _, _, o in self.aggs] or ["event_count"])
+        start, end = (F.col(f"__w.{c}").cast("timestamp_ntz") if plain else F.col(f"__w.{c}") for c in ("start", "end"))
+        return grouped.select(start.alias("window_start"), end.alias("window_end"), *self.keys, *[o for _, _, o in self.aggs] or ["event_count"])
 
     def start(self, emit: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", available_now: bool = False):
         """Runs continuously (or over what is there); ``emit`` gets each micro-batch of finished windows."""

@@ -312,19 +312,29 @@ def backtest(y: np.ndarray, model: str, horizon: int, folds: int, sliding: bool
 
 
 def pelt(y: np.ndarray, penalty: float | None = None, least: int = 2) -> list[int]:
-    """Starts of new segments of constant mean, by pruned exact search."""
+    """Starts of new segments of constant mean and at least ``least`` values: the least cost of all ways to cut, by pruned search.
+
+    A start that is beaten at t cannot begin a segment that ends at t + least or later, so it stays open until then.
+    """
     n = len(y)
+    y = y - y.mean() if n else y
     s, q = np.r_[0, np.cumsum(y)], np.r_[0, np.cumsum(y * y)]
     penalty = 2 * math.log(max(n, 2)) * max(float(np.var(np.diff(y)) / 2) if n > 2 else 1.0, 1e-12) if penalty is None else penalty
-    cost = lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)
-    best, before, open_ = np.full(n + 1, np.inf), np.zeros(n + 1, int), [0]
+
+    def cost(a: int, b: int) -> float:
+        return q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)
+
+    best, before, closes = np.full(n + 1, np.inf), np.zeros(n + 1, int), {0: n + 1}
     best[0] = -penalty
     for t in range(least, n + 1):
-        values = [(best[a] + cost(a, t) + penalty, a) for a in open_ if t - a >= least]
-        if not values:
-            continue
-        best[t], before[t] = min(values)
-        open_ = [a for a in open_ if t - a < least or best[a] + cost(a, t) <= best[t]] + [t - least + 1]
+        closes = {a: end for a, end in closes.items() if t < end}
+        values = [(best[a] + cost(a, t) + penalty, a) for a in closes if t - a >= least]
+        if values:
+            best[t], before[t] = min(values)
+            for a in closes:
+                if t - a >= least and best[a] + cost(a, t) > best[t]:
+                    closes[a] = min(closes[a], t + least)
+        closes[t] = n + 1
     out, t = [], n
     while t > 0:
         t = int(before[t])
