@@ -57,6 +57,28 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, cp.run(spark, d).collect())) == sorted(map(str, now.collect()))
 
 
+def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    d = str(tmp_path)
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base), (1, base), (1, "other " * 9 + "text"), (2, base + " tail"), (3, None), (4, ""), (None, base), (None, base), (5, "a" * 100_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key string, component_id int, _copy int, spans string, _null string"
+    docs = spark.createDataFrame([(i, x, None, None, None, "k", 1, 2, "s", "n") for i, x in rows], schema)
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    show = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    scored = cp.quality_filter(spark, docs, d)
+    assert scored.columns == cp.COLUMNS and show(scored) == sorted([r for r in rows if r[1]], key=str)  # no labels: only what has no text goes
+    near = cp.near_duplicates(spark, docs, d)
+    assert near.columns == cp.COLUMNS
+    assert show(near) == sorted([rows[0], rows[2], *rows[4:]], key=str)
+    redacted = cp.redact_personal_data(spark, docs, d)
+    assert redacted.columns == cp.COLUMNS and show(redacted) == sorted(rows, key=str)
+    mixed = cp.mix_sources(spark, docs, d)
+    assert mixed.columns == cp.COLUMNS and set(show(mixed)) <= set(rows)
+    assert cp.encode(spark, docs, d).count() == len(rows)
+
+
 def test_empty(spark, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
