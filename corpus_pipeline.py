@@ -24,15 +24,29 @@ def _without(docs: DataFrame, gone: DataFrame, key: str, name: str) -> DataFrame
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the trusted model is within their language's threshold."""
-    keyed = docs.select(*COLUMNS).withColumn("_key", F.xxhash64("doc_id", "text"))
+    row = [F.col(c) for c in ("doc_id", "text", "lang")]
+    key = F.concat(F.hex(F.xxhash64(*row)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *row)))  # equal rows have equal scores
+    keyed = docs.select(*COLUMNS).withColumn("_key", key)
     scored = quality.classify(keyed, table(spark, sf_dir, "labels"), ["_key"])
     return _without(keyed, scored.where("not keep").select("_key"), "_key", "rejected")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays."""
-    groups = jaccard.similar_components(docs.select(*COLUMNS), shingle=5, num=80, den=100)
-    return _without(docs, groups.where("component_id < doc_id").select("doc_id"), "doc_id", "duplicates")
+    """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays.
+
+    Rows that repeat an id are documents of their own: of those with equal texts one stays, those with different texts stay
+    unless their group holds a smaller id. Documents without an id or without words stay.
+    """
+    docs = docs.select(*COLUMNS)
+    groups = materialize(jaccard.similar_components(docs, shingle=5, num=80, den=100), "groups")
+    kept = _without(docs, groups.where("component_id < doc_id").select("doc_id"), "doc_id", "duplicates")
+    again = materialize(groups.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    n = again.count()
+    if not n:
+        return kept
+    again = hint_small(again, n)
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(*[F.first(c).alias(c) for c in COLUMNS[2:]])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once.select(*COLUMNS))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
