@@ -4,10 +4,10 @@ Pages are written as gzip members, one record each, into archive segments of a s
 system Spark can write); ``archive_bytes`` gives the bytes of a segment as a .warc.gz file. Of payloads of
 at least MIN_REVISIT bytes that are equal, the largest page id is the response and the others are
 revisits that carry the HTTP head alone. Reading the segments back yields one capture per record;
-each segment's captures are a run sorted by URL key and time. Runs are cut at the borders of a range
+each segment's captures are a run sorted by URL key and time, stored in the shared folder. Runs are cut at the borders of a range
 partitioning and merged in each range by a loser tree, so (range_no, position) orders all captures of all URLs.
 
-A hot payload costs one row per partial aggregate, a hot URL key is cut by time and page id. Null html
+A hot payload costs one row per partial aggregate, a hot URL key is cut by time and page id. Capture times are not in the table: a page's is made from its id (``stamp``). Null html
 and url count as empty; a null page id is always a response; rows that repeat an id and payload are
 all responses if that id is the largest.
 """
@@ -25,6 +25,10 @@ from .common import hint_small, materialize, table
 
 MIN_REVISIT = 1000
 SEGMENT_BYTES = 4 << 20
+#: Compressed bytes given to a member's decoder at a time.
+FEED = 1 << 16
+#: Captures of a range, about: what a merging task holds of all its runs.
+RANGE_ROWS = 200_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -79,12 +83,14 @@ def members(data: bytes):
     """(offset, length, uncompressed record) of the gzip members in ``data``."""
     at, view = 0, memoryview(data)
     while at < len(data):
-        z = zlib.decompressobj(31)
-        out = z.decompress(view[at:])
-        if not z.eof:
-            raise ValueError("truncated archive")
-        end = len(data) - len(z.unused_data)
-        yield at, end - at, out
+        z, out, end = zlib.decompressobj(31), [], at
+        while not z.eof:
+            if end >= len(data):
+                raise ValueError("truncated archive")
+            out.append(z.decompress(view[end : end + FEED]))
+            end = min(end + FEED, len(data))
+        end -= len(z.unused_data)
+        yield at, end - at, b"".join(out)
         at = end
 
 
@@ -204,7 +210,11 @@ def read_captures(archives: DataFrame) -> DataFrame:
 
 
 def merge_index(captures: DataFrame) -> DataFrame:
-    """Captures in global order of (url_key, captured_at, page_id): range_no, then position."""
+    """Captures in global order of (url_key, captured_at, page_id): range_no, then position.
+
+    There are as many ranges as RANGE_ROWS asks for, so a task's runs are bounded whatever the input; a hot URL's captures are
+    cut by time, id and place in the archives.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -234,7 +244,8 @@ def merge_index(captures: DataFrame) -> DataFrame:
         if merged:
             yield _rows(merged, schema)
 
-    ranged = captures.repartitionByRange("url_key", "captured_at", "page_id", "offset")
+    n_ranges = max(1, -(-captures.count() // RANGE_ROWS), int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = captures.repartitionByRange(n_ranges, "url_key", "captured_at", "page_id", "archive", "offset")
     return ranged.mapInArrow(run, CAPTURE + ", range_no int, position long")
 
 
