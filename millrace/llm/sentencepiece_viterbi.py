@@ -29,6 +29,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE_WORDS = 80_000
 SLICE_BYTES = 3 << 20
+#: Marked words above this length share no prefixes; their back-pointers are kept in arrays.
+LONG = 2048
 #: Stands for a mark that the text itself holds; no marked word looks like it.
 LITERAL = "\0" + MARK
 
@@ -113,6 +115,10 @@ class Model:
         best, back = [0.0], [(0, -1)]  # at each depth: score, (start, piece or -1)
         alive: list[list[tuple]] = [[]]  # (start, score there, trie node) still open after each depth
         before = ""
+        long = [w for w in words if len(w) > LONG]
+        if long:
+            out |= {w: self.segment_long(w) for w in long}
+            words = [w for w in words if len(w) <= LONG]
         for word in sorted(words):
             n = len(word)
             depth, limit = 0, min(n, len(before))
@@ -155,6 +161,42 @@ class Model:
             out[word] = tuple(ids)
         return out
 
+    def segment_long(self, word: str) -> array:
+        """The pieces of one long word: back-pointers in arrays, scores and open tries only as far as a piece reaches."""
+        root, unknown = self.root, self.unknown_score
+        starts, chosen = array("i", [0]), array("i", [-1])
+        best, open_ = 0.0, []  # score up to here; (start, score there, trie node)
+        for i, c in enumerate(word):
+            top, how, rest = None, None, []
+            for start, score, node in open_:  # earlier starts first: the longest piece wins ties
+                entry = node.get(c)
+                if entry is not None:
+                    below, gain, piece = entry
+                    if below:
+                        rest.append((start, score, below))
+                    if gain is not None and (top is None or score + gain > top):
+                        top, how = score + gain, (start, piece)
+            below, gain, piece = root.get(c, (None, None, -1))
+            if below:
+                rest.append((i, best, below))
+            if gain is None:
+                gain, piece = unknown, -1
+            if top is None or best + gain > top:
+                top, how = best + gain, (i, piece)
+            best, open_ = top, rest
+            starts.append(how[0])
+            chosen.append(how[1])
+        ids, at = array("i"), len(word)
+        while at:
+            start, piece = starts[at], chosen[at]
+            if piece < 0:
+                ids.extend(self.byte_id[b] for b in reversed(word[start:at].encode()))
+            else:
+                ids.append(piece)
+            at = start
+        ids.reverse()
+        return ids
+
     def words(self, text: str) -> list[str]:
         if not text:
             return []

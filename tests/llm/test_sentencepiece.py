@@ -71,3 +71,29 @@ def test_frame(spark):
 def test_pieces_with_inner_marks_are_refused():
     with pytest.raises(ValueError, match="inside"):
         Model(pieces=[*TINY, ("a" + MARK + "b", -1.0, NORMAL)])
+
+
+def test_long_words_are_segmented_alike(monkeypatch):
+    rng = np.random.default_rng(11)
+    words = sorted({MARK + "".join(rng.choice(list("abcéx"), rng.integers(0, 40))) for _ in range(200)})
+    m = Model(pieces=TINY)
+    for w in words:
+        assert list(m.segment_long(w)) == list(m.segment([w])[w]) == brute(m, w)[1]
+    public = Model(default_model())
+    text = "".join(rng.choice(list("etaoinshrdlu漢é"), 30_000))
+    ids = public.encode(text)
+    assert public.decode(ids).decode() == text
+    monkeypatch.setattr("millrace.llm.sentencepiece_viterbi.LONG", 1 << 30)
+    assert Model(default_model()).encode(text) == ids
+
+
+def test_memory_of_a_text_without_spaces():
+    import tracemalloc
+
+    m = Model(default_model())
+    word = "etaoinshrdlu" * 20_000
+    tracemalloc.start()
+    m.encode(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(word), peak

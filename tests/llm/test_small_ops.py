@@ -50,6 +50,34 @@ def test_warc_round_trip(spark):
     assert warc.merge_index(warc.read_captures(warc.write_archives(pages.limit(0)))).count() == 0
 
 
+def test_the_warc_query_over_several_segments(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setattr(warc, "SEGMENT_BYTES", 3000)
+    monkeypatch.setattr(warc, "FEED", 100)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 7)
+    rng = np.random.default_rng(1)
+    rows = [(int(i), f"http://h{i % 5}.com/{i % 3}", "".join(rng.choice(list("ab <p>é"), 900 + 40 * (i % 8))) if i % 4 else "same" * 300) for i in rng.permutation(90)]
+    rows += [(500, None, None), (501, "", ""), (None, None, "same" * 300), (7, "http://h.com", "same" * 300), (600, "x", "é" * (1 << 20))]
+    spark.createDataFrame([(*r, "z", 3) for r in rows], "page_id long, url string, html string, digest string, payload int").repartition(2).write.parquet(str(tmp_path / "pages.parquet"))
+    out = __spark_entry__.queries()["op2_warc_index"](spark, str(tmp_path)).collect()
+    sums = {}
+    for i, _, h in rows:
+        b = (h or "").encode()
+        if len(b) >= 1000 and i is not None:
+            sums[b] = max(sums.get(b, i), i)
+    want = []
+    for i, _, h in rows:
+        b = (h or "").encode()
+        top = sums.get(b) if i is not None else None
+        revisit = top is not None and i < top
+        want.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", top if revisit else None))
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out), key=str) == sorted(want, key=str)
+    assert len({r.archive for r in out}) > 5 and len({r.range_no for r in out}) > 3
+    ordered = [(r.url_key, r.captured_at, -1 if r.page_id is None else r.page_id) for r in sorted(out, key=lambda r: (r.range_no, r.position))]
+    assert ordered == sorted(ordered)
+
+
 # ------------------------------------------------------------------ 3
 
 
@@ -104,25 +132,58 @@ def test_mixing_keeps_columns_of_any_name(spark):
 # ------------------------------------------------------------------ 4
 
 
+def format_brute(chosen, rejected):
+    """{(pair, chunk): (prompt, chosen, spans, rejected, spans)} of {pair: {turn: (role, text)}} of both sides."""
+    safe = lambda x: x.replace("<|", "<\\|")
+    out = {}
+    for pair in chosen.keys() | rejected.keys():
+        c, r = chosen.get(pair, {}), rejected.get(pair, {})
+        turns = sorted(c.keys() | r.keys())
+        split = next((t for t in turns if c.get(t) != r.get(t)), None)
+        for t in turns:
+            row = out.setdefault((pair, t // preferences.TURNS), [["", []] for _ in range(3)])
+            shared = split is None or t < split
+            for at, side in ((0, c),) if shared else ((1, c), (2, r)):
+                if t in side:
+                    role, text = side[t]
+                    piece = f"<|{safe(role)}|>\n{safe(text)}<|end|>\n"
+                    begin = len(row[at][0])
+                    row[at][0] += piece
+                    if at and role == "assistant":
+                        row[at][1].append(f"{begin}:{begin + len(piece)}")
+    return sorted((*k, p[0], c[0], ",".join(c[1]), r[0], ",".join(r[1])) for k, (p, c, r) in out.items())
+
+
 def test_preferences(spark):
-    turns = "pair_id long, turn long, role string, text string"
-    chosen = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (2, 0, "user", "s"), (3, 0, "user", "x"), (3, 1, "assistant", "same")], turns)
-    rejected = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "b"), (1, 2, "user", "r"), (3, 0, "user", "x"), (3, 1, "assistant", "same")], turns)
-    got = sorted(tuple(r) for r in preferences.format_preferences(chosen, rejected).collect())
-    show = lambda role, t: f"<|{role}|>\n{t}<|end|>\n"
-    assert got == sorted([
-        (1, "prompt", 0, "user", show("user", "q"), 0), (1, "chosen", 1, "assistant", show("assistant", "a"), 1), (1, "rejected", 1, "assistant", show("assistant", "b"), 1),
-        (1, "chosen", 2, "user", show("user", "r"), 0), (1, "rejected", 2, "user", show("user", "r"), 0), (2, "chosen", 0, "user", show("user", "s"), 0),
-        (3, "prompt", 0, "user", show("user", "x"), 0), (3, "prompt", 1, "assistant", show("assistant", "same"), 0),
-    ])
-
-
-def test_preference_edges(spark):
-    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, 1, "assistant", "a"), (1, 2, None, "z"), (1, 3, "assistant", "b"), (1, 4, "user", "after"), (None, 0, "user", "x"), (2, None, "user", "x"), (3, 0, "user", "only"), (4, 0, "assistant", "hi")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS pair_id_extra")
-    out = preferences.format_preferences(*preferences.stale_reply_pairs(preferences.clean_turns(df))).collect()
-    assert sorted((r.pair_id, r.part, r.position, r.loss_mask) for r in out) == [(1, "chosen", 3, 1), (1, "prompt", 0, 0), (1, "prompt", 1, 0), (1, "prompt", 2, 0), (1, "rejected", 3, 1), (4, "chosen", 0, 1), (4, "rejected", 0, 1)]
-    assert preferences.format_preferences(*preferences.stale_reply_pairs(preferences.clean_turns(df.limit(0)))).count() == 0
+    turns = "pair_id long, turn long, t struct<role: string, text: string>"
+    chosen = {1: {0: ("user", "q"), 1: ("assistant", "a<|end|>"), 2: ("user", "r")}, 2: {0: ("user", "s")}, 3: {0: ("user", "x"), 1: ("assistant", "same")}, 5: {t: ("assistant" if t % 2 else "user", f"t{t}") for t in range(200)}}
+    rejected = {1: {0: ("user", "q"), 1: ("assistant", "b"), 2: ("user", "r")}, 3: {0: ("user", "x"), 1: ("assistant", "same")}, 4: {7: ("assistant", "")}, 5: {t: ("assistant" if t % 2 else "user", f"t{t}" if t != 99 else "é<|x") for t in range(0, 200)}}
+    frame = lambda side: spark.createDataFrame([(p, t, x) for p, ts in side.items() for t, x in ts.items()], turns)
+    got = sorted(tuple(r) for r in preferences.format_preferences(preferences.pair_turns(frame(chosen), frame(rejected))).collect())
+    assert got == format_brute(chosen, rejected)
+    assert got[0][2:] == ("<|user|>\nq<|end|>\n", "<|assistant|>\na<\\|end|><|end|>\n<|user|>\nr<|end|>\n", "0:31", "<|assistant|>\nb<|end|>\n<|user|>\nr<|end|>\n", "0:23")
+
+
+def test_the_preference_query(spark, tmp_path):
+    import __spark_entry__
+
+    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, 1, "assistant", "a"), (1, 2, None, "z"), (1, 3, "assistant", "b"), (1, 4, "user", "after"), (None, 0, "user", "x"), (2, None, "user", "x"), (3, 0, "user", "only"), (4, 0, "assistant", "hi"), (1, 3, "assistant", "c")]
+    rows += [(9, t, "assistant" if t % 3 else "user", f"<|t{t % 5}") for t in range(150)]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, pair_id int")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    chosen = {}
+    for i, t, role, x in sorted(rows, key=lambda r: ((r[2] or ""), (r[3] or "")), reverse=True):
+        if i is not None and t is not None:
+            chosen.setdefault(i, {})[t] = (role or "", x or "")
+    rejected = {}
+    for i, turns in chosen.items():
+        replies = sorted(t for t, x in turns.items() if x[0] == "assistant")
+        rejected[i] = dict(turns)
+        if replies:
+            rejected[i][replies[-1]] = ("assistant", turns[replies[0]][1] if len(replies) > 1 else "")
+    got = sorted(tuple(r) for r in __spark_entry__.queries()["op4_preference_format"](spark, str(tmp_path)).collect())
+    assert got == format_brute(chosen, rejected)
+    assert preferences.format_preferences(preferences.stale_reply_turns(preferences.clean_turns(df.limit(0)))).count() == 0
 
 
 # ------------------------------------------------------------------ 6
