@@ -7,8 +7,8 @@ give are below the overlap that follows from the two sizes. Tiles are cut by the
 partners is dealt over several.
 
 Which pairs a tile counts: every pair that links agrees entirely in some column blocks. Documents of
-one size band use the same cut into 1.2 d + 3 blocks, where d bounds how many shingles two linked
-documents of that band can differ in; so at least 0.2 d + 3 blocks of linked documents agree.
+one size band use the same cut into d + d / s + 3 blocks, where d bounds how many shingles two linked
+documents of that band can differ in; so at least d / s + 3 blocks of linked documents agree (s is 5 at a similarity of 0.9, 3 at 0.8).
 A block's content hash is a signature. Blocks of less than two shingles are weak, and a document leaves
 their signatures out if it has fewer of them than blocks that must agree: then one that agrees is not weak.
 (Otherwise it gives all, also to a partner that leaves its weak ones out and may share but one with it.)
@@ -29,6 +29,7 @@ shingle length make one shingle; no words make an empty set that links with noth
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -82,8 +83,15 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.share = next((s for s in (5, 4, 3, 2) if self._weak(s) <= 0.8 / s), 1)
         self.edges = [-(-num // (den - num))]  # smaller sets link only if they are equal
 
+    def _weak(self, share: int) -> float:
+        """Expected weak blocks for each shingle that may differ, with one spare block for ``share`` of them."""
+        blocks = 1 + 1 / share
+        load = self.num / (self.den - self.num) / blocks
+        return blocks * math.exp(-load) * (1 + load)
+
     def upto(self, n: int) -> np.ndarray:
         while self.edges[-1] <= n:
             last = self.edges[-1]
@@ -94,7 +102,7 @@ class Bands:
         """(blocks, blocks that agree at least) of the bands."""
         top = np.array(self.edges)[band + 1] - 1
         differ = top * (self.den - self.num) // self.num
-        agree = differ // 5 + SPARE
+        agree = differ // self.share + SPARE
         return differ + agree, agree
 
 
@@ -317,7 +325,9 @@ def _without_hot(members: DataFrame) -> DataFrame:
     marked = materialize(rows.join(sizes, "sig").select("sig", "node", "meta"), "jaccard-hot")
     spare = marked.groupBy("node", "meta").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < F.floor(F.col("meta") / 2))
     gone = marked.join(spare.select("node", "meta"), ["node", "meta"]).select("sig", "node")
-    return rows.join(gone, ["sig", "node"], "left_anti").select("sig", "node", "center")
+    kept = materialize(rows.join(gone, ["sig", "node"], "left_anti").select("sig", "node", "center"), "jaccard-met")
+    forget(rows, marked)
+    return kept
 
 
 def _bound(num: int, den: int):
@@ -382,7 +392,7 @@ def tile_product(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, num: int,
 
 
 def _product(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sets: Sets, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets' similarity reaches num/den. ``pairs``: stored, distinct (a, b, na, nb, da, db)."""
+    """The stored pairs (a, b) whose sets' similarity reaches num/den. ``pairs``: stored, distinct (a, b, na, nb, da, db)."""
     size = pairs.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0
     n_tiles = max(1, -(-size // TILE))
     heavy = materialize(pairs.groupBy("b").agg(F.ceil(F.sum("na") / TILE).alias("split")).where("split > 1"), "jaccard-heavy")
@@ -391,7 +401,8 @@ def _product(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sets
     dealt = materialize(dealt.select("tile", "a", "b", "da", "db"), "jaccard-tiles")
     ends = dealt.select("tile", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("da").alias("doc_id")), F.struct(F.col("b").alias("node"), F.col("db").alias("doc_id")))).alias("x")).select("tile", "x.*").distinct()
     wanted = ends.select("node", "doc_id").distinct()
-    rows = _rows_of(docs, id_col, text_col, wanted, sets).join(ends.select(F.col("tile").alias("at"), "node"), "node")
+    stored = _rows_of(docs, id_col, text_col, wanted, sets)
+    rows = stored.join(ends.select(F.col("tile").alias("at"), "node"), "node")
 
     def run(key, left, right):
         import pyarrow as pa
@@ -403,7 +414,9 @@ def _product(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sets
         good = pa.array(tile_product(matrix, *at, num, den)[0]) if left.num_rows else pa.array([], pa.bool_())
         return pa.table({"a": a.filter(good), "b": b.filter(good)})
 
-    return dealt.select("tile", "a", "b").groupBy("tile").cogroup(rows.groupBy("at")).applyInArrow(run, "a long, b long")
+    found = materialize(dealt.select("tile", "a", "b").groupBy("tile").cogroup(rows.groupBy("at")).applyInArrow(run, "a long, b long"), "jaccard-links")
+    forget(stored, dealt)
+    return found
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, with_links: bool = False) -> DataFrame:
@@ -426,7 +439,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets = Sets(shingle, sets.seed, tuple(clashes))
         figures = figures.withColumn("node", F.when(F.col("node").isin(clashes), F.col("check")).otherwise(F.col("node")))
         nodes = by_node(figures)
-    members = materialize(_without_hot(_members(docs, id_col, text_col, sets, num, den, buckets_for(docs))), "jaccard-met")
+    members = _without_hot(_members(docs, id_col, text_col, sets, num, den, buckets_for(docs)))
 
     def candidates(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes within the bounds, with their sizes and ids."""
@@ -454,7 +467,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         wide = nodes.where(F.col("n") >= WIDE_FROM).select("node", "wide")
         both = pairs.where(long).join(wide.toDF("a", "wa"), "a").join(wide.toDF("b", "wb"), "b").select(*pairs.columns, "wa", "wb")
         left = materialize(pairs.where(~long).union(both.mapInArrow(apart, "a long, b long, na long, nb long, da long, db long")), f"{name}-pairs")
-        found = materialize(_product(left, docs, id_col, text_col, sets, num, den), f"{name}-links")
+        found = _product(left, docs, id_col, text_col, sets, num, den)
         forget(pairs, left)
         n = found.count()
         return found, n / max(1, asked), n
