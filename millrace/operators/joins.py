@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..ordering import _BUCKET, POSITION, range_bucket, with_position
+from ..ordering import _BUCKET, POSITION, find_borders, range_bucket, with_position
 from ..semantics import col, key_equal
 
 BROADCAST_ROWS = 2_000_000
@@ -101,7 +101,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, direction: str = "back
     r = single.select(*map(col, by), col(on), F.col("__m.p").alias("__pay"), F.lit(0).alias("__side"), F.lit(None).cast(T.StructType(left.schema.fields)).alias("__left"))
     l = left.select(*map(col, by), col(on), F.lit(None).cast(r.schema["__pay"].dataType).alias("__pay"), F.lit(1).alias("__side"), F.struct(*map(col, left.columns)).alias("__left"))
     both = r.unionByName(l)
-    both, _ = range_bucket(both, on)
+    both, _ = range_bucket(both, on, borders=find_borders(left.select(col(on)).unionAll(right.select(col(on))), [on]))
     keys = [*(col(b) for b in by), F.col(_BUCKET)]
     edge = both.groupBy(*keys).agg(F.max_by("__pay", F.when(F.col("__side") == 0, col(on))).alias("__hi"), F.min_by("__pay", F.when(F.col("__side") == 0, col(on))).alias("__lo"))
     along = Window.partitionBy(*map(col, by)).orderBy(_BUCKET)  # one row a bucket

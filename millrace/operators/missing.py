@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ordering import POSITION, range_bucket, with_position
-from ..semantics import col, missing, present, sort_keys
+from ..semantics import reversed_keys, col, missing, present, sort_keys
 
 
 def is_na(df: DataFrame, name: str):
@@ -30,15 +30,17 @@ def fill_direction(df: DataFrame, name: str, forward: bool, order_by: Sequence[s
     """The last present value before (or the first after) in order."""
     c, target = F.col("__c"), out or name
     base = df.withColumn("__c", present(df, name))
-    if forward:
-        pick = lambda w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        pick = lambda w: F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # backward runs over the reversed order: a frame that ends with the partition is quadratic
+    keys = sort_keys(df, order_by) if forward else reversed_keys(df, order_by)
+
+    def pick(*parts):
+        return F.last(c, ignorenulls=True).over(Window.partitionBy(*parts).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+
     if partition_by:
-        return base.withColumn(target, pick(Window.partitionBy(*map(col, partition_by)).orderBy(*sort_keys(df, order_by)))).drop("__c")
+        return base.withColumn(target, pick(*map(col, partition_by))).drop("__c")
     bucketed, _ = range_bucket(base, order_by)
-    keys = F.struct(*[F.struct(missing(df, k), col(k)).alias(f"o{i}") for i, k in enumerate(order_by)])
-    best = (F.max_by if forward else F.min_by)(c, F.when(c.isNotNull(), keys))
+    place = F.struct(*[F.struct(missing(df, k), col(k)).alias(f"o{i}") for i, k in enumerate(order_by)])
+    best = (F.max_by if forward else F.min_by)(c, F.when(c.isNotNull(), place))
     edges = bucketed.groupBy("__bucket").agg(best.alias("__e"))
     if forward:
         w, f = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1), F.last
@@ -46,8 +48,7 @@ def fill_direction(df: DataFrame, name: str, forward: bool, order_by: Sequence[s
         w, f = Window.orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing), F.first
     carried = edges.select("__bucket", f("__e", ignorenulls=True).over(w).alias("__carried"))  # one row a bucket
     joined = bucketed.join(F.broadcast(carried), "__bucket")
-    inner = pick(Window.partitionBy("__bucket").orderBy(*sort_keys(df, order_by)))
-    return joined.withColumn(target, F.coalesce(inner, F.col("__carried"))).drop("__c", "__bucket", "__carried")
+    return joined.withColumn(target, F.coalesce(pick("__bucket"), F.col("__carried"))).drop("__c", "__bucket", "__carried")
 
 
 def _fill_both(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
@@ -59,8 +60,8 @@ def _fill_both(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
         w = Window.orderBy("__bucket")  # one row a bucket
         edges = edges.select("__bucket", F.last("__hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__p"), F.first("__lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__n"))
         df = df.join(F.broadcast(edges), "__bucket")
-    w = Window.partitionBy(*keys).orderBy(POSITION)
-    before, after = F.last(k, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(k, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    up, down = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(POSITION), F.desc(POSITION)))
+    before, after = F.last(k, ignorenulls=True).over(up), F.last(k, ignorenulls=True).over(down)
     if not partition_by:
         before, after = F.coalesce(before, F.col("__p")), F.coalesce(after, F.col("__n"))
     return df.withColumns({"__before": before, "__after": after}).drop("__bucket", "__p", "__n")

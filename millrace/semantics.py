@@ -57,6 +57,11 @@ def sort_keys(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool]
     return out
 
 
+def reversed_keys(df: DataFrame, by: Sequence[str]) -> list[Column]:
+    """The exact reverse of ``sort_keys``: missing values first, all keys turned round."""
+    return [present(df, name).desc_nulls_first() for name in by]
+
+
 def divide(a: Column, b: Column, ieee: bool = False) -> Column:
     """Double division; by zero null, or signed infinity/NaN with ``ieee``."""
     a, b = a.cast("double"), b.cast("double")
