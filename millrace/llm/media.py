@@ -1,9 +1,10 @@
 """Operator 1: texts as lossless WebP images.
 
-Every text's UTF-8 bytes, padded with spaces to a positive multiple of 192, become the RGBA rows of a
-48-pixel-wide lossless WebP; the stored bytes are decoded again and all digests come from the decoded
-pixels. Row-local, no shuffle. Null and empty texts are one row of spaces; texts above 3 MB take
-several images one after another in the stored form.
+Every text's UTF-8 bytes, padded with spaces to a positive multiple of 192, become the RGBA rows of
+48-pixel-wide lossless WebP images of at most 64 rows, one after another in the stored form; the stored bytes are decoded again and all digests
+come from the decoded pixels. Predictors, cross-colour multipliers, palettes, back-references, cache hits and prefix codes are
+chosen from each image's own pixels (``webp_batch``). Row-local, no shuffle; images of some megabytes of texts are coded in step.
+Null and empty texts are one row of spaces. Equal texts are equal images, whatever else is in the batch.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from . import webp
-from .common import table, text_buffers
+from . import webp_batch
+from .common import slices, table, text_buffers
 
 UNIT = 192
+#: Text that is coded in step.
+SLICE_BYTES, SLICE_DOCS = 4 << 20, 4000
 
 
 def pad(text: bytes) -> bytes:
@@ -36,12 +39,14 @@ def features(images: list[np.ndarray]) -> str:
     return ",".join(f"{m:.4f}" for m in means) + ";" + bits
 
 
-def round_trip(text: bytes) -> tuple:
-    """(n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, images)."""
-    media = webp.store(pad(text))
-    images = webp.images(media)
-    back = b"".join(x.tobytes() for x in images)
-    return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(images), media
+def round_trips(texts: list[bytes]) -> list[tuple]:
+    """(n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, media) of each text."""
+    media = webp_batch.store([pad(t) for t in texts])
+    out = []
+    for text, file, images in zip(texts, media, webp_batch.images(media), strict=True):
+        back = b"".join(x.tobytes() for x in images)
+        out.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(file), hashlib.sha256(file).hexdigest(), features(images), file))
+    return out
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
@@ -52,21 +57,16 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         import pyarrow as pa
 
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()][: 7 + keep_media]
+        names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["media"] * keep_media]
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            rows = []
-            memo: dict[bytes, tuple] = {}  # repeated texts within one Arrow batch
-            for i in range(batch.num_rows):
-                text = data[offsets[i] : offsets[i + 1]].tobytes()
-                got = memo.get(text)
-                if got is None:
-                    got = round_trip(text)
-                    if len(text) < 1 << 16 and len(memo) < 1000:
-                        memo[text] = got if keep_media else (*got[:7], None)
-                rows.append(got)
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()][: 7 + keep_media]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["media"] * keep_media])
+            for i, j in slices(offsets, SLICE_BYTES, SLICE_DOCS):
+                texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
+                single = list(dict.fromkeys(texts))  # repeated texts of a slice are coded once
+                done = dict(zip(single, round_trips(single), strict=True))
+                cols = list(zip(*(done[t] for t in texts), strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

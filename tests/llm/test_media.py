@@ -4,8 +4,8 @@ import zlib
 import numpy as np
 import pytest
 
-from millrace.llm import webp
-from millrace.llm.media import media_column, pad, round_trip
+from millrace.llm import webp, webp_batch
+from millrace.llm.media import media_column, pad, round_trips
 
 RNG = np.random.default_rng(7)
 
@@ -63,17 +63,93 @@ def test_near_distances():
 
 def test_bad_streams():
     good = webp.encode(noise(8, 8))
-    for bad in (b"", good[:30], b"x" + good[1:]):
-        with pytest.raises((ValueError, Exception)):
+    for bad in (b"", b"x" + good[1:]):
+        with pytest.raises(ValueError, match="not a lossless"):
             webp.decode(bad)
+    with pytest.raises((ValueError, IndexError)):
+        webp.decode(good[:30])
+    stored = webp_batch.store([pad(prose(300))])[0]
+    with pytest.raises(ValueError, match="not a lossless"):
+        webp_batch.images([stored[:-20]])
+    with pytest.raises(ValueError, match="truncated|incomplete|code lengths|cache|reference"):
+        webp_batch.decode_bodies([stored[20:200]])
 
 
-def test_payload_limits_and_large():
-    text = bytes(RNG.integers(32, 127, 192 * webp.MAX_SIDE + 5, dtype=np.uint8))
-    got = round_trip(text)
+TEXTS = [b"", b"a", b"ab\n" * 900, bytes(range(1, 128)) * 30, "Ünï漢🙂 ".encode() * 200, b"the same line again and again\n" * 400]
+
+
+def prose(n):
+    words = ["the", "and", "tion", "er", "on", "12.5", "é", "Apache", "License,"]
+    return " ".join(words[i] for i in RNG.integers(0, len(words), n)).encode()
+
+
+def test_payloads_come_back_through_both_readers():
+    texts = [*TEXTS, *(prose(int(n)) for n in RNG.integers(0, 900, 60)), bytes(RNG.integers(0, 256, 30_000, dtype=np.uint8)), prose(60_000)]
+    payloads = [pad(t) for t in texts]
+    stored = webp_batch.store(payloads)
+    for payload, media, images in zip(payloads, stored, webp_batch.images(stored), strict=True):
+        assert b"".join(x.tobytes() for x in images) == payload
+        assert b"".join(x.tobytes() for x in webp.images(media)) == payload
+    for i in RNG.permutation(len(texts))[:12].tolist():  # a text's file does not depend on its batch
+        assert webp_batch.store([payloads[i]]) == [stored[i]]
+
+
+@pytest.mark.parametrize("mode", ["flat", "lz", "predictor", "cross", "green"])
+def test_batch_reader_takes_other_streams(mode):
+    images = [noise(int(h), 48, c) for h, c in zip(RNG.integers(1, 40, 12), (None, 1, 2, 5, 200, 3) * 2, strict=True)]
+    bodies = [webp.encode(x, mode, bits=3)[20:] for x in images]
+    for want, got in zip(images, webp_batch.decode_bodies(bodies), strict=True):
+        assert (want == got).all()
+
+
+def test_code_lengths_are_complete_and_near_the_entropy():
+    counts = RNG.integers(0, 50, (200, 64)) * (RNG.random((200, 64)) < 0.4) * np.where(RNG.random((200, 64)) < 0.1, 60, 1)
+    lengths = webp_batch.code_lengths(counts).astype(int)
+    assert ((lengths > 0) == (counts > 0)).all() and lengths.max() <= 15
+    for c, ls in zip(counts, lengths, strict=True):
+        used = c > 0
+        if used.sum() > 1:
+            assert (2.0 ** -ls[used]).sum() == 1
+            best = webp.lengths_of(c).astype(int)
+            assert (c * ls).sum() <= 1.15 * (c * best).sum()
+
+
+def test_all_parts_of_the_format_are_used_on_documents():
+    """Each coding acts on texts of the documents table, as chosen from their pixels."""
+    import pyarrow.parquet as pq
+
+    texts = [(t or "").encode() for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()]
+    seen = {"palette": 0, "predictor": 0, "cross": 0, "copy": 0, "cached": 0, "literal": 0, "long codes": 0}
+    for text in texts:
+        payload = np.frombuffer(pad(text), np.uint8).reshape(-1, 4)[: webp_batch.ROWS * 48]
+        if len(np.unique(payload, axis=0)) <= webp_batch.COLOURS:
+            seen["palette"] += 1
+            continue
+        lay = webp_batch.Layout(np.array([len(payload) // 48]))
+        rest, modes = webp_batch.choose_predictors(payload, lay)
+        rest, factors = webp_batch.choose_cross_colour(rest, lay)
+        px = rest[:, [2, 1, 0, 3]].copy().view(np.uint32).ravel()
+        _, kinds, _, _ = webp_batch.tokens(px, lay)
+        seen["predictor"] += bool((modes > 0).any())
+        seen["cross"] += bool(factors.any())
+        seen["literal"] += bool((kinds == 0).any())
+        seen["cached"] += bool((kinds == 1).any())
+        seen["copy"] += bool((kinds == 2).any())
+        lengths = webp_batch.code_lengths(np.bincount(px >> np.uint32(8) & np.uint32(255), minlength=256)[None])
+        seen["long codes"] += len(np.unique(lengths)) > 2
+    print(seen)
+    assert all(n > 0 for n in seen.values()), seen
+    assert seen["long codes"] >= 0.9 * len(texts)
+
+
+def test_long_payloads_are_several_images(monkeypatch):
+    text = bytes(RNG.integers(32, 127, 192 * 500 + 5, dtype=np.uint8))
+    whole = round_trips([text, b"x"])
     want = pad(text)
-    assert got[1] == len(want) and got[2] == hashlib.sha256(want).hexdigest()
-    assert len(webp.images(got[7])) == 2
+    assert whole[0][1] == len(want) and whole[0][2] == hashlib.sha256(want).hexdigest()
+    assert len(webp.images(whole[0][7])) == -(-len(want) // (192 * webp_batch.ROWS))
+    monkeypatch.setattr(webp_batch, "STEP_BYTES", 30_000)
+    assert round_trips([text, b"x"]) == whole
 
 
 def test_frame(spark):
@@ -90,3 +166,21 @@ def test_frame(spark):
     kept = media_column(df, keep_media=True).filter("doc_id = 5").first()
     assert b"".join(x.tobytes() for x in webp.images(bytes(kept.media))) == pad(rows[5][1].encode())
     assert media_column(df.limit(0)).count() == 0
+
+
+def test_the_query(spark, tmp_path):
+    import __spark_entry__
+
+    rows = [(1, None), (2, ""), (3, "é" * 500), (4, "a" * 192), (4, "a" * 192), (5, "ab\n" * 9000), (None, "q"), (6, prose(800).decode())]
+    spark.createDataFrame([(*r, "x", b"m") for r in rows], "doc_id long, text string, feature string, media binary").write.parquet(str(tmp_path / "documents.parquet"))
+    out = __spark_entry__.queries()["op1_media_webp"](spark, str(tmp_path)).collect()
+    want = []
+    for i, t in rows:
+        b = (t or "").encode()
+        p = pad(b)
+        want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
+    assert sorted((tuple(r)[:5] for r in out), key=str) == sorted(want, key=str)
+    for r in out:
+        text = next(t for i, t in rows if i == r.doc_id) or ""
+        media = webp_batch.store([pad(text.encode())])[0]
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and r.feature
