@@ -196,8 +196,13 @@ def qcut(df: DataFrame, name: str, bins: int, labels: Sequence[str] | None = Non
     """Bins between quantiles (``approximate`` uses a bounded sketch)."""
     points = [i / bins for i in range(bins + 1)]
     c = present(df, name)
-    edges = df.agg((F.percentile_approx(c, points, 10_000) if approximate else F.percentile(c, F.array(*map(F.lit, points)))).alias("e")).first()["e"]
-    if edges is None:
+    if approximate:
+        edges = df.agg(F.percentile_approx(c, points, 10_000)).first()[0]
+    else:
+        from ..operators.quantiles import exact_quantiles
+
+        edges = exact_quantiles(df, {name: c}, points)[name]
+    if edges is None or edges[0] is None:
         return df.withColumn(f"{name}_bin", F.lit(None).cast("string"))
     edges = sorted({float(e) for e in edges})
     if len(edges) == 1:

@@ -8,6 +8,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import exact_quantiles
 from ..operators.reshape import column_values
 from ..semantics import col, present
 
@@ -73,9 +74,12 @@ class RobustScaler(Transformer):
     """(x - median) / IQR, from exact quartiles (or sketches with approximate=True)."""
 
     def fit(self, df):
-        q = (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)) if self.options.get("approximate") else (lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-        row = df.agg(*[q(_value(df, c)).alias(c) for c in self.columns]).first()
-        self.params = {c: [row[c][1], (row[c][2] - row[c][0]) or 1.0] if row[c] else [None, 1.0] for c in self.columns}
+        points = [0.25, 0.5, 0.75]
+        if self.options.get("approximate"):
+            row = df.agg(*[F.percentile_approx(_value(df, c), points, 10_000).alias(c) for c in self.columns]).first()
+        else:
+            row = exact_quantiles(df, {c: _value(df, c) for c in self.columns}, points)
+        self.params = {c: [row[c][1], (row[c][2] - row[c][0]) or 1.0] if row[c] and row[c][0] is not None else [None, 1.0] for c in self.columns}
         return self
 
     def transform(self, df):
@@ -260,8 +264,8 @@ class Discretizer(Transformer):
     def fit(self, df):
         n = self.options.get("bins", 5)
         if self.options.get("strategy", "uniform") == "quantile":
-            row = df.agg(*[F.percentile(_value(df, c), F.array(*[F.lit(i / n) for i in range(1, n)])).alias(c) for c in self.columns]).first()
-            self.params = {c: sorted(set(row[c] or [])) for c in self.columns}
+            row = exact_quantiles(df, {c: _value(df, c) for c in self.columns}, [i / n for i in range(1, n)])
+            self.params = {c: sorted({v for v in row[c] if v is not None}) for c in self.columns}
         else:
             row = df.agg(*[F.struct(F.min(_value(df, c)), F.max(_value(df, c))).alias(c) for c in self.columns]).first()
             self.params = {c: [row[c][0] + (row[c][1] - row[c][0]) * i / n for i in range(1, n)] if row[c][0] is not None else [] for c in self.columns}
@@ -283,7 +287,12 @@ class Imputer(Transformer):
         if how == "constant":
             self.params = {c: self.options["value"] for c in self.columns}
             return self
-        f = {"mean": lambda c: F.avg(present(df, c)), "median": lambda c: F.percentile(present(df, c), 0.5), "mode": lambda c: F.mode(present(df, c), True)}[how]
+        if how == "median":
+            holes = df.agg(*[F.count_if(col(c).isNull()).alias(c) for c in self.columns]).first()
+            middle = exact_quantiles(df, {c: present(df, c) for c in self.columns if holes[c]}, [0.5])
+            self.params = {c: v[0] for c, v in middle.items()}
+            return self
+        f = {"mean": lambda c: F.avg(present(df, c)), "mode": lambda c: F.mode(present(df, c), True)}[how]
         row = df.agg(*[F.struct(f(c).alias("v"), F.count_if(col(c).isNull()).alias("n")).alias(c) for c in self.columns]).first()
         self.params = {c: row[c]["v"] for c in self.columns if row[c]["n"]}
         return self

@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..semantics import col, is_numeric, kurtosis, missing, numeric_columns, present, skewness
+from .quantiles import exact_quantiles
 from .windows import rank
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows count, mean, std, min, 25%, 50%, 75%, max for the numeric columns: one aggregate."""
+    """Rows count, mean, std, min, 25%, 50%, 75%, max for the numeric columns: one aggregate, and the quartiles (which run jobs when called)."""
     cols = list(columns or numeric_columns(df))
+    quartiles = exact_quantiles(df, {n: present(df, n) for n in cols}, QUARTILES)
     wide = df.agg(*[
-        F.array(F.count(c).cast("double"), F.avg(c), F.coalesce(F.stddev_samp(c), F.when(F.count(c) == 1, 0.0)), F.min(c).cast("double"), *[F.percentile(c, q) for q in QUARTILES], F.max(c).cast("double")).alias(n)
+        F.array(F.count(c).cast("double"), F.avg(c), F.coalesce(F.stddev_samp(c), F.when(F.count(c) == 1, 0.0)), F.min(c).cast("double"), *[F.lit(q).cast("double") for q in quartiles[n]], F.max(c).cast("double")).alias(n)
         for n, c in ((n, present(df, n)) for n in cols)
     ])
     names = F.array(*map(F.lit, ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..ml import evaluation as ev
 from ..ml import transformers as tr
 from ..operators import schema, stats
-from ..semantics import kurtosis, quantile, skewness
+from ..operators.quantiles import exact_quantiles
+from ..semantics import kurtosis, skewness
 from .registry import query, t
 
 
@@ -19,8 +20,9 @@ def describe_frame(spark, d):
 
 @query("SELECT round(quantile_cont(o_totalprice, 0.1), 4) AS p10, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.99), 4) AS p99 FROM orders")
 def quantiles(spark, d):
-    c = F.col("o_totalprice")
-    return t(spark, d, "orders").agg(F.round(quantile(c, 0.1), 4).alias("p10"), F.round(quantile(c, 0.5), 4).alias("p50"), F.round(quantile(c, 0.99), 4).alias("p99"))
+    o = t(spark, d, "orders")
+    q = exact_quantiles(o, {"p": F.col("o_totalprice")}, [0.1, 0.5, 0.99])["p"]
+    return spark.createDataFrame([tuple(q)], "p10 double, p50 double, p99 double").select(*[F.round(c, 4).alias(c) for c in ("p10", "p50", "p99")])
 
 
 @query("""SELECT 'l_quantity' AS "column", round(1.0, 6) AS l_quantity, round(corr(l_quantity, l_extendedprice), 6) AS l_extendedprice, round(corr(l_quantity, l_discount), 6) AS l_discount FROM lineitem

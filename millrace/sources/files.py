@@ -82,6 +82,29 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], *, sep: str = ",",
     return apply_types(df, types if types is not None else infer_types(df, sample_rows))
 
 
+def read_many(spark: SparkSession, paths: Sequence[str], **options) -> tuple[DataFrame | None, dict[str, str]]:
+    """(all readable files as one frame by column name, what went wrong with each of the others)."""
+    from pyspark.errors import PySparkException
+
+    from ..operators.joins import concat_rows
+
+    frames, failed = [], {}
+    for p in paths:
+        try:
+            frames.append(read_csv(spark, p, **options))
+        except PySparkException as e:
+            failed[p] = str(e).splitlines()[0]
+    return (concat_rows(*frames) if frames else None), failed
+
+
+def read_chunked(spark: SparkSession, path: str, rows: int, **options) -> DataFrame:
+    """The file's rows with ``chunk``, the 0-based number of their run of ``rows`` rows in file order."""
+    from ..ordering import POSITION, with_position, with_row_id
+
+    at = with_position(with_row_id(read_csv(spark, path, **options), "__line"), ["__line"])
+    return at.withColumn("chunk", F.floor(F.col(POSITION) / rows)).drop("__line", POSITION)
+
+
 def write_csv(df: DataFrame, path: str, *, sep: str = ",", header: bool = True, null_value: str = "", mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("sep", sep).option("header", header).option("nullValue", null_value).option("escape", '"').csv(path)
 
