@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import QUERIES, SQL, query, t
-from . import extras, geo_text, io_stream, relational, series, statistics, surface, windows  # noqa: F401, E402, I001
+from . import extras, geo_text, io_stream, known, relational, series, statistics, surface, windows  # noqa: F401, E402, I001
 
 __all__ = ["QUERIES", "SQL", "query", "t"]
