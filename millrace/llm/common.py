@@ -38,6 +38,28 @@ def _return_memory() -> None:
 
 
 _return_memory()
+
+
+def trim() -> None:
+    """Give free memory inside the heap back to the system."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(f):
+    """``f`` over a task's batches; freed memory goes back at the end, since workers wait for other tasks."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
 #: Bytes hashed at once, so that the work arrays stay in a core's cache.
 CHUNK = 1 << 18
 #: Positions in a word that have a table of random values of their own.

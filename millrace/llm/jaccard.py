@@ -11,7 +11,8 @@ one size band use the same cut into d + d / s + 3 blocks, where d bounds how man
 documents of that band can differ in; so at least d / s + 3 blocks of linked documents agree (s is 5 at a similarity of 0.9, 3 at 0.8).
 A block's content hash is a signature. Blocks of less than two shingles are weak, and a document leaves
 their signatures out if it has fewer of them than blocks that must agree: then one that agrees is not weak.
-(Otherwise it gives all, also to a partner that leaves its weak ones out and may share but one with it.)
+(Otherwise it gives the weak ones too, also to a partner that leaves them out and may share but one with it.)
+Signatures of empty blocks are left out by the same count of their own.
 Pairs without a common signature are never made; of those with one, size ratio and parities of shingle counters
 (512 for all and up to 16,384 for long documents) discard most before the product.
 
@@ -36,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, buckets_for, find_words, forget, fresh_seed, hint_small, materialize, mix, slices, split_buckets, table, text_buffers
+from .common import U64, Hasher, buckets_for, find_words, forget, fresh_seed, hint_small, materialize, mix, slices, split_buckets, table, text_buffers, tidy
 from .components import connected
 
 PARITY = 8  # 64-bit words
@@ -133,10 +134,11 @@ def signatures(hashes: np.ndarray, cut: np.ndarray, bands: Bands) -> tuple[np.nd
         np.add.at(sums, slot, mix(h + U64(0x51ED270B)))
         owner = np.repeat(np.arange(len(use)), n_blocks)
         number = np.arange(len(sums)) - base[owner]
-        weak = np.bincount(slot, minlength=len(sums)) < 2
+        held = np.bincount(slot, minlength=len(sums))
+        weak, empty = held < 2, held == 0
         n_weak = np.bincount(owner[weak], minlength=len(use))
         few = n_weak < agree
-        keep = ~(weak & few[owner])
+        keep = ~(weak & few[owner] | empty & (np.bincount(owner[empty], minlength=len(use)) < agree)[owner])
         room = np.where(few, agree - n_weak, 1)  # a few partner may have left out all but one of those that agree
         sig = mix(sums ^ mix(salt[owner] + number.astype(U64)))
         sigs.append(sig[keep])
@@ -194,7 +196,7 @@ def _figures(docs: DataFrame, id_col: str, text_col: str, sets: Sets) -> DataFra
                 part = ids.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.cast(pa.int64()), pa.array(node), pa.array(check), pa.array(n), part.is_valid(), parity, pa.array(wide, pa.binary())], names=["doc_id", "node", "check", "n", "known", "parity", "wide"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, node long, check long, n long, known boolean, parity array<long>, wide binary")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), "doc_id long, node long, check long, n long, known boolean, parity array<long>, wide binary")
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str, sets: Sets, num: int, den: int, n_buckets: int) -> DataFrame:
@@ -292,7 +294,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, sets: Sets, num: int,
         cols = [np.concatenate([x[many], y]) for x, y in ((sig.view(np.int64), done[:, 0]), (node, done[:, 1]), (meta, done[:, 2]), (center, done[:, 3]))]
         return pa.table({n: pa.array(c) for n, c in zip(("sig", "node", "meta", "center"), cols, strict=True)})
 
-    sent = docs.select(id_col, text_col).mapInArrow(run, "bucket int, sig binary, slot binary, nodes binary, local binary")
+    sent = docs.select(id_col, text_col).mapInArrow(tidy(run), "bucket int, sig binary, slot binary, nodes binary, local binary")
     return sent.groupBy("bucket").applyInArrow(across, "sig long, node long, meta long, center long")
 
 
@@ -352,7 +354,7 @@ def _rows_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, set
                 mine = np.flatnonzero(node == want[i:j])  # an id may stand for several texts
                 yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array([h[cut[x] : cut[x + 1]].tobytes() for x in mine], pa.binary())], names=["node", "set"])
 
-    return materialize(rows.mapInArrow(run, "node long, set binary"), "jaccard-sets")
+    return materialize(rows.mapInArrow(tidy(run), "node long, set binary"), "jaccard-sets")
 
 
 def overlaps(lefts: list[np.ndarray], right: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import webp_batch
-from .common import slices, table, text_buffers
+from .common import slices, table, text_buffers, tidy
 
 UNIT = 192
 #: Text that is coded in step.
@@ -68,7 +68,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 cols = list(zip(*(done[t] for t in texts), strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def op1_media_webp(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_buffers
+from .common import slices, table, text_buffers, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
@@ -569,7 +569,7 @@ def detect(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataF
                 cols = [pa.array(c, pa.int64() if i < 5 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, end - at) for c in range(len(columns))), *cols], names=[*columns, *names])
 
-    return docs.select(*columns, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_spans string, spans string, redacted string")
+    return docs.select(*columns, F.col(text_col).alias("_text")).mapInArrow(tidy(run), f"{kinds}, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_spans string, spans string, redacted string")
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:

@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import pack, unpack
-from .common import U64, hint_small, materialize, mix, slices, table, text_buffers
+from .common import U64, hint_small, materialize, mix, slices, table, text_buffers, tidy, trim
 
 ORDER, BITS = 5, 8
 CLASSES = 1 << BITS
 MASK = [U64((1 << BITS * n) - 1) for n in range(ORDER + 1)]
-BLOCK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
+BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 SHIFT = U64(BITS)
 START = 255
 N_SHARDS = 48
@@ -201,7 +201,7 @@ def _train(trusted: DataFrame, n_shards: int, rows: int) -> DataFrame:
         return pa.table({"shard": group.column("shard").slice(0, 1), "codes": pa.array([codes.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "seen": pa.array([seen], pa.list_(pa.int64())), "pairs": pa.array([pairs.tobytes()], pa.binary()), "pair_counts": pa.array([pair_counts.astype(np.int64).tobytes()], pa.binary())})
 
     schema = "shard int, part long, codes binary, counts binary"
-    sent = trusted.mapInArrow(count, schema)
+    sent = trusted.mapInArrow(tidy(count), schema)
     while rows > MERGE:
         rows = -(-rows // MERGE)
         sent = sent.groupBy("shard", F.pmod(F.xxhash64("part"), F.lit(rows)).alias("salt")).applyInArrow(add, schema)
@@ -307,9 +307,11 @@ def perplexities(docs: DataFrame, trusted_text: DataFrame, columns: list[str], t
             total, count = run[-1], heads[-1]
         n = np.diff(chars)
         mean = np.diff(sums) / np.maximum(n, 1)
+        del look, logs, codes, data
+        trim()
         return pa.table({**{c: batch.column(k) for k, c in enumerate(columns)}, "n_scored": pa.array(n, pa.int64()), "perplexity": pa.array(np.round(np.exp(-mean), 6), pa.float64(), mask=n == 0)})
 
-    blocks = docs.select(*columns, F.col(text_col).alias("_text")).mapInArrow(number, "block_id long, payload binary").groupBy("block_id")
+    blocks = docs.select(*columns, F.col(text_col).alias("_text")).mapInArrow(tidy(number), "block_id long, payload binary").groupBy("block_id")
     asked = blocks.applyInArrow(ask, "shard int, salt long, block_id long, asked binary")
     copies = shards.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "codes", "counts")
     answers = copies.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(answer, "shard int, block_id long, logs binary")

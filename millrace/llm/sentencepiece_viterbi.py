@@ -23,11 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_buffers
+from .common import slices, table, text_buffers, tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_WORDS = 80_000
+CACHE_WORDS = 40_000
 SLICE_BYTES = 3 << 20
 #: Marked words above this length share no prefixes; their back-pointers are kept in arrays.
 LONG = 2048
@@ -272,7 +272,7 @@ def encode_column(docs: DataFrame, columns: list[str], text_col: str = "text", m
                 back = [pa.array([m.decode(ids[a:b].tolist()).decode(errors="replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(len(columns))), lists, pa.array(np.diff(ends)), *back], names=[*columns, "ids", "n_tokens", *["decoded"] * decoded])
 
-    return docs.select(*columns, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, ids array<int>, n_tokens long" + ", decoded string" * decoded)
+    return docs.select(*columns, F.col(text_col).alias("_text")).mapInArrow(tidy(run), f"{kinds}, ids array<int>, n_tokens long" + ", decoded string" * decoded)
 
 
 def decode_column(encoded: DataFrame, columns: list[str], ids_col: str = "ids", out_col: str = "text", model: str | None = None) -> DataFrame:
