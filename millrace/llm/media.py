@@ -1,7 +1,7 @@
 """Operator 1: texts as lossless WebP images.
 
 Every text's UTF-8 bytes, padded with spaces to a positive multiple of 192, become the RGBA rows of
-48-pixel-wide lossless WebP images of at most 64 rows, one after another in the stored form; the stored bytes are decoded again and all digests
+48-pixel-wide lossless WebP images of at most 32 rows, one after another in the stored form; the stored bytes are decoded again and all digests
 come from the decoded pixels. Predictors, cross-colour multipliers, palettes, back-references, cache hits and prefix codes are
 chosen from each image's own pixels (``webp_batch``). Row-local, no shuffle; images of some megabytes of texts are coded in step.
 Null and empty texts are one row of spaces. Equal texts are equal images, whatever else is in the batch.
@@ -20,7 +20,7 @@ from .common import slices, table, text_buffers, tidy
 
 UNIT = 192
 #: Text that is coded in step.
-SLICE_BYTES, SLICE_DOCS = 4 << 20, 4000
+SLICE_BYTES, SLICE_DOCS = 2 << 20, 4000
 
 
 def pad(text: bytes) -> bytes:

@@ -4,7 +4,7 @@ Images are coded and decoded in step: every array operation handles one pixel, s
 a call is shared. Each image goes through
 
 * the palette transform, if it has at most 16 colours (those few are left to ``webp``), else
-* the predictor and the cross-colour transform: for each block of 16 x 16 pixels the mode, and the three multipliers, that leave the
+* the predictor and the cross-colour transform: for each block of 32 x 32 pixels the mode, and the three multipliers, that leave the
   channels with the least entropy (mode 0 and multipliers 0 are among them),
 * back-references (the last place of the next three pixels) and a colour cache of 64,
 * prefix codes of their own for each image, complete and of at most 15 bits.
@@ -23,10 +23,10 @@ import numpy as np
 from . import webp
 from .webp import CROSS_COLOUR, LENGTH_ORDER, NEAR, PALETTE, PREDICTOR, REVERSED, SUBTRACT_GREEN, WIDTH
 
-ROWS = 64
+ROWS = 32
 #: Bytes of images that are coded in step, about.
-STEP_BYTES = 4 << 20
-BITS, CACHE_BITS, COLOURS = 4, 6, 16
+STEP_BYTES = 2 << 20
+BITS, CACHE_BITS, COLOURS = 5, 6, 16
 GREEN, CODES = 280, (8, 16, 0, 24)
 HASH = np.uint32(0x1E35A7BD)
 MULTIPLIERS = (0, 8, 16, 32, -16)
@@ -94,9 +94,9 @@ class Layout:
         return first[self.image] + (self.at // WIDTH >> bits) * across + (self.at % WIDTH >> bits), first
 
 
-def _evenness(block: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
-    """Sum of count * log2(count) of the byte values in each block: the larger, the less entropy."""
-    return _COUNT[np.bincount(block * 256 + values, minlength=n * 256)].reshape(n, 256).sum(1)
+def _evenness(cell: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    """Sum of count * log2(count) of the byte values in each block (cell: 256 times its number): the larger, the less entropy."""
+    return _COUNT[np.bincount(cell + values, minlength=n * 256)].reshape(n, 256).sum(1)
 
 
 # ---------------------------------------------------------------- transforms of the encoder
@@ -111,12 +111,12 @@ def choose_predictors(c: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndarra
     edge = (lay.at < WIDTH) | (lay.at % WIDTH == 0)
     border = np.where((lay.at < WIDTH)[:, None], left, top)[edge]
     border[lay.at[edge] == 0] = (0, 0, 0, 255)
-    best, modes = np.full(int(first[-1]), -1.0), np.zeros(int(first[-1]), np.int64)
+    best, modes, cell = np.full(int(first[-1]), -1.0), np.zeros(int(first[-1]), np.int64), block * 256
     found = np.empty_like(c)
     for mode in range(14):
         rest = c - predict(mode, left, top, right, corner)
         rest[edge] = c[edge] - border
-        score = sum(_evenness(block, len(best), rest[:, k]) for k in range(4))
+        score = sum(_evenness(cell, len(best), rest[:, k]) for k in range(4))
         better = score > best + 1e-3
         best[better], modes[better] = score[better], mode
         mine = better[block]
@@ -127,7 +127,7 @@ def choose_predictors(c: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndarra
 def choose_cross_colour(c: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
     """(pixels with shares of green and red taken away, multipliers of each block as (n, 3) bytes: green to red, green to blue, red to blue)."""
     block, first = lay.blocks(BITS)
-    n = int(first[-1])
+    n, cell = int(first[-1]), block * 256
     red, green, blue = (c[:, k].view(np.int8).astype(np.int16) for k in (0, 1, 2))
     factors = np.zeros((n, 3), np.int8)
     out = c.copy()
@@ -138,7 +138,7 @@ def choose_cross_colour(c: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndar
         taken = np.zeros(len(c), np.uint8)
         for m in MULTIPLIERS:
             rest = ((now - (m * source >> 5)) & 255).astype(np.uint8)
-            score = _evenness(block, n, rest)
+            score = _evenness(cell, n, rest)
             better = score > best + 1e-3
             best[better], factors[better, k] = score[better], m
             mine = better[block]
@@ -317,7 +317,7 @@ def write_pixels(f: Fields, px: np.ndarray, image: np.ndarray, kinds: np.ndarray
     symbol = [np.where(lit, channel[0], np.where(cached, GREEN + values, 256 + ls)), *channel[1:], ds]
     sizes = (GREEN + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     masks = (np.ones(len(px), bool), lit, lit, lit, copy)
-    value, bits = np.zeros((len(px), 6), np.int64), np.zeros((len(px), 6), np.int64)
+    value, bits = np.zeros((len(px), 5), np.uint32), np.zeros((len(px), 5), np.uint8)
     for k, (s, size, mask, place) in enumerate(zip(symbol, sizes, masks, (0, 1, 2, 3, 4), strict=True)):
         counts = np.bincount(image[mask] * size + s[mask], minlength=f.n * size).reshape(f.n, size)
         if k == 0:  # a lone symbol that the short form cannot name gets a companion
@@ -480,13 +480,6 @@ def read_codes(r: Readers, size: np.ndarray, most: int) -> np.ndarray:
     return lengths[:, :most]
 
 
-def read_values(r: Readers, rows: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """A length or distance from its prefix symbol and the extra bits that follow."""
-    extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
-    more = r.read(rows, extra)
-    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + more + 1)
-
-
 def read_pixels(r: Readers, size: np.ndarray, main: bool) -> tuple[np.ndarray, np.ndarray]:
     """(ARGB pixels of all images, first pixel of each) of entropy-coded images of ``size`` pixels."""
     n = len(size)
@@ -511,30 +504,54 @@ def read_pixels(r: Readers, size: np.ndarray, main: bool) -> tuple[np.ndarray, n
     cached, shift = cache_bits[by] > 0, (32 - cache_bits[by]).astype(np.uint32)
     every_cached = bool(cached.all())
     left, dist = np.zeros(n, np.int64), np.ones(n, np.int64)
+    # the state of the images in the order ``by``; a step takes less than ten bytes of a stream, so this much padding bounds all reads
+    word = np.concatenate([r.word, np.zeros(10 * longest + 16, np.uint32)])
+    pos, wide = r.pos[by], size[by]
+    place = [c.first[by] for c in codes]
+    mask = [c.mask[by].astype(np.uint32) for c in codes]
+
+    def look(k: int, i, p: np.ndarray) -> np.ndarray:
+        """Entries of code k for the images ``i`` at the bits ``p``."""
+        return codes[k].entry[place[k][i] + (word[p >> 3] >> (p & 7).astype(np.uint32) & mask[k][i])]
+
+    def more(p: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length or distance of a prefix symbol, the bits after it)."""
+        extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+        low = (word[p >> 3] >> (p & 7).astype(np.uint32)).astype(np.int64) & ((1 << extra) - 1)
+        return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + low + 1), p + extra
+
     for t in range(longest):
         a = live[t]
         ask = np.flatnonzero(left[:a] == 0)
-        rows = by[ask]
-        s = codes[0].next(r, rows, rows)
+        p = pos[ask]
+        e = look(0, ask, p)
+        p += e & 15
+        s = e >> 4
         lit = s < 256
-        li, lr = ask[lit], rows[lit]
+        whole = bool(lit.all())
+        li, q = (ask, p) if whole else (ask[lit], p[lit])
         if len(li):
-            red = codes[1].next(r, lr, lr)
-            blue = codes[2].next(r, lr, lr)
-            alpha = codes[3].next(r, lr, lr)
-            out[base[li] + t] = (alpha.astype(np.uint32) << np.uint32(24)) | (red << 16 | s[lit] << 8 | blue).astype(np.uint32)
-        if len(li) < len(ask):
+            value = (s if whole else s[lit]).astype(np.uint32) << np.uint32(8)
+            for k, shift_of in ((1, 16), (2, 0), (3, 24)):
+                e = look(k, li, q)
+                q += e & 15
+                value |= (e >> 4).astype(np.uint32) << np.uint32(shift_of)
+            out[base[li] + t] = value
+        if not whole:
+            p[lit] = q
             hit = s >= GREEN
             if hit.any():
                 out[base[ask[hit]] + t] = cache[ask[hit], s[hit] - GREEN]
             copy = ~lit & ~hit
             if copy.any():
-                ci, cr = ask[copy], rows[copy]
-                left[ci] = read_values(r, cr, s[copy] - 256)
-                d = read_values(r, cr, codes[4].next(r, cr, cr))
+                ci = ask[copy]
+                left[ci], q = more(p[copy], s[copy] - 256)
+                e = look(4, ci, q)
+                d, p[copy] = more(q + (e & 15), e >> 4)
                 dist[ci] = np.where(d > 120, d - 120, _NEAR[np.minimum(d, 120) - 1])
-                if (dist[ci] > t).any() or (left[ci] + t > size[cr]).any():
+                if (dist[ci] > t).any() or (left[ci] + t > wide[ci]).any():
                     raise ValueError("bad back-reference")
+        pos[ask] = p
         going = np.flatnonzero(left[:a] > 0)
         if len(going):
             at = base[going] + t
@@ -544,6 +561,7 @@ def read_pixels(r: Readers, size: np.ndarray, main: bool) -> tuple[np.ndarray, n
         if len(i):
             v = out[base[i] + t]
             cache[i, (v * HASH >> shift[i]).astype(np.int64)] = v
+    r.pos[by] = pos
     r.check()
     return out, first
 
