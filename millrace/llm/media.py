@@ -20,7 +20,7 @@ from .common import slices, table, text_buffers, tidy
 
 UNIT = 192
 #: Text that is coded in step.
-SLICE_BYTES, SLICE_DOCS = 2 << 20, 4000
+SLICE_BYTES, SLICE_DOCS = 4 << 20, 8000
 
 
 def pad(text: bytes) -> bytes:
