@@ -26,6 +26,8 @@ from .webp import CROSS_COLOUR, LENGTH_ORDER, NEAR, PALETTE, PREDICTOR, REVERSED
 ROWS = 32
 #: Bytes of images that are coded in step, about.
 STEP_BYTES = 4 << 20
+#: Pixels for which modes are chosen, and tokens written, at once, so that the work arrays stay in a core's cache.
+PART_PIXELS, WRITE_PIXELS = 1 << 14, 1 << 17
 BITS, CACHE_BITS, COLOURS = 5, 6, 16
 GREEN, CODES = 280, (8, 16, 0, 24)
 HASH = np.uint32(0x1E35A7BD)
@@ -67,7 +69,8 @@ def predict(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, cor
         a, b, c = left.astype(np.int16), top.astype(np.int16), corner.astype(np.int16)
         if mode == 12:
             return np.clip(a + b - c, 0, 255).astype(np.uint8)
-        return np.where((np.abs(b - c).sum(1) < np.abs(a - c).sum(1))[:, None], left, top)
+        gap = np.abs(b - c) - np.abs(a - c)
+        return np.where((gap[:, 0] + gap[:, 1] + gap[:, 2] + gap[:, 3] < 0)[:, None], left, top)
     if mode == 13:
         mean, c = average(left, top).astype(np.int16), corner.astype(np.int16)
         gap = mean - c
@@ -93,6 +96,41 @@ class Layout:
         first = np.concatenate([[0], np.cumsum(across * -(-self.rows >> bits))])
         return first[self.image] + (self.at // WIDTH >> bits) * across + (self.at % WIDTH >> bits), first
 
+    def parts(self, pixels: int):
+        """(i, j, their pixels as a slice) of runs of whole images, of at most so many pixels or one image."""
+        i = 0
+        while i < self.n:
+            j = max(i + 1, int(np.searchsorted(self.first, self.first[i] + pixels, "right")) - 1)
+            yield i, j, slice(int(self.first[i]), int(self.first[j]))
+            i = j
+
+
+class Steps:
+    """Pixels of images of ``size`` in the order they are taken in step: the first of all images, then the second of all.
+
+    by: the images, largest first; live: how many have a pixel t; opens: where the pixels t begin."""
+
+    def __init__(self, size: np.ndarray):
+        self.by = np.argsort(-size, kind="stable")
+        self.longest = int(size.max(initial=0))
+        live = np.searchsorted(-size[self.by], -np.arange(1, self.longest + 1), "right")
+        self.opens = np.concatenate([[0], np.cumsum(live)])
+        self.live = live.tolist()
+        rank = np.empty(len(size), np.int64)
+        rank[self.by] = np.arange(len(size))
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        #: Place of each pixel of the images, one image after another, in this order.
+        self.place = self.opens[at] + np.repeat(rank, size)
+
+    def turned(self, v: np.ndarray) -> np.ndarray:
+        out = np.empty_like(v)
+        out[self.place] = v
+        return out
+
+    def each(self):
+        """(pixel t, number of images that have it, where it begins)."""
+        return zip(range(self.longest), self.live, self.opens.tolist(), strict=False)
+
 
 def _evenness(cell: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
     """Sum of count * log2(count) of the byte values in each block (cell: 256 times its number): the larger, the less entropy."""
@@ -102,30 +140,46 @@ def _evenness(cell: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- transforms of the encoder
 
 
+def _joined(parts: list[tuple]) -> tuple:
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def choose_predictors(c: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
     """(residuals as (n, 4) bytes, mode of each block)."""
+    return _joined([_predictors(c[px], Layout(lay.rows[i:j])) for i, j, px in lay.parts(PART_PIXELS)])
+
+
+def _predictors(c: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
     block, first = lay.blocks(BITS)
     padded = np.concatenate([np.zeros((WIDTH + 1, 4), np.uint8), c])
-    n = len(c)
+    n, blocks = len(c), int(first[-1])
     left, top, right, corner = (padded[WIDTH + 1 - d : WIDTH + 1 - d + n] for d in (1, WIDTH, WIDTH - 1, WIDTH + 1))
-    edge = (lay.at < WIDTH) | (lay.at % WIDTH == 0)
-    border = np.where((lay.at < WIDTH)[:, None], left, top)[edge]
+    edge = np.flatnonzero((lay.at < WIDTH) | (lay.at % WIDTH == 0))
+    border = np.where((lay.at[edge] < WIDTH)[:, None], left[edge], top[edge])
     border[lay.at[edge] == 0] = (0, 0, 0, 255)
-    best, modes, cell = np.full(int(first[-1]), -1.0), np.zeros(int(first[-1]), np.int64), block * 256
-    found = np.empty_like(c)
+    border = (c[edge] - border).view(np.uint32).ravel()
+    best, modes = np.full(blocks, -1.0), np.zeros(blocks, np.int64)
+    cell = (block[:, None] * 4 + np.arange(4)) * 256
+    where, found = np.empty_like(cell), np.empty(n, np.uint32)
     for mode in range(14):
         rest = c - predict(mode, left, top, right, corner)
-        rest[edge] = c[edge] - border
-        score = sum(_evenness(cell, len(best), rest[:, k]) for k in range(4))
+        whole = rest.view(np.uint32).ravel()
+        whole[edge] = border
+        np.add(cell, rest, out=where)
+        even = _COUNT.take(np.bincount(where.ravel(), minlength=blocks * 1024)).reshape(blocks, 4, 256).sum(2)
+        score = even[:, 0] + even[:, 1] + even[:, 2] + even[:, 3]
         better = score > best + 1e-3
         best[better], modes[better] = score[better], mode
-        mine = better[block]
-        found[mine] = rest[mine]
-    return found, modes
+        np.copyto(found, whole, where=better[block])
+    return found.view(np.uint8).reshape(-1, 4), modes
 
 
 def choose_cross_colour(c: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
     """(pixels with shares of green and red taken away, multipliers of each block as (n, 3) bytes: green to red, green to blue, red to blue)."""
+    return _joined([_cross_colour(c[px], Layout(lay.rows[i:j])) for i, j, px in lay.parts(PART_PIXELS)])
+
+
+def _cross_colour(c: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
     block, first = lay.blocks(BITS)
     n, cell = int(first[-1]), block * 256
     red, green, blue = (c[:, k].view(np.int8).astype(np.int16) for k in (0, 1, 2))
@@ -137,54 +191,60 @@ def choose_cross_colour(c: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndar
         now = red if channel == 0 else base
         taken = np.zeros(len(c), np.uint8)
         for m in MULTIPLIERS:
-            rest = ((now - (m * source >> 5)) & 255).astype(np.uint8)
+            rest = (now - (m * source >> 5)).astype(np.uint8)
             score = _evenness(cell, n, rest)
             better = score > best + 1e-3
             best[better], factors[better, k] = score[better], m
-            mine = better[block]
-            taken[mine] = rest[mine]
+            np.copyto(taken, rest, where=better[block])
         out[:, channel] = taken
         if channel == 2:
             base = taken.astype(np.int16)
     return out, factors
 
 
+def _repeats(px: np.ndarray, lay: Layout) -> np.ndarray:
+    """Distance from each pixel to the last place in its image with the same three pixels, else 0."""
+    wide = np.concatenate([px, np.zeros(2, np.uint32)]).astype(np.uint64)
+    key = wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ wide[2:] * np.uint64(0x165667B19E3779F9)
+    key = (key ^ key >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
+    # image, 40 bits of hash and place in one number (a part's images and places take less than 24): other images have no say in what shares a hash
+    image_bits, place_bits = max(lay.n - 1, 1).bit_length(), int(lay.size.max(initial=1)).bit_length()
+    high = lay.image.astype(np.uint64) << np.uint64(64 - image_bits)
+    key = np.sort(high | key >> np.uint64(24) << np.uint64(place_bits) | lay.at.astype(np.uint64))
+    at = (key & np.uint64((1 << place_bits) - 1)).astype(np.int64) + lay.first[(key >> np.uint64(64 - image_bits)).astype(np.int64)]
+    met = np.flatnonzero(key[1:] >> np.uint64(place_bits) == key[:-1] >> np.uint64(place_bits))
+    p, q = at[met + 1], at[met]
+    good = (lay.size[lay.image[p]] - lay.at[p] >= 3) & (px[q] == px[p]) & (wide[q + 1] == wide[p + 1]) & (wide[q + 2] == wide[p + 2])
+    out = np.zeros(len(px), np.int32)
+    out[p[good]] = (p - q)[good]
+    return out
+
+
 def tokens(px: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(position, symbol kind, value, distance) of every token: kind 0 a pixel, 1 a cached one (value: its slot), 2 a copy (value: its length)."""
-    n = len(px)
-    left = lay.size[lay.image] - lay.at
-    wide = np.concatenate([px, np.zeros(2, np.uint32)]).astype(np.uint64)
-    key = (wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ wide[2:] * np.uint64(0x165667B19E3779F9)) ^ lay.image.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    order = np.argsort(key, kind="stable")
-    back = np.full(n, -1, np.int64)
-    back[order[1:]] = np.where(key[order[1:]] == key[order[:-1]], order[:-1], -1)
-    p = np.flatnonzero((back >= 0) & (left >= 3))
-    same = (lay.image[back[p]] == lay.image[p]) & (px[back[p]] == px[p]) & (wide[back[p] + 1] == wide[p + 1]) & (wide[back[p] + 2] == wide[p + 2])
-    start = np.zeros(n, np.int64)  # distance at which a copy can begin here
-    start[p[same]] = p[same] - back[p[same]]
-    slot = (px * HASH >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
-    by = np.argsort(-lay.size, kind="stable")
-    live = np.searchsorted(-lay.size[by], -np.arange(1, int(lay.size.max()) + 1), "right")
-    base = lay.first[:-1][by]
-    cache = np.zeros((lay.n, 1 << CACHE_BITS), np.uint32)
-    dist = np.zeros(lay.n, np.int64)
-    rows = np.arange(lay.n)
-    kind = np.empty(n, np.int8)
-    far = np.zeros(n, np.int64)
-    for t in range(int(lay.size.max())):
-        a = live[t]
-        at, r = base[:a] + t, rows[:a]
-        v, h, d = px[at], slot[at], dist[:a]
-        going = (d > 0) & (px[at - d] == v)
-        d = np.where(going, d, start[at])
-        dist[:a] = d
-        kind[at] = np.where(going, 3, np.where(d > 0, 2, np.where(cache[r, h] == v, 1, 0)))
-        far[at] = d
-        cache[r, h] = v
+    steps = Steps(lay.size)
+    start = steps.turned(np.concatenate([_repeats(px[p], Layout(lay.rows[i:j])) for i, j, p in lay.parts(PART_PIXELS)]))
+    slot = (px * HASH >> np.uint32(32 - CACHE_BITS)).astype(np.int32)
+    held = steps.turned(slot).astype(np.int64)
+    seen = steps.turned(px)
+    base = lay.first[:-1][steps.by]
+    cache = np.zeros(lay.n << CACHE_BITS, np.uint32)
+    rows = np.arange(lay.n) << CACHE_BITS
+    dist = np.zeros(lay.n, np.int32)
+    kind, far = np.empty(len(px), np.int8), np.empty(len(px), np.int32)
+    for t, a, o in steps.each():
+        v, d = seen[o : o + a], dist[:a]
+        going = (px.take(base[:a] + t - d) == v) & (d > 0)
+        np.copyto(d, start[o : o + a], where=~going)
+        h = rows[:a] + held[o : o + a]
+        far[o : o + a] = d
+        kind[o : o + a] = np.where(d > 0, going + np.int8(2), cache.take(h) == v)
+        cache[h] = v
+    kind = kind[steps.place]
     where = np.flatnonzero(kind < 3)
     kinds = kind[where]
-    length = np.diff(np.append(where, n))  # a copy runs to the next token
-    return where, kinds, np.where(kinds == 2, length, np.where(kinds == 1, slot[where], 0)), far[where]
+    length = np.diff(np.append(where, len(px)))  # a copy runs to the next token
+    return where, kinds, np.where(kinds == 2, length, np.where(kinds == 1, slot[where], 0)), far[steps.place[where]]
 
 
 # ---------------------------------------------------------------- prefix codes
@@ -223,15 +283,18 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
 
 def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, symbol) cells of the used symbols by row, length, symbol, as flat indices, and their codes, first bit lowest."""
-    row, sym = np.nonzero(lengths)
-    ks = lengths[row, sym].astype(np.int64)
-    order = np.lexsort((sym, ks, row))
-    row, sym, ks = row[order], sym[order], ks[order]
-    room = np.cumsum(1 << (15 - ks)) - (1 << (15 - ks))
+    size = lengths.shape[1]
+    cell = np.flatnonzero(lengths != 0)
+    row = cell // size
+    key = np.sort((row << 4 | lengths.ravel()[cell]) * size + cell - row * size)  # row, length, symbol in one number
+    group = key // size
+    row, ks = group >> 4, group & 15
+    share = 1 << (15 - ks)
+    room = np.cumsum(share) - share
     first = np.searchsorted(row, np.arange(len(lengths)))
     left = room - room[np.minimum(first, max(len(room) - 1, 0))][row] if len(room) else room
     code = left >> (15 - ks)
-    return row * lengths.shape[1] + sym, _REVERSED[np.minimum(code, (1 << 15) - 1)] >> (15 - ks)
+    return row * size + key - group * size, _REVERSED[np.minimum(code, (1 << 15) - 1)] >> (15 - ks)
 
 
 class Fields:
@@ -241,8 +304,8 @@ class Fields:
         self.n, self.sections = n, []
 
     def add(self, image: np.ndarray, value: np.ndarray, bits: np.ndarray) -> None:
-        """Fields of at most 24 bits; ``image`` ascends."""
-        self.sections.append((image, value.astype(np.uint32), bits.astype(np.int64)))
+        """Fields of at most 64 bits; ``image`` ascends."""
+        self.sections.append((image, value.astype(np.uint64, copy=False), bits.astype(np.int64, copy=False)))
 
     def each(self, *fields: tuple) -> None:
         """The same (value, bits) fields for every image; a value may be an array."""
@@ -254,52 +317,52 @@ class Fields:
 
     def bytes(self) -> list[bytes]:
         sizes = np.zeros((len(self.sections) + 1, self.n), np.int64)
+        places = []
         for i, (image, _, bits) in enumerate(self.sections):
-            sizes[i] = np.bincount(image, weights=bits, minlength=self.n)
+            ends = np.concatenate([[0], np.cumsum(bits)])
+            opens = ends[np.searchsorted(image, np.arange(self.n + 1))]
+            sizes[i] = np.diff(opens)
+            places.append((ends, opens[:-1]))
         length = (sizes.sum(0) + 7) // 8
         length += length & 1
         first = np.concatenate([[0], np.cumsum(length)])
         begin = np.cumsum(np.concatenate([first[None, :-1] * 8, sizes[:-1]]), axis=0)
-        places = []
-        for i, (image, _, bits) in enumerate(self.sections):
-            ends = np.cumsum(bits)
-            opens = np.searchsorted(image, np.arange(self.n))
-            before = np.concatenate([[0], ends])[opens]
-            places.append((begin[i] - before)[image] + ends - bits)
-        at = np.concatenate(places)
-        wide = np.concatenate([value for _, value, _ in self.sections]).astype(np.uint64) << (at & 15).astype(np.uint64)
-        at >>= 4
-        out = np.zeros(int(first[-1]) // 2 + 3)
-        for k in range(3):  # fields do not overlap, so sums are unions; few fields reach the next words
-            some = np.flatnonzero(wide) if k else slice(None)
-            at, wide = at[some], wide[some]
-            out += np.bincount(at + k, weights=(wide & np.uint64(0xFFFF)).astype(np.float64), minlength=len(out))
-            wide >>= np.uint64(16)
-        raw = out.astype("<u2").view(np.uint8)
-        return [raw[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-
-
-#: A flat code of four bits for the code lengths 0 to 15, in stored order, as three fields of 19 bits.
-_FLAT = [sum((4 if s < 16 else 0) << 3 * i for i, s in enumerate(LENGTH_ORDER))]
-_FLAT = [(_FLAT[0] >> 19 * k & (1 << 19) - 1, 19) for k in range(3)]
+        at = np.concatenate([(begin[i] - opens)[image] + ends[:-1] for i, ((image, _, _), (ends, opens)) in enumerate(zip(self.sections, places, strict=True))])
+        value = np.concatenate([value for _, value, _ in self.sections])
+        low, word = (at & 31).astype(np.uint64), at >> 5
+        out = np.zeros((int(first[-1]) * 8 >> 5) + 4)
+        wide = value << low  # fields do not overlap, so sums are unions; few fields reach the next words
+        out += np.bincount(word, weights=wide & np.uint64(0xFFFFFFFF), minlength=len(out))
+        for k, more in ((1, wide >> np.uint64(32)), (2, value >> np.uint64(1) >> (np.uint64(63) - low))):
+            some = np.flatnonzero(more)
+            out += np.bincount(word[some] + k, weights=more[some], minlength=len(out))
+        raw = out.astype("<u4").view(np.uint8)
+        return [raw[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+#: A flat code of four bits for the code lengths 0 to 15, in stored order, of 19 times three bits.
+_FLAT = sum((4 if s < 16 else 0) << 3 * i for i, s in enumerate(LENGTH_ORDER))
+_FLAT_CODE = (_REVERSED[:16] >> 11).astype(np.uint8)
 
 
 def write_codes(f: Fields, lengths: np.ndarray) -> None:
     """One prefix code for every image."""
-    used = (lengths > 0).sum(1)
-    low = np.where(used > 0, (lengths > 0).argmax(1), 0)
-    high = np.where(used > 0, lengths.shape[1] - 1 - (lengths[:, ::-1] > 0).argmax(1), 0)
+    some = lengths > 0
+    used = some.sum(1)
+    low = np.where(used > 0, some.argmax(1), 0)
+    high = np.where(used > 0, lengths.shape[1] - 1 - some[:, ::-1].argmax(1), 0)
     one, two = (used <= 1) & (high < 256), (used == 2) & (high < 256)
     plain = ~(one | two)
     f.add(np.arange(f.n), np.where(one, 0b101 | low << 3, np.where(two, 0b111 | low << 3 | high << 11, 0b11110)), np.where(one, 11, np.where(two, 19, 5)))
     rows = np.flatnonzero(plain)
     top = np.maximum(high + 1, 2)[rows]
-    for value, bits in _FLAT:
-        f.add(rows, np.full(len(rows), value), np.full(len(rows), bits))
+    f.add(rows, np.full(len(rows), _FLAT), np.full(len(rows), 57))
     f.add(rows, 1 | 4 << 1 | (top - 2) << 4, np.full(len(rows), 14))
-    row = np.repeat(rows, top)
-    sym = np.arange(len(row)) - np.repeat(np.cumsum(top) - top, top)
-    f.add(row, _REVERSED[lengths[row, sym].astype(np.int64)] >> 11, np.full(len(row), 4))
+    words = -(-lengths.shape[1] // 16)  # sixteen code lengths in a field
+    each = np.zeros((len(rows), words * 16), np.uint8)
+    each[:, : lengths.shape[1]] = _FLAT_CODE[lengths[rows]]
+    value = (each[:, ::2] | each[:, 1::2] << np.uint8(4)).view("<u8")
+    f.add(np.repeat(rows, words), value.ravel(), np.clip(top[:, None] * 4 - np.arange(words) * 64, 0, 64).ravel())
 
 
 def prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,33 +376,42 @@ def prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def write_pixels(f: Fields, px: np.ndarray, image: np.ndarray, kinds: np.ndarray, values: np.ndarray, far: np.ndarray, cache_bits: int, main: bool) -> None:
     """An entropy-coded image for every image: tokens of pixels ``px`` (one each), ascending by ``image``."""
     f.each(*([(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]), *([(0, 1)] if main else []))
-    lit, cached, copy = kinds == 0, kinds == 1, kinds == 2
-    ls, lk, lv = prefix(np.where(copy, values, 1))
-    ds, dk, dv = prefix(np.where(copy, far + 120, 1))
-    channel = [(px >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in CODES]
-    symbol = [np.where(lit, channel[0], np.where(cached, GREEN + values, 256 + ls)), *channel[1:], ds]
-    sizes = (GREEN + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    masks = (np.ones(len(px), bool), lit, lit, lit, copy)
-    value, bits = np.zeros((len(px), 5), np.uint32), np.zeros((len(px), 5), np.uint8)
-    for k, (s, size, mask, place) in enumerate(zip(symbol, sizes, masks, (0, 1, 2, 3, 4), strict=True)):
-        counts = np.bincount(image[mask] * size + s[mask], minlength=f.n * size).reshape(f.n, size)
+    lit, copy = np.flatnonzero(kinds == 0), np.flatnonzero(kinds == 2)
+    ls, lk, lv = prefix(values[copy])
+    ds, dk, dv = prefix(far[copy].astype(np.int64) + 120)
+    pixel, of_lit, of_copy = px[lit], image[lit], image[copy]
+    channel = [(pixel >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in CODES]
+    first = GREEN + values
+    first[lit], first[copy] = channel[0], 256 + ls
+    value = bits = None
+    for k, (who, symbol, size) in enumerate(((image, first, GREEN + (1 << cache_bits if cache_bits else 0)), *((of_lit, c, 256) for c in channel[1:]), (of_copy, ds, 40))):
+        cell = who * size + symbol
+        counts = np.bincount(cell, minlength=f.n * size).reshape(f.n, size)
         if k == 0:  # a lone symbol that the short form cannot name gets a companion
             lone = ((counts > 0).sum(1) == 1) & (counts[:, 256:].sum(1) > 0)
             counts[lone, 0] += 1
         lengths = code_lengths(counts)
         write_codes(f, lengths)
+        lengths[(lengths > 0).sum(1) <= 1] = 0  # nothing is written for a lone symbol
         cells, codes = canonical(lengths)
-        table = np.zeros(f.n * size, np.int64)
-        table[cells] = codes
-        depth = lengths.astype(np.int64)
-        depth[(counts > 0).sum(1) <= 1] = 0  # nothing is written for a lone symbol
-        slot = 2 if place == 4 else place
-        cell = image[mask] * size + s[mask]
-        value[mask, slot], bits[mask, slot] = table[cell] * (depth.ravel()[cell] > 0), depth.ravel()[cell]
-    value[copy, 1], bits[copy, 1] = lv[copy], lk[copy]
-    value[copy, 3], bits[copy, 3] = dv[copy], dk[copy]
-    some = bits > 0
-    f.add(np.repeat(image, some.sum(1)), value[some], bits[some])
+        table = np.zeros(f.n * size, np.int32)
+        table[cells] = codes << 4 | lengths.ravel()[cells]
+        entry = table.take(cell)
+        code, wide = (entry >> 4).astype(np.uint64), (entry & 15).astype(np.uint64)
+        if k == 0:  # what follows in a token is put above it: at most 60 bits
+            value, bits = code, wide
+            more, have = value[lit], bits[lit]
+        elif k < 4:
+            more |= code << have
+            have += wide
+        else:
+            value[lit], bits[lit] = more, have
+            more, have = value[copy], bits[copy]
+            for v, n in ((lv, lk), (code, wide), (dv, dk)):
+                more |= v.astype(np.uint64) << have
+                have += n.astype(np.uint64)
+            value[copy], bits[copy] = more, have
+    f.add(image, value, bits)
 
 
 def _side(f: Fields, px: np.ndarray, first: np.ndarray) -> None:
@@ -356,17 +428,22 @@ def encode_bodies(c: np.ndarray, rows: np.ndarray) -> list[bytes]:
     rest, factors = choose_cross_colour(rest, lay)
     px = rest[:, [2, 1, 0, 3]].copy().view(np.uint32).ravel()
     where, kinds, values, far = tokens(px, lay)
-    f = Fields(lay.n)
     _, first = lay.blocks(BITS)
-    f.each((0x2F, 8), (WIDTH - 1, 14), (rows - 1, 14), (1, 1), (0, 3))
-    f.each((1 | PREDICTOR << 1, 3), (BITS - 2, 3))
-    _side(f, (modes.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000), first)
-    f.each((1 | CROSS_COLOUR << 1, 3), (BITS - 2, 3))
+    modes = (modes.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)
     byte = factors.view(np.uint8).astype(np.uint32)
-    _side(f, byte[:, 0] | byte[:, 1] << np.uint32(8) | byte[:, 2] << np.uint32(16) | np.uint32(0xFF000000), first)
-    f.each((0, 1))
-    write_pixels(f, px[where], lay.image[where], kinds, values, far, CACHE_BITS, True)
-    return f.bytes()
+    shares = byte[:, 0] | byte[:, 1] << np.uint32(8) | byte[:, 2] << np.uint32(16) | np.uint32(0xFF000000)
+    out = []
+    for i, j, _ in lay.parts(WRITE_PIXELS):
+        f, blocks = Fields(j - i), first[i : j + 1]
+        f.each((0x2F, 8), (WIDTH - 1, 14), (rows[i:j] - 1, 14), (1, 1), (0, 3))
+        for kind, side in ((PREDICTOR, modes), (CROSS_COLOUR, shares)):
+            f.each((1 | kind << 1, 3), (BITS - 2, 3))
+            _side(f, side[blocks[0] : blocks[-1]], blocks)
+        f.each((0, 1))
+        mine = slice(*np.searchsorted(where, lay.first[[i, j]]).tolist())
+        write_pixels(f, px[where[mine]], lay.image[where[mine]] - i, kinds[mine], values[mine], far[mine], CACHE_BITS, True)
+        out += f.bytes()
+    return out
 
 
 # ---------------------------------------------------------------- decoder
@@ -376,7 +453,8 @@ class Readers:
     """A bit position in each of many streams."""
 
     def __init__(self, bodies: list[bytes]):
-        raw = np.frombuffer(b"".join(bodies) + b"\0" * 8, np.uint8).astype(np.uint32)
+        self.raw = np.frombuffer(b"".join(bodies) + b"\0" * 8, np.uint8)
+        raw = self.raw.astype(np.uint32)
         self.word = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
         sizes = np.array([len(b) for b in bodies], np.int64)
         self.end = np.cumsum(sizes) * 8
@@ -405,27 +483,32 @@ class Tables:
 
     def __init__(self, lengths: np.ndarray):
         n, size = lengths.shape
-        used = (lengths > 0).sum(1)
-        lone = used <= 1
+        some = lengths > 0
+        lone = some.sum(1) <= 1
         depth = np.where(lone, 0, lengths.max(1)).astype(np.int64)
-        self.mask = (1 << depth) - 1
-        self.first = np.concatenate([[0], np.cumsum(1 << depth)])
-        self.entry = np.zeros(int(self.first[-1]), np.int32)
-        self.entry[self.first[:-1][lone]] = np.where(used[lone] == 1, (lengths[lone] > 0).argmax(1), 0) << 4
-        cells, codes = canonical(np.where(lone[:, None], 0, lengths))
-        row, ks = cells // size, lengths.ravel()[cells].astype(np.int64)
-        times = 1 << (depth[row] - ks)
-        full = np.bincount(row, weights=times, minlength=n).astype(np.int64)
-        if (full[~lone] != 1 << depth[~lone]).any():
-            raise ValueError("incomplete prefix code")
-        k = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        at = np.repeat(self.first[row] + codes, times) + (k << np.repeat(ks, times))
-        self.entry[at] = np.repeat((cells % size) << 4 | ks, times)
-        self.first = self.first[:-1]
+        self.depth, self.mask = depth, (1 << depth) - 1
+        self.first = np.empty(n, np.int64)
+        self.entry = np.empty(int((1 << depth).sum()), np.uint16)
+        filled = 0
+        for d in np.flatnonzero(np.bincount(depth)).tolist():
+            rows = np.flatnonzero(depth == d)
+            self.first[rows] = filled + (np.arange(len(rows)) << d)
+            part = self.entry[filled : filled + (len(rows) << d)]
+            filled += len(part)
+            if not d:
+                part[:] = some[rows].argmax(1) << 4
+                continue
+            # in the order of the codes, first bit highest, each symbol fills a run
+            cells, _ = canonical(lengths[rows])
+            ks = lengths[rows].ravel()[cells].astype(np.int64)
+            runs = 1 << (d - ks)
+            if (np.bincount(cells // size, weights=runs, minlength=len(rows)) != 1 << d).any():
+                raise ValueError("incomplete prefix code")
+            np.take(np.repeat((cells % size << 4 | ks).astype(np.uint16), runs).reshape(-1, 1 << d), _REVERSED[: 1 << d] >> (15 - d), axis=1, out=part.reshape(-1, 1 << d))
 
     def next(self, r: Readers, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
         """The next symbol of the streams ``rows``; ``which``: their rows of the tables."""
-        v = self.entry[self.first[which] + (r.peek(rows).astype(np.int64) & self.mask[which])]
+        v = self.entry[self.first[which] + (r.peek(rows).astype(np.int64) & self.mask[which])].astype(np.int64)
         r.pos[rows] += v & 15
         return v >> 4
 
@@ -497,118 +580,137 @@ def read_pixels(r: Readers, size: np.ndarray, main: bool) -> tuple[np.ndarray, n
     slots = np.where(cache_bits > 0, 1 << cache_bits, 0)
     green = GREEN + slots
     codes = [Tables(read_codes(r, np.full(n, k) if k else green, k or int(green.max(initial=GREEN)))) for k in (0, 256, 256, 256, 40)]
-    first = np.concatenate([[0], np.cumsum(size)])
-    out = np.zeros(int(first[-1]), np.uint32)
-    by = np.argsort(-size, kind="stable")
-    longest = int(size.max(initial=0))
-    live = np.searchsorted(-size[by], -np.arange(1, longest + 1), "right")
-    base = first[:-1][by]
-    cache = np.zeros((n, int(slots.max(initial=1)) or 1), np.uint32)
+    steps = Steps(size)
+    by, longest, opens = steps.by, steps.longest, steps.opens
+    out = np.zeros(int(opens[-1]), np.uint32)
+    room = int(slots.max(initial=1)) or 1
+    cache = np.zeros(n * room, np.uint32)
+    rows = np.arange(n) * room
     cached, shift = cache_bits[by] > 0, (32 - cache_bits[by]).astype(np.uint32)
     every_cached = bool(cached.all())
+    if every_cached and n and (shift == shift[0]).all():
+        shift = shift[:1]
     left, dist = np.zeros(n, np.int64), np.ones(n, np.int64)
+    copying = False
     # the state of the images in the order ``by``; a step takes less than ten bytes of a stream, so this much padding bounds all reads
-    word = np.concatenate([r.word, np.zeros(10 * longest + 16, np.uint32)])
+    half = np.concatenate([r.raw, np.zeros(10 * longest + 16 + len(r.raw) % 2, np.uint8)]).view("<u2").astype(np.int64)
+    word = half[:-3] | half[1:-2] << 16 | half[2:-1] << 32 | half[3:] << 48  # at each second byte; 49 bits after any bit of it
     pos, wide = r.pos[by], size[by]
-    place = [c.first[by] for c in codes]
-    mask = [c.mask[by].astype(np.uint32) for c in codes]
+    place, mask = [c.first[by] for c in codes], [c.mask[by] for c in codes]
+    at_once = sum(int(c.depth.max(initial=0)) for c in codes[:4]) <= 49  # the four codes of a pixel are in one word
 
-    def look(k: int, i, p: np.ndarray) -> np.ndarray:
-        """Entries of code k for the images ``i`` at the bits ``p``."""
-        return codes[k].entry[place[k][i] + (word[p >> 3] >> (p & 7).astype(np.uint32) & mask[k][i])]
+    def ahead(p: np.ndarray) -> np.ndarray:
+        return word.take(p >> 4) >> (p & 15)
+
+    def look(k: int, i: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Entries of code k for the images ``i`` whose next bits are ``w``."""
+        return codes[k].entry.take(place[k].take(i) + (w & mask[k].take(i)))
 
     def more(p: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(length or distance of a prefix symbol, the bits after it)."""
         extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
-        low = (word[p >> 3] >> (p & 7).astype(np.uint32)).astype(np.int64) & ((1 << extra) - 1)
+        low = ahead(p) & ((1 << extra) - 1)
         return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + low + 1), p + extra
 
-    for t in range(longest):
-        a = live[t]
-        ask = np.flatnonzero(left[:a] == 0)
-        p = pos[ask]
-        e = look(0, ask, p)
-        p += e & 15
+    for t, a, o in steps.each():
+        here = out[o : o + a]
+        ask = np.flatnonzero(left[:a] == 0) if copying else np.arange(a)
+        p = pos.take(ask)
+        w = ahead(p)
+        e = look(0, ask, w)
+        used = (e & 15).astype(np.int64)
+        p += used
+        w >>= used
         s = e >> 4
         lit = s < 256
         whole = bool(lit.all())
-        li, q = (ask, p) if whole else (ask[lit], p[lit])
+        if whole:
+            li, q, value = ask, p, s.astype(np.uint32) << np.uint32(8)
+        else:
+            some = np.flatnonzero(lit)
+            li, q, w, value = ask.take(some), p.take(some), w.take(some), s.take(some).astype(np.uint32) << np.uint32(8)
         if len(li):
-            value = (s if whole else s[lit]).astype(np.uint32) << np.uint32(8)
             for k, shift_of in ((1, 16), (2, 0), (3, 24)):
-                e = look(k, li, q)
-                q += e & 15
+                e = look(k, li, w if at_once else ahead(q))
+                used = (e & 15).astype(np.int64)
+                q += used
+                if at_once:
+                    w >>= used
                 value |= (e >> 4).astype(np.uint32) << np.uint32(shift_of)
-            out[base[li] + t] = value
+            here[li] = value
         if not whole:
-            p[lit] = q
-            hit = s >= GREEN
-            if hit.any():
-                out[base[ask[hit]] + t] = cache[ask[hit], s[hit] - GREEN]
-            copy = ~lit & ~hit
-            if copy.any():
-                ci = ask[copy]
-                left[ci], q = more(p[copy], s[copy] - 256)
-                e = look(4, ci, q)
+            p[some] = q
+            hit = np.flatnonzero(s >= GREEN)
+            if len(hit):
+                i = ask.take(hit)
+                here[i] = cache.take(rows.take(i) + s.take(hit) - GREEN)
+            copy = np.flatnonzero((s >= 256) & (s < GREEN))
+            if len(copy):
+                ci = ask.take(copy)
+                length, q = more(p.take(copy), s.take(copy).astype(np.int64) - 256)
+                e = look(4, ci, ahead(q)).astype(np.int64)
                 d, p[copy] = more(q + (e & 15), e >> 4)
-                dist[ci] = np.where(d > 120, d - 120, _NEAR[np.minimum(d, 120) - 1])
-                if (dist[ci] > t).any() or (left[ci] + t > wide[ci]).any():
+                left[ci], dist[ci] = length, np.where(d > 120, d - 120, _NEAR[np.minimum(d, 120) - 1])
+                if (dist[ci] > t).any() or (length + t > wide[ci]).any():
                     raise ValueError("bad back-reference")
+                copying = True
         pos[ask] = p
-        going = np.flatnonzero(left[:a] > 0)
-        if len(going):
-            at = base[going] + t
-            out[at] = out[at - dist[going]]
+        if copying:
+            going = np.flatnonzero(left[:a])
+            here[going] = out.take(opens.take(t - dist.take(going)) + going)
             left[going] -= 1
-        i = np.arange(a) if every_cached else np.flatnonzero(cached[:a])
-        if len(i):
-            v = out[base[i] + t]
-            cache[i, (v * HASH >> shift[i]).astype(np.int64)] = v
+            copying = len(going) > 0
+        if every_cached:
+            cache[rows[:a] + (here * HASH >> shift[:a])] = here
+        else:
+            i = np.flatnonzero(cached[:a])
+            v = here.take(i)
+            cache[rows.take(i) + (v * HASH >> shift.take(i))] = v
     r.pos[by] = pos
     r.check()
-    return out, first
+    return out.take(steps.place), np.concatenate([[0], np.cumsum(size)])
 
 
 def undo_predictors(c: np.ndarray, lay: Layout, bits: int, modes: np.ndarray, first_block: np.ndarray) -> np.ndarray:
     """Pixels (n, 4) from residuals, one pixel of every image at a time."""
-    by = np.argsort(-lay.size, kind="stable")
-    longest = int(lay.size.max(initial=0))
-    live = np.searchsorted(-lay.size[by], -np.arange(1, longest + 1), "right")
-    base, blocks = lay.first[:-1][by], first_block[:-1][by]
+    steps = Steps(lay.size)
+    blocks, opens = first_block[:-1][steps.by], steps.opens.tolist()
     across = -(-WIDTH >> bits)
-    out = c.copy()
-    whole = out.view(np.uint32).ravel()  # four bytes at a time where pixels are only moved
-    black = np.array([0, 0, 0, 255], np.uint8)
-    for t in range(longest):
-        a = live[t]
-        at = base[:a] + t
+    whole = steps.turned(np.ascontiguousarray(c).view(np.uint32).ravel())  # four bytes at a time where pixels are only moved
+    out = whole.view(np.uint8).reshape(-1, 4)
+    groups: list[tuple] = []
+    for t, a, o in steps.each():
         y, x = divmod(t, WIDTH)
+        here = out[o : o + a]
         if not t:
-            out[at] += black
+            here += np.array([0, 0, 0, 255], np.uint8)
             continue
         if not y or not x:
-            out[at] += out[at - (1 if not y else WIDTH)]
+            o = opens[t - (1 if not y else WIDTH)]
+            here += out[o : o + a]
             continue
-        mode = modes[blocks[:a] + (y >> bits) * across + (x >> bits)]
-        for m in np.flatnonzero(np.bincount(mode, minlength=16)).tolist():
-            i = at[mode == m]
+        if x == 1 or not x & (1 << bits) - 1:  # images have whole rows, so those of a block stay the same along a row
+            mode = modes[blocks[:a] + (y >> bits) * across + (x >> bits)]
+            groups = [(m, np.flatnonzero(mode == m)) for m in np.flatnonzero(np.bincount(mode, minlength=16)).tolist()]
+        for m, i in groups:
             if m == 0 or m > 13:
-                out[i, 3] += 255
-            elif m <= 4:
-                out[i] += whole[i - (1, WIDTH, WIDTH - 1, WIDTH + 1)[m - 1]].view(np.uint8).reshape(-1, 4)
-            else:
-                out[i] += predict(m, out[i - 1], out[i - WIDTH], out[i - WIDTH + 1], out[i - WIDTH - 1])
-    return out
+                here[i, 3] += 255
+                continue
+            left, top, right, corner = (whole[opens[t - d] : opens[t - d] + a].take(i).view(np.uint8).reshape(-1, 4) for d in (1, WIDTH, WIDTH - 1, WIDTH + 1))
+            whole[o + i] = (here.take(i, axis=0) + predict(m, left, top, right, corner)).view(np.uint32).ravel()
+    return whole.take(steps.place).view(np.uint8).reshape(-1, 4)
 
 
 def undo_cross_colour(c: np.ndarray, block: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Give red and blue their shares of green and red back; factors: ARGB pixels of the blocks."""
-    share = factors.view(np.int8).reshape(-1, 4)[block].astype(np.int16)
     out = c.copy()
-    green = c[:, 1].view(np.int8).astype(np.int16)
-    out[:, 0] += (share[:, 0] * green >> 5).astype(np.uint8)
-    red = out[:, 0].view(np.int8).astype(np.int16)
-    out[:, 2] += (share[:, 1] * green >> 5).astype(np.uint8) + (share[:, 2] * red >> 5).astype(np.uint8)
+    for lo in range(0, len(c), WRITE_PIXELS):
+        part = slice(lo, lo + WRITE_PIXELS)
+        share = factors.take(block[part]).view(np.int8).reshape(-1, 4).astype(np.int16)
+        green = c[part, 1].view(np.int8).astype(np.int16)
+        out[part, 0] += (share[:, 0] * green >> 5).astype(np.uint8)
+        red = out[part, 0].view(np.int8).astype(np.int16)
+        out[part, 2] += (share[:, 1] * green >> 5).astype(np.uint8) + (share[:, 2] * red >> 5).astype(np.uint8)
     return out
 
 

@@ -142,6 +142,53 @@ def test_all_parts_of_the_format_are_used_on_documents():
     assert seen["long codes"] >= 0.9 * len(texts)
 
 
+def test_bit_fields_of_up_to_64_bits():
+    f, want = webp_batch.Fields(5), [""] * 5
+    for _ in range(4):
+        image = np.sort(RNG.integers(0, 5, 200))
+        bits = RNG.integers(0, 65, 200)
+        value = np.array([int(RNG.integers(0, 2**64, dtype=np.uint64)) & (1 << int(b)) - 1 for b in bits], np.uint64)
+        f.add(image, value, bits)
+        for i, v, b in zip(image.tolist(), value.tolist(), bits.tolist(), strict=True):
+            want[i] += format(v, f"0{b}b")[::-1] if b else ""
+    for bits, body in zip(want, f.bytes(), strict=True):
+        got = np.unpackbits(np.frombuffer(body, np.uint8), bitorder="little")
+        assert len(body) == -(-len(bits) // 16) * 2 and got[: len(bits)].tolist() == [int(b) for b in bits] and not got[len(bits) :].any()
+
+
+def test_work_arrays_do_not_grow_with_the_step():
+    """Choosing modes and multipliers holds little beside its results, so that it runs in a core's cache (before: 78 bytes a pixel)."""
+    import tracemalloc
+
+    pixels = np.frombuffer(prose(400_000)[: 192 * 32 * 200], np.uint8).reshape(-1, 4)
+    lay = webp_batch.Layout(np.full(200, 32))
+    for choose in (webp_batch.choose_predictors, webp_batch.choose_cross_colour):
+        tracemalloc.start()
+        choose(pixels, lay)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24 * len(pixels), (choose.__name__, peak / len(pixels))
+
+
+def test_choices_do_not_depend_on_the_parts(monkeypatch):
+    payloads = [pad(t) for t in (*TEXTS, prose(4000), *(prose(int(n)) for n in RNG.integers(0, 900, 30)))]
+    whole = webp_batch.store(payloads)
+    for pixels in (1, 5_000, 1 << 24):
+        monkeypatch.setattr(webp_batch, "PART_PIXELS", pixels)
+        monkeypatch.setattr(webp_batch, "WRITE_PIXELS", pixels)
+        assert webp_batch.store(payloads) == whole
+
+
+def test_batch_reader_takes_codes_longer_than_one_word():
+    """Codes of up to 15 bits in all four channels: 60 bits a pixel, beside images with short codes."""
+    steep = np.repeat(np.arange(16), np.r_[1, 2 ** np.arange(15)])  # shares 1/2, 1/4, ...
+    images = [np.stack([RNG.permutation(steep) for _ in range(4)], axis=1)[: 48 * 682].astype(np.uint8).reshape(-1, 48, 4), noise(30, 48, 3), noise(5, 48)]
+    assert all(webp.lengths_of(np.bincount(images[0][..., k].ravel())).max() > 12 for k in range(4))
+    bodies = [webp.encode(x, "flat")[20:] for x in images]
+    for want, got in zip(images, webp_batch.decode_bodies(bodies), strict=True):
+        assert (want == got).all()
+
+
 def test_long_payloads_are_several_images(monkeypatch):
     text = bytes(RNG.integers(32, 127, 192 * 500 + 5, dtype=np.uint8))
     whole = round_trips([text, b"x"])
