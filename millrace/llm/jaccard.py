@@ -19,7 +19,14 @@ Pairs without a common signature are never made; of those with one, size ratio a
 Copies collapse first (equal sets are one node). In each signature every node is multiplied with the
 smallest node, then, while many are apart, with other members of its largest component; at last every
 remaining pair of different components within a signature, so components are exact. No pair is
-made inside a component, and a signature with many members left is dealt over squares of at most 2 SIDE of them.
+made inside a component.
+
+A signature with more than SIDES * SIDE members left is not paired: its members are multiplied with one of them, the center, and
+meet again by what tells them apart from it. Two documents that link, not both of them with the center, share some of
+the shingles in which each differs from it; as they differ in d at most, the first of these that they share is
+among the first d / 2 + 1 of the one that differs less and among the first d + 1 of the other. So a member
+gives d + 1 rows, however many members there are. Groups still large take a center of their own, REFINE times; what is
+left then is dealt over squares of at most 2 SIDE members.
 
 Shingles are 64-bit hashes, keyed with bits drawn for the run; a node is a 64-bit hash of its set, and sets are told
 apart by a second one: where nodes of different sets meet (expected: 3 times among 10**10 sets) they are renamed.
@@ -53,6 +60,10 @@ SEND_SIGNATURES = 1_000_000
 TILE, COLUMN_BLOCKS = 1 << 20, 8
 #: Members of a signature that are paired in one key of the last join's either side.
 SIDE = 64
+#: Sides from which a signature is split by its members' differences from a center first; times that this is done.
+SIDES, REFINE = 4, 4
+#: Members whose differences from a center are counted, to put the rare ones first.
+SAMPLE = 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, h: Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -393,8 +404,46 @@ def tile_product(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, num: int,
     return good, left_out
 
 
-def _product(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sets: Sets, num: int, den: int) -> DataFrame:
-    """The stored pairs (a, b) whose sets' similarity reaches num/den. ``pairs``: stored, distinct (a, b, na, nb, da, db)."""
+def first_differences(row: np.ndarray, center: np.ndarray, often: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int, int]:
+    """(shingles in which ``row`` differs from ``center``, as many as it may differ in from a set it links with and one
+    more; how many of them are enough beside a set that differs from the center in more; their number in all).
+
+    ``often``: ascending shingles in its first row, in how many of some rows that differ from the center each does in the
+    second. Rare ones come first; all rows of a center have one order.
+    """
+    apart = np.setxor1d(row, center, assume_unique=True)
+    differ = (len(row) + len(row) * den // num) * (den - num) // (den + num)
+    known, count = often
+    at = np.minimum(np.searchsorted(known, apart), max(0, len(known) - 1))
+    count = np.where(known[at] == apart, count[at], 0) if len(known) else np.zeros(len(apart))
+    return apart[np.lexsort((apart, count))[: differ + 1]], differ // 2 + 1, len(apart)
+
+
+def _often(pairs: DataFrame, stored: DataFrame) -> DataFrame:
+    """(node, often binary) of every b of the pairs (a, b): shingles in which several of about SAMPLE a differ from it, and their counts."""
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SAMPLE).alias("_every"))
+    some = pairs.join(sizes, "b").where(F.pmod(F.xxhash64("a", "b"), F.col("_every")) == 0)
+    some = some.select("b", F.col("a").alias("node")).union(sizes.select("b", F.col("b").alias("node")))
+
+    def run(group):
+        import pyarrow as pa
+
+        b = group.column("b")[0].as_py()
+        rows = {n: np.frombuffer(x.as_buffer(), U64) for n, x in zip(group.column("node").to_pylist(), group.column("set"), strict=True)}
+        center = rows.pop(b)
+        shingles, count = np.unique(np.concatenate([np.empty(0, U64), *(np.setxor1d(x, center, assume_unique=True) for x in rows.values())]), return_counts=True)
+        often = np.stack([shingles, count.astype(U64)])[:, count > 1]
+        return pa.table({"node": pa.array([b], pa.int64()), "often": pa.array([often.tobytes()], pa.binary())})
+
+    return some.join(stored, "node").select("b", "node", "set").groupBy("b").applyInArrow(run, "node long, often binary")
+
+
+def _product(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sets: Sets, num: int, den: int, differences: bool = False) -> DataFrame:
+    """The stored pairs (a, b) whose sets' similarity reaches num/den. ``pairs``: stored, distinct (a, b, na, nb, da, db).
+
+    With ``differences`` also rows (a, b, sig, distance, probe) of every pair, for each of the first differences of a
+    from b: sig names b and the shingle, distance is their number in all, probe says if it is among those that are enough.
+    """
     size = pairs.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0
     n_tiles = max(1, -(-size // TILE))
     heavy = materialize(pairs.groupBy("b").agg(F.ceil(F.sum("na") / TILE).alias("split")).where("split > 1"), "jaccard-heavy")
@@ -405,6 +454,8 @@ def _product(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sets
     wanted = ends.select("node", "doc_id").distinct()
     stored = _rows_of(docs, id_col, text_col, wanted, sets)
     rows = stored.join(ends.select(F.col("tile").alias("at"), "node"), "node")
+    if differences:
+        rows = rows.join(materialize(_often(pairs, stored), "jaccard-often"), "node", "left")
 
     def run(key, left, right):
         import pyarrow as pa
@@ -414,9 +465,29 @@ def _product(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sets
         a, b = left.column("a"), left.column("b")
         at = [np.fromiter(map(nodes.__getitem__, x.to_pylist()), np.int64, left.num_rows) for x in (a, b)]
         good = pa.array(tile_product(matrix, *at, num, den)[0]) if left.num_rows else pa.array([], pa.bool_())
-        return pa.table({"a": a.filter(good), "b": b.filter(good)})
+        out = pa.table({"a": a.filter(good), "b": b.filter(good)})
+        if not differences:
+            return out
+        often = [np.frombuffer(x.as_buffer(), U64).reshape(2, -1) if x.is_valid else None for x in right.column("often")]
+        return pa.concat_tables([out, apart(matrix, often, a, b, *at)], promote_options="default").select(names)
+
+    def apart(matrix, often, a, b, at_a, at_b):
+        import pyarrow as pa
 
-    found = materialize(dealt.select("tile", "a", "b").groupBy("tile").cogroup(rows.groupBy("at")).applyInArrow(run, "a long, b long"), "jaccard-links")
+        sigs, lens, distances, probes = [np.empty(0, U64)], [], [], [np.empty(0, bool)]
+        for x, y, center in zip(at_a.tolist(), at_b.tolist(), b.to_pylist(), strict=True):
+            shingles, enough, distance = first_differences(matrix[x], matrix[y], often[y], num, den)
+            sigs.append(mix(shingles ^ mix(np.array([center], np.int64).view(U64))))
+            lens.append(len(shingles))
+            distances.append(distance)
+            probes.append(np.arange(len(shingles)) < enough)
+        which = np.repeat(np.arange(len(lens)), np.array(lens, np.int64))
+        cols = [a.take(pa.array(which)), b.take(pa.array(which)), np.concatenate(sigs).view(np.int64), np.array(distances, np.int64)[which], np.concatenate(probes)]
+        return pa.table(dict(zip(names, cols, strict=True)))
+
+    names = ["a", "b", "sig", "distance", "probe"]
+    schema = "a long, b long" + ", sig long, distance long, probe boolean" * differences
+    found = materialize(dealt.select("tile", "a", "b").groupBy("tile").cogroup(rows.groupBy("at")).applyInArrow(run, schema), "jaccard-differences" if differences else "jaccard-links")
     forget(stored, dealt)
     return found
 
@@ -443,11 +514,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         nodes = by_node(figures)
     members = _without_hot(_members(docs, id_col, text_col, sets, num, den, buckets_for(docs)))
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of nodes within the bounds, with their sizes and ids."""
+    def candidates(pairs: DataFrame, bound: bool = True) -> DataFrame:
+        """Pairs (a, b) of nodes (within the bounds), with their sizes and ids."""
         figures_of = F.struct("n", "parity", "doc_id")
         both = pairs.join(nodes.select(F.col("node").alias("a"), figures_of.alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), figures_of.alias("fb")), "b")
-        both = both.select(F.struct(F.col("a").alias("node"), "fa.*").alias("a"), F.struct(F.col("b").alias("node"), "fb.*").alias("b")).where(_bound(num, den))
+        both = both.select(F.struct(F.col("a").alias("node"), "fa.*").alias("a"), F.struct(F.col("b").alias("node"), "fb.*").alias("b"))
+        both = both.where(_bound(num, den)) if bound else both
         return both.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), F.col("a.doc_id").alias("da"), F.col("b.doc_id").alias("db"))
 
     def apart(batches):
@@ -479,8 +551,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = materialize(connected(links, "a", "b", "jaccard-cc"), "jaccard-roots")
 
     def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """(sig, node, root, main, members) of the signatures in ``rows`` that hold several components; main is the largest there."""
-        placed = rows.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")).distinct()
+        """(sig, node, distance, probe, root, main, members) of the signatures in ``rows`` that hold several components; main is the largest there."""
+        placed = rows.select("sig", "node", "distance", "probe").join(roots, "node", "left").select("sig", "node", "distance", "probe", F.coalesce("root", "node").alias("root")).distinct()
         placed = materialize(placed, "jaccard-placed")
         sizes = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
         split = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("members")).where("k > 1").drop("k")
@@ -488,7 +560,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # More stars, while many of the last ones' nodes did link: each open signature multiplies the nodes outside its main
     # component with another member of that, so a group of near copies closes up without its pairs.
-    open_rows = still_open(members, roots)
+    open_rows = still_open(members.withColumn("distance", F.lit(0).cast("long")).withColumn("probe", F.lit(True)), roots)
     for turn in range(MORE_STARS):
         if good < WORTH or good_links < FEW_LINKS:
             break
@@ -499,6 +571,27 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         roots = materialize(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh), "a", "b", "jaccard-cc"), "jaccard-roots")
         open_rows = still_open(open_rows, roots)
 
+    # Signatures with many members left: all are multiplied with one member, and those that link without it meet again
+    # in a smaller group, that of a difference from it.
+    is_large, small = F.col("members") > SIDES * SIDE, []
+    for turn in range(REFINE):
+        large = open_rows.where(is_large)
+        if large.isEmpty():
+            break
+        small.append(open_rows.where(~is_large))
+        common = large.where("root = main").groupBy("node").agg(F.count(F.lit(1)).alias("_n"))  # a node in many of them is near many
+        centers = large.where("root = main").join(common, "node").groupBy("sig").agg(F.max_by("node", F.struct("_n", F.xxhash64("node", F.lit(turn)))).alias("b"))
+        tried = large.join(centers, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+        tried = materialize(candidates(tried, bound=False), "jaccard-refine")
+        found = _product(tried, docs, id_col, text_col, sets, num, den, differences=True)
+        forget(tried)
+        fresh = found.where("sig is null").select("a", "b")
+        links = links.union(fresh)
+        roots = materialize(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh), "a", "b", "jaccard-cc"), "jaccard-roots")
+        open_rows = still_open(found.where("sig is not null").withColumnRenamed("a", "node"), roots)
+    if small:
+        open_rows = still_open(reduce(DataFrame.union, [x.select("sig", "node", "distance", "probe") for x in (*small, open_rows)]), roots)
+
     # What is left: all pairs of different components within a signature, dealt over squares of its members.
     sides = F.ceil(F.col("members") / SIDE)
     every_side = F.sequence(F.lit(0).cast("long"), sides - 1)
@@ -507,6 +600,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a = figured.where("root <> main").withColumn("x", own_side).withColumn("y", F.explode(every_side)).alias("a")
     b = figured.withColumn("y", own_side).withColumn("x", F.explode(every_side)).alias("b")
     square = reduce(lambda p, q: p & q, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("sig", "x", "y")))
+    nearer = F.struct("a.distance", "a.node") < F.struct("b.distance", "b.node")
+    square &= F.when(nearer, F.col("a.probe")).otherwise(F.col("b.probe"))
     rest = a.join(b, square & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("a.main")) | (F.col("a.node") < F.col("b.node"))) & _bound(num, den))
     rest = candidates(rest.select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct())
     more, _, _ = verified(rest, "jaccard-rest")

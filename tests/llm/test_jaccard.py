@@ -196,3 +196,57 @@ def test_the_query_against_brute_force(spark, tmp_path):
     spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, n int").write.parquet(str(tmp_path / "documents.parquet"))
     got = [tuple(r) for r in __spark_entry__.queries()["op8_jaccard_join"](spark, str(tmp_path)).select("doc_id", "n_shingles", "component_id").collect()]
     assert sorted(got, key=str) == sorted(brute(rows, 3, 90, 100), key=str)
+
+
+def near_copies(rng, n):
+    """A text of 150 words, n copies with 2 to 6 words changed, and some of these with one more changed."""
+    base = [f"w{i}" for i in range(150)]
+    made = [base]
+    for i in range(n):
+        w = list(made[int(rng.integers(1, len(made)))] if i > 20 and rng.random() < 0.15 else base)
+        for _ in range(1 if w != base else rng.integers(2, 7)):
+            w[rng.integers(0, 150)] = f"x{rng.integers(0, 10**6)}"
+        made.append(w)
+    return [(i, " ".join(w)) for i, w in enumerate(made)]
+
+
+@pytest.mark.parametrize("refine", [4, 1, 0])
+def test_a_large_group_of_near_copies(spark, monkeypatch, refine):
+    from millrace.llm import jaccard
+
+    opened = []
+    real = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: (opened if name == "jaccard-open" else []).append(t := real(df, name)) or t)
+    monkeypatch.setattr(jaccard, "SIDE", 8)
+    monkeypatch.setattr(jaccard, "REFINE", refine, raising=False)
+    rows = near_copies(np.random.default_rng(7), 400)
+    got = sorted(tuple(r) for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, num=90).collect())
+    want = sorted(brute(rows, 3, 90, 100))
+    assert got == want and 100 < len({r[2] for r in want}) < 395
+    if refine == 4:  # a member of a signature goes to a bounded number of squares' sides
+        count, sides = opened[-1].selectExpr("count(1)", "sum(ceil(members / 8))").first()
+        assert sides < 4 * count
+
+
+def test_first_differences_meet():
+    from millrace.llm.jaccard import first_differences
+
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**64, 200, dtype=np.uint64)
+    for num in (50, 80, 90):
+        rows = [np.unique(base)]
+        for _ in range(150):
+            kept = rng.choice(rows[int(rng.integers(0, len(rows)))], 200 - int(rng.integers(0, 60)))
+            rows.append(np.unique(np.concatenate([kept, base[: int(rng.integers(1, 200))], rng.integers(0, 2**64, int(rng.integers(0, 12)), dtype=np.uint64)])))
+        linked = lambda x, y: len(np.intersect1d(x, y)) * 100 >= num * len(np.union1d(x, y))
+        often = np.stack([np.sort(base), rng.integers(2, 9, 200, dtype=np.uint64)])
+        center = rows[1]
+        first = [first_differences(x, center, often, num, 100) for x in rows]
+        found = 0
+        for i, x in enumerate(rows):
+            for j, y in enumerate(rows[:i]):
+                if linked(x, y) and not (linked(x, center) and linked(y, center)):
+                    (a, enough, n), (b, _, m) = (first[k] for k in ((i, j) if first[i][2] <= first[j][2] else (j, i)))
+                    assert n <= m and len(np.intersect1d(a[:enough], b))
+                    found += 1
+        assert found > 20
