@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
+from itertools import compress, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ from .common import slices, table, text_buffers, tidy
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE_WORDS = 40_000
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 #: Marked words above this length share no prefixes; their back-pointers are kept in arrays.
 LONG = 2048
 #: Stands for a mark that the text itself holds; no marked word looks like it.
@@ -220,10 +221,11 @@ class Model:
         for w in index:
             flat.extend(cache[w] if w in cache else fresh[w])
             starts.append(len(flat))
-        if len(cache) < CACHE_WORDS:  # frequent words come early
-            cache.update((w, v) for w, v in fresh.items() if len(w) < 64)
         pool, starts = np.array(flat, np.int32), np.array(starts, np.int64)
         at = np.concatenate(runs) if runs else np.empty(0, np.int32)
+        if len(cache) < CACHE_WORDS:  # only words that the batch repeats, and never more than CACHE_WORDS
+            often = np.bincount(at, minlength=len(index)) > 1
+            cache.update(islice(((w, fresh[w]) for w in compress(index, often.tolist()) if len(w) < 64 and w in fresh), CACHE_WORDS - len(cache)))
         lens = starts[at + 1] - starts[at]
         ends = np.concatenate([[0], np.cumsum(lens)])
         ids = pool[np.repeat(starts[at] - ends[:-1], lens) + np.arange(ends[-1])] if len(pool) else pool

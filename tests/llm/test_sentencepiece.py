@@ -97,3 +97,18 @@ def test_memory_of_a_text_without_spaces():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60 * len(word), peak
+
+
+def test_cache_stays_within_its_bound(monkeypatch):
+    from millrace.llm import sentencepiece_viterbi as s
+
+    monkeypatch.setattr(s, "CACHE_WORDS", 50)
+    m = Model(pieces=TINY)
+    words = sorted({"".join(w) for w in np.random.default_rng(8).choice(list("abcé"), (400, 6))})
+    texts = [" ".join(words), " ".join(words[::2]), "a" + MARK + "b", ""]  # half of the words stand once
+    for _ in range(3):
+        ids, ends = m.encode_batch(texts)
+        assert len(m.cache) == 50
+        assert not {MARK + w for w in words[1::2]} & m.cache.keys()
+        for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True):
+            assert ids[a:b].tolist() == Model(pieces=TINY).encode(t)
