@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, mixing, pii, quality, sentencepiece_viterbi
-from millrace.llm.common import hint_small, materialize, table
+from millrace.llm.common import bounded_batches, hint_small, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,6 +24,7 @@ def _without(docs: DataFrame, gone: DataFrame, key: str, name: str) -> DataFrame
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the trusted model is within their language's threshold."""
+    bounded_batches(spark)
     row = [F.col(c) for c in ("doc_id", "text", "lang")]
     key = F.concat(F.hex(F.xxhash64(*row)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *row)))  # equal rows have equal scores
     keyed = docs.select(*COLUMNS).withColumn("_key", key)
@@ -37,6 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat an id are documents of their own: of those with equal texts one stays, those with different texts stay
     unless their group holds a smaller id. Documents without an id or without words stay.
     """
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     groups = materialize(jaccard.similar_components(docs, shingle=5, num=80, den=100), "groups")
     kept = _without(docs, groups.where("component_id < doc_id").select("doc_id"), "doc_id", "duplicates")
@@ -51,6 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every span replaced by its kind; null texts stay null."""
+    bounded_batches(spark)
     found = pii.detect(docs.withColumn("_null", F.col("text").isNull()), ["doc_id", "lang", "source", "_null"])
     text = F.when(~F.col("_null"), F.col("redacted"))
     return found.select("doc_id", text.alias("text"), "lang", "source", F.length(F.when(~F.col("_null"), F.col("redacted"))).cast("long").alias("n_chars"))
@@ -63,6 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every copy, and the digest of what they decode to."""
+    bounded_batches(spark)
     coded = sentencepiece_viterbi.encode_column(docs, ["doc_id", "lang", "source"], decoded=True)
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -60,6 +60,9 @@ def tidy(f):
     return run
 
 
+#: Bytes of an Arrow batch on its way to a worker. The JVM's buffers double as they grow, and what they leave free in the
+#: C library's heaps counts on beside the Java heap.
+BATCH_BYTES = 8 << 20
 #: Bytes hashed at once, so that the work arrays stay in a core's cache.
 CHUNK = 1 << 18
 #: Positions in a word that have a table of random values of their own.
@@ -245,6 +248,17 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets - base)
 
 
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on Arrow batches to Python workers hold about ``most`` bytes, in this session; a smaller setting stays.
+
+    Plans take the setting when they run, so it outlasts the query that is built here. No result depends on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= most:
+        spark.conf.set(key, f"{most}b")
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` (file sizes for a scan)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -84,3 +84,27 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     assert cp.run(spark, d).count() == 0
+
+
+def test_batches_to_workers_are_bounded(spark):
+    from millrace.llm.common import BATCH_BYTES, bounded_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 600, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 8000) AS text", "'en' AS lang", "'s' AS source", "40000L AS n_chars")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"mb": [b.nbytes]})
+
+    try:
+        cp.encode(spark, docs, "")  # only built: the setting holds when a plan runs
+        got = [r["mb"] for r in docs.select("text").mapInArrow(sizes, "mb long").collect()]
+        assert sum(got) >= 600 * 40_000 and max(got) <= BATCH_BYTES + 100_000
+        spark.conf.set(key, "1m")
+        bounded_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
