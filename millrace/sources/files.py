@@ -185,14 +185,15 @@ def write_avro(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files (one, or a folder of them), parsed on the executors."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    first = files.first()
-    if first is None:
+    """Arrow IPC files (one, or a folder of them), parsed on the executors; the schema is that of the shortest."""
+    files = spark.read.format("binaryFile").load(path)
+    least = files.agg(F.min("length")).first()[0]
+    if least is None:
         raise FileNotFoundError(path)
     import pyarrow as pa
     from pyspark.sql.pandas.types import from_arrow_schema
 
+    first = files.where(F.col("length") == least).select("content").first()
     schema = from_arrow_schema(pa.ipc.open_file(pa.BufferReader(bytes(first["content"]))).schema)
 
     def run(batches):
@@ -202,7 +203,7 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(f.num_record_batches):
                     yield f.get_batch(i)
 
-    return files.mapInArrow(run, schema)
+    return files.select("content").mapInArrow(run, schema)
 
 
 def arrow_bytes(df: DataFrame) -> bytes:
@@ -216,9 +217,40 @@ def arrow_bytes(df: DataFrame) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def write_arrow(df: DataFrame, path: str) -> None:
-    with open(path, "wb") as f:
-        f.write(arrow_bytes(df))
+#: Fixed: the end of every Arrow IPC file, and bytes of rows in one.
+_ARROW_END, _ARROW_FILE = "ARROW1", 16 << 20
+
+
+def write_arrow(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A folder of Arrow IPC files, written by the executors; the first has no rows, so that there always is a schema.
+
+    Spark's text writer makes each row a file, as bytes, and puts the last six (the same in all Arrow files) after it as its
+    line separator.
+    """
+    import pyarrow as pa
+
+    def packed(held):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_file(sink, held[0].schema) as out:
+            for batch in held:
+                out.write_batch(batch)
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()[: -len(_ARROW_END)]], pa.binary())], names=["value"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= _ARROW_FILE:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    head = df.sparkSession.range(0, 1, 1, 1).select(F.lit(arrow_bytes(df.limit(0))[: -len(_ARROW_END)]).alias("value"))
+    rows = head.unionAll(df.mapInArrow(run, "value binary")).select(F.col("value").cast("string"))
+    rows.write.mode(mode).option("lineSep", _ARROW_END).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 # excel -------------------------------------------------------------------------
@@ -390,7 +422,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def save(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     kind = _kind(path)
     if kind == "arrow":
-        write_arrow(df, path)
+        write_arrow(df, path, mode)
     elif kind == "xlsx":
         write_excel(df, path)
     else:
