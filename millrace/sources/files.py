@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 import zipfile
 from collections.abc import Sequence
@@ -258,10 +259,46 @@ def write_arrow(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 
 
+def _hadoop_file(spark: SparkSession, path: str):
+    """(file system, path); a local one without the checksum file beside, which edits by other programs would belie."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return (fs.getRawFileSystem() if fs.getUri().getScheme() == "file" else fs), where
+
+
+def _write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file at a Hadoop path, by the driver; one that is there is replaced."""
+    fs, where = _hadoop_file(spark, path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)  # with its checksums
+    out = fs.create(where, True)
+    try:
+        for i in range(0, len(content), 1 << 20):
+            out.write(bytearray(content[i : i + (1 << 20)]))
+    finally:
+        out.close()
+
+
+def _read_bytes(path: str, spark: SparkSession | None = None) -> bytes:
+    """A file of a Hadoop path, in the driver; without a session, a local one."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        with open(path, "rb") as f:
+            return f.read()
+    fs, where = _hadoop_file(spark, path)
+    source = fs.open(where)
+    try:
+        return b"".join(iter(lambda: bytes(source.readNBytes(1 << 20)), b""))
+    finally:
+        source.close()
+
+
+def _sheets(book: zipfile.ZipFile) -> list[str]:
+    return [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).find("m:sheets", _NS)]
+
+
 def list_sheets(path: str) -> list[str]:
-    with zipfile.ZipFile(path) as z:
-        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-    return [s.get("name") for s in book.find("m:sheets", _NS)]
+    with zipfile.ZipFile(io.BytesIO(_read_bytes(path))) as z:
+        return _sheets(z)
 
 
 def _column_number(ref: str) -> int:
@@ -273,8 +310,8 @@ def _column_number(ref: str) -> int:
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None, header: bool = True) -> DataFrame:
     """A sheet of an .xlsx file (driver side: workbooks are small), types inferred."""
-    with zipfile.ZipFile(path) as z:
-        names = list_sheets(path)
+    with zipfile.ZipFile(io.BytesIO(_read_bytes(path, spark))) as z:
+        names = _sheets(z)
         number = names.index(sheet) + 1 if sheet else 1
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
@@ -318,12 +355,14 @@ def write_excel(df: DataFrame, path: str, sheet: str = "Sheet1", max_rows: int =
     body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in [df.columns, *rows])
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     main, rel = _NS["m"], _NS["r"]
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
         z.writestr("_rels/.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/worksheets/sheet1.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+    _write_bytes(df.sparkSession, path, book.getvalue())
 
 
 # html tables ---------------------------------------------------------------------

@@ -28,3 +28,13 @@ def test_arrow_folder(spark, tmp_path, monkeypatch):
         files.save(df, uri)
     files.save(df.where("id < 0"), uri, "overwrite")
     assert files.load(spark, uri).count() == 0 and files.load(spark, uri).dtypes == df.dtypes
+
+
+def test_excel_at_uris(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"<{i}> & \u00e9", i / 4) for i in range(3000)], "i int, s string, x double")
+    uri = f"file://{tmp_path}/new folder/b.xlsx"
+    files.write_excel(df, uri, "a & b")
+    assert files.list_sheets(uri) == ["a & b"]
+    assert sorted(files.read_excel(spark, uri, "a & b").collect()) == sorted(df.collect())
+    files.write_excel(df.limit(2), uri)
+    assert files.load(spark, uri).count() == 2 and [p.name for p in (tmp_path / "new folder").iterdir()] == ["b.xlsx"]
