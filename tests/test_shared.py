@@ -60,3 +60,14 @@ def test_database_of_the_driver(spark, monkeypatch, block):
     assert scan.count() == 59 and jdbc.read_sql(spark, options, 'SELECT "s" FROM t WHERE "id" = 8').count() == 2
     jdbc.to_sql(df.where("id < 0"), options, "t", "overwrite")
     assert scan.count() == 0 and scan.frame().dtypes == df.dtypes
+
+
+def test_which_databases_are_the_drivers(spark):
+    class Cluster:
+        class sparkContext:
+            master = "local-cluster[3,2,3000]"
+
+    inside = ["jdbc:derby:memory:x;create=true", "jdbc:derby:/data/x", "jdbc:sqlite:/x.db", "jdbc:h2:mem:x", "jdbc:hsqldb:mem:x"]
+    served = ["jdbc:derby://host:1527/x", "jdbc:h2:tcp://host/x", "jdbc:hsqldb:hsql://host/x", "jdbc:postgresql://host/x"]
+    assert [jdbc.drivers_own(Cluster, {"url": u}) for u in inside + served] == [True] * 5 + [False] * 4
+    assert not any(jdbc.drivers_own(spark, {"url": u}) for u in inside)
