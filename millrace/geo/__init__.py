@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..ordering import with_row_id
 from ..semantics import col
+from .nearest import near_positions
 
 #: Fixed: mean Earth radii.
 KM, MILES = 6371.0, 3958.8
@@ -168,14 +168,26 @@ def within_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], rig
     return joined.where(col(out) <= km).drop("__row", "__cell")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], max_km: float, out: str = "distance_km", order: str | None = None) -> DataFrame:
-    """Every left row with its nearest right row within ``max_km`` (nulls beyond); ties by ``order``."""
-    base = with_row_id(left, "__id")
-    pairs = within_join(base, right, left_at, right_at, max_km, out)
-    names = [c for c in pairs.columns if c not in base.columns]
-    tie = [col(order if order not in left.columns else f"{order}_y")] if order else []
-    best = pairs.groupBy("__id").agg(F.min(F.struct(col(out), *tie, F.struct(*map(col, names)).alias("__r"))).alias("__m"))
-    return base.join(best.select("__id", *[F.col(f"__m.__r.`{c}`").alias(c) for c in names]), "__id", "left").drop("__id")
+def nearest_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], max_km: float, out: str = "distance_km", order: str | None = None, digits: int | None = None) -> DataFrame:
+    """Every left row with its nearest right row within ``max_km`` (nulls beyond); ties by ``order``.
+
+    With ``digits``, distances that round to the same tie. Equal positions are searched once, in trees; clashing right names
+    get _y. Two jobs count the rows of both sides while the plan is built (more if the right side is over 250,000 rows).
+    """
+    names = {c: f"{c}_y" if c in left.columns else c for c in right.columns}
+    r = right.select(*[col(c).alias(names[c]) for c in right.columns])
+    at = lambda df, lat, lon, p: df.withColumns({f"__{p}lat": col(lat).cast("double"), f"__{p}lon": col(lon).cast("double")})
+    finite = lambda p: (F.abs(f"__{p}lat") < float("inf")) & (F.abs(f"__{p}lon") < float("inf"))  # noqa: E731  false for NaN and null
+    tie = [col(names[order])] if order else []
+    places = at(r, names[right_at[0]], names[right_at[1]], "r").where(finite("r")).groupBy("__rlat", "__rlon").agg(F.min(F.struct(*tie, F.struct(*map(col, r.columns)).alias("__r"))).alias("__m"))
+    base = at(left, *left_at, "")
+    asked = base.where(finite("")).select("__lat", "__lon").distinct()
+    near = near_positions(asked, places.select("__rlat", "__rlon"), max_km, KM, (left.count(), right.count()))
+    near = near.withColumn("__km", haversine("__lat", "__lon", "__rlat", "__rlon")).where(col("__km") <= max_km).join(places, ["__rlat", "__rlon"])
+    key = F.round("__km", digits) if digits is not None else col("__km")
+    best = near.groupBy("__lat", "__lon").agg(F.min(F.struct(key.alias("__key"), "__m", "__km")).alias("__b"))
+    best = best.select("__lat", "__lon", *[F.col(f"__b.__m.__r.`{c}`").alias(c) for c in r.columns], F.col("__b.__km").alias(out))
+    return base.join(best, ["__lat", "__lon"], "left").drop("__lat", "__lon")
 
 
 def k_nearest(df: DataFrame, lat: str, lon: str, to_lat: float, to_lon: float, k: int) -> DataFrame:
